@@ -33,6 +33,23 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lineagelake.llm.token_codes import read_index, write_codes
+
+    codes = write_codes(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_index(codes)
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineagelake.llm.common import written
+    from lineagelake.llm.mixing import mix, words_in
+
+    docs = written(table(spark, sf_dir, "documents").select("doc_id", "source", words_in(F.col("text")).alias("size")))
+    return mix(docs, size="size").select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 OP1_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -55,6 +72,8 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op8_token_codes": op8_token_codes,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES = {"op1_url_filter": OP1_SQL}
