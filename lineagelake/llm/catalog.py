@@ -42,6 +42,12 @@ def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_index(codes)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineagelake.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineagelake.llm.common import written
     from lineagelake.llm.mixing import mix, words_in
@@ -73,6 +79,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op8_token_codes": op8_token_codes,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
 }
 
