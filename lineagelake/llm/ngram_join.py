@@ -2,12 +2,15 @@
 
 A document is the set of its distinct k-word shingles; two documents link when intersection / union >= threshold.
 Linked sets x, y share at least T(x) = ceil(threshold * |x|) shingles, so of any |x| - T(x) + 1 shingles of x, chosen by
-one order for all documents, at least one is shared as well. The order is by inverted-list length: a document is looked
-up through its shortest lists only, and the long ones (passages that many documents share) are left for the probe.
-
-1. One pass over the texts gives each document's set size and set digest, and a count sketch of fixed size of the
-   lengths of all inverted lists.
-2. A second pass emits the postings of the short lists. Documents with equal sets count as one class.
+one order for all documents, at least one is shared as well. The order puts short inverted lists first: a document is
+looked up through these only, and the long ones (passages that many documents share) are left for the probe.
+
+1. One pass over the texts gives each document's set size and set digest, and the shingles as 32-bit residues dealt into
+   buckets by their leading bits. A bucket tells which shingles occur more than once, and which are frequent; both go
+   into filters of fixed size. A filter only shapes the order, so its errors never change the result.
+2. A second pass emits the postings of the short lists. A shingle that the filter rules out occurs once and needs no
+   posting, so mostly documents with near copies emit any. (If there are too many repeated shingles for the filter, it
+   takes those above a higher count and every short list is posted.) Documents with equal sets count as one class.
 3. Each list with several classes ties them to its smallest digest; the distinct ties form candidate groups.
 4. A group's sets meet in blocks of bounded size. Within a pair of blocks the short lists are merged by counting, the
    longest ones are probed by binary search in the candidates that are still short of T (DivideSkip), and the exact
@@ -33,14 +36,19 @@ from pyspark.sql import functions as F
 
 from lineagelake.llm.common import written
 from lineagelake.llm.components import components
-from lineagelake.llm.shingles import WordHashes, shingle_set
+from lineagelake.llm.shingles import WordHashes, mix, shingle_set
 
 SHINGLE_WORDS = 5
 #: Similarity in hundredths, so that the test is exact.
 THRESHOLD = 75
-#: Counters of the sketch of list lengths; as bytes of log2 it is broadcast, 1 byte each.
-SKETCH_BITS = 20
-SKETCH_CHUNK = 1 << 14
+#: Bits of the filter of repeated shingles, broadcast as 1/8 bytes; bits of that of frequent ones; probes of either.
+REPEATED_BITS, FREQUENT_BITS, PROBES = 28, 24, 3
+#: Occurrences from which a shingle is frequent; a task's chunk counts up to CHUNK_COUNT.
+FREQUENT, CHUNK_COUNT = 64, 15
+#: Characters of text behind a bucket of residues; shingles of a chunk.
+BUCKET_CHARS, CHUNK_SHINGLES = 1 << 20, 4_000_000
+#: Filter bits sent by a task in one row.
+CHUNK_BITS = 1 << 20
 #: Bytes of class names that executors get whole, so that texts needn't be shuffled to them.
 MAX_BROADCAST = 64 << 20
 #: Documents in a block; two blocks meet in a task.
@@ -48,20 +56,27 @@ BLOCK = 256
 #: Postings gathered before they leave the Python side.
 BATCH_POSTINGS = 200_000
 
-PROFILE = "doc_id long, n int, digest long, chunk int, counts binary"
+PROFILE = "doc_id long, n int, digest long, bucket int, residues binary"
 
 
 def _set_digest(tokens: np.ndarray) -> int:
     return np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64)
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _profile(batches: Iterator[pa.RecordBatch], k: int, bucket_bits: int) -> Iterator[pa.RecordBatch]:
+    words, seen, held, size = WordHashes(), set(), [], 0
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.int64()), ("bucket", pa.int32()), ("residues", pa.binary())])
 
+    def flush() -> pa.RecordBatch:
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        tokens = np.repeat(tokens, np.minimum(counts, CHUNK_COUNT))
+        cuts = np.searchsorted(tokens, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)).tolist() + [len(tokens)]
+        residues = (tokens >> np.uint64(32 - bucket_bits)).astype(np.uint32)
+        full = [b for b in range(1 << bucket_bits) if cuts[b] < cuts[b + 1]]
+        n = len(full)
+        blobs = pa.array([residues[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())
+        return pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(full, pa.int32()), blobs], schema=schema)
 
-def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    words, sketch, seen = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32), set()
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("digest", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
     for batch in batches:
         ids, sizes, digests = batch.column("doc_id").to_pylist(), [], []
         for text in batch.column("text"):
@@ -69,46 +84,108 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             digest = _set_digest(tokens)
             sizes.append(len(tokens))
             digests.append(digest)
-            if digest not in seen:  # copies in one task count once; this only shapes the order
+            if len(tokens) and digest not in seen:  # copies in one task count once
                 if len(seen) < 500_000:
                     seen.add(digest)
-                np.add.at(sketch, _cells(tokens), 1)
+                held.append(tokens)
+                size += len(tokens)
+                if size >= CHUNK_SHINGLES:
+                    yield flush()
+                    held, size = [], 0
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(digests, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], schema=schema)
-    if sketch.any():
-        parts = sketch.reshape(-1, SKETCH_CHUNK)
-        n = len(parts)
-        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
-
-
-def _add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(SKETCH_CHUNK, np.uint64)
-    for x in pdf["counts"]:
-        total += np.frombuffer(x, np.uint64 if len(x) == 8 * SKETCH_CHUNK else np.uint32)
-    return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [total.tobytes()]})
+    if held:
+        yield flush()
 
 
-def _sketch(profile: DataFrame) -> np.ndarray:
-    """log2 of the list lengths, one byte a cell. The partial sketches are added in two levels."""
-    parts = profile.filter("chunk is not null").select("chunk", F.spark_partition_id().alias("p"), "counts")
-    once = parts.groupBy("chunk", F.expr("p % 64").alias("p")).applyInPandas(_add_chunks, "chunk int, counts binary")
-    rows = once.groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.uint64)
-    for r in rows:
-        out[r.chunk * SKETCH_CHUNK : (r.chunk + 1) * SKETCH_CHUNK] = np.frombuffer(r.counts, np.uint64)
-    return np.log2(np.maximum(out, 1)).astype(np.uint8)
+def _places(bucket: np.ndarray, residue: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """A shingle's bit in the filter for each probe."""
+    h = mix((bucket.astype(np.uint64) << np.uint64(32)) | residue.astype(np.uint64))
+    for i in range(PROBES):
+        yield mix(h + np.uint64(i)) >> np.uint64(64 - bits)
+
+
+class Filters:
+    """Which shingles are repeated or frequent; may err towards yes."""
+
+    def __init__(self, repeated: np.ndarray, frequent: np.ndarray, complete: bool, bucket_bits: int):
+        self.parts, self.complete, self.bucket_bits = ((repeated, REPEATED_BITS), (frequent, FREQUENT_BITS)), complete, bucket_bits
+
+    def levels(self, tokens: np.ndarray) -> np.ndarray:
+        """0: not known to be repeated, 1: repeated, 2: frequent as well."""
+        level = np.zeros(len(tokens), np.uint8)
+        at = np.arange(len(tokens))
+        for bits, size in self.parts:
+            b, r = (tokens[at] >> np.uint64(64 - self.bucket_bits) if self.bucket_bits else np.zeros(len(at), np.uint64)), (tokens[at] >> np.uint64(32 - self.bucket_bits)).astype(np.uint32)
+            hit = np.ones(len(at), bool)
+            for p in _places(b, r, size):
+                hit &= (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            at = at[hit]
+            level[at] += 1
+        return level
+
+
+def _filters(profile: DataFrame, bucket_bits: int) -> Filters:
+    """Built by bucket; only filters of fixed size and a histogram of counts come to the driver."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        residues, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["residues"]]), return_counts=True)
+        many = n > 1
+        return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "residues": [residues[many].tobytes()], "counts": [np.minimum(n[many], 255).astype(np.uint8).tobytes()]})
+
+    counted = written(profile.filter("bucket is not null").select("bucket", "residues").groupBy("bucket").applyInPandas(count, "bucket int, residues binary, counts binary"))
+
+    def histogram(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(256, np.int64)
+        for pdf in parts:
+            for x in pdf["counts"]:
+                total += np.bincount(np.frombuffer(x, np.uint8), minlength=256)
+        yield pd.DataFrame({"c": range(256), "n": total})
+
+    by_count = np.zeros(256, np.int64)
+    for r in counted.select("counts").mapInPandas(histogram, "c int, n long").groupBy("c").sum("n").collect():
+        by_count[r[0]] = r[1]
+    at_least = np.cumsum(by_count[::-1])[::-1]
+    room = (1 << REPEATED_BITS) // 16
+    least = next((c for c in range(2, 256) if at_least[c] <= room), 256)
+    often = next((c for c in range(max(least, FREQUENT), 256) if at_least[c] <= (1 << FREQUENT_BITS) // 16), 256)
+
+    def bits_of(least: int, size: int) -> np.ndarray:
+        def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = np.zeros(1 << (size - 3), np.uint8)
+            for pdf in parts:
+                for b, x, c in zip(pdf["bucket"], pdf["residues"], pdf["counts"]):
+                    r = np.frombuffer(x, np.uint32)[np.frombuffer(c, np.uint8) >= least]
+                    for p in _places(np.full(len(r), b), r, size):
+                        np.bitwise_or.at(own, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+            packed = own.reshape(-1, CHUNK_BITS // 8)
+            full = np.flatnonzero(packed.any(1))
+            yield pd.DataFrame({"chunk": full, "bits": [packed[i].tobytes() for i in full]})
+
+        def either(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()]})
+
+        out = np.zeros(1 << (size - 3), np.uint8)
+        parts = counted.coalesce(8).mapInPandas(make, "chunk int, bits binary")
+        for r in parts.groupBy("chunk").applyInPandas(either, "chunk int, bits binary").collect():
+            out[r.chunk * (CHUNK_BITS // 8) : (r.chunk + 1) * (CHUNK_BITS // 8)] = np.frombuffer(r.bits, np.uint8)
+        return out
+
+    return Filters(bits_of(least, REPEATED_BITS), bits_of(often, FREQUENT_BITS), least == 2, bucket_bits)
 
 
 def least_overlap(n: int | np.ndarray, threshold: int) -> int | np.ndarray:
     return -(-threshold * n // 100)
 
 
-def short_lists(tokens: np.ndarray, ranks: np.ndarray, threshold: int) -> np.ndarray:
-    """The |x| - T + 1 shingles of x whose lists are shortest; ties by the hash."""
+def short_lists(tokens: np.ndarray, filters: Filters, threshold: int) -> np.ndarray:
+    """Those of the |x| - T + 1 shingles of x with the shortest lists that may have a list of two; ties by the hash."""
     m = len(tokens) - least_overlap(len(tokens), threshold) + 1
-    return tokens[np.lexsort((tokens, ranks[_cells(tokens)]))[:m]]
+    levels = filters.levels(tokens)
+    first = np.argsort(levels, kind="stable")[:m]  # tokens are sorted
+    return tokens[first[levels[first] > 0]] if filters.complete else tokens[first]
 
 
-def _postings(batches: Iterator[pa.RecordBatch], k: int, threshold: int, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], k: int, threshold: int, filters: Filters) -> Iterator[pa.RecordBatch]:
     words, seen = WordHashes(), set()
     out, owners, size = [], [], 0
 
@@ -124,7 +201,7 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, threshold: int, ranks:
                 continue
             if len(seen) < 500_000:
                 seen.add(digest)
-            own = short_lists(tokens, ranks, threshold)
+            own = short_lists(tokens, filters, threshold)
             out.append(own)
             owners.append((digest, len(own)))
             size += len(own)
@@ -213,12 +290,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     """(doc_id, n_shingles, component_id) for each document."""
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
-    profile = written(base.mapInArrow(lambda b: _profile(b, k), PROFILE))
-    ranks = spark.sparkContext.broadcast(_sketch(profile))
-    known = profile.filter("chunk is null").select("doc_id", "n", "digest")
+    chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
+    bucket_bits = min(30, max(0, (chars // BUCKET_CHARS).bit_length()))
+    profile = written(base.mapInArrow(lambda b: _profile(b, k, bucket_bits), PROFILE))
+    filters = spark.sparkContext.broadcast(_filters(profile, bucket_bits))
+    known = profile.filter("bucket is null").select("doc_id", "n", "digest")
     classes = known.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
 
-    postings = base.select("text").mapInArrow(lambda b: _postings(b, k, threshold, ranks.value), "token long, digest long")
+    postings = base.select("text").mapInArrow(lambda b: _postings(b, k, threshold, filters.value), "token long, digest long")
     # most lists have one class and end here; sorting by token spills, and nothing else of a list is held
     ties = written(postings.withColumn("center", F.min("digest").over(Window.partitionBy("token"))).filter("digest != center").select("center", "digest").distinct())
 
