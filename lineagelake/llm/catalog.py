@@ -17,6 +17,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineagelake.llm.line_dedup import drop_repeated_runs
+
+    return drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineagelake.llm.language_id import fit, identify
 
@@ -74,8 +80,25 @@ SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdic
 FROM parts p LEFT JOIN hits h ON p.page_id = h.page_id
 """
 
+OP2_SQL = r"""
+WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i, len(l) AS n FROM cut),
+wins AS (
+  SELECT doc_id, i, n, [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS win FROM lines
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+firsts AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM wins WHERE i <= n - 3),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM firsts, (VALUES (0), (1), (2)) t(d) WHERE k > 1),
+kept AS (
+  SELECT l.doc_id, string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS text, any_value(l.n) AS n_lines, count(g.i) AS n_removed
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CAST(coalesce(k.n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(k.n_removed, 0) AS INTEGER) AS n_removed
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op8_token_codes": op8_token_codes,
@@ -83,7 +106,7 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES = {"op1_url_filter": OP1_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_line_dedup": OP2_SQL}
 
 
 def queries() -> dict:
