@@ -45,6 +45,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineagelake.llm.quality import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return classify(docs, table(spark, sf_dir, "labels"), site=F.col("source"), path=F.col("lang"))
+
+
 def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -108,6 +115,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_token_codes": op8_token_codes,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,

@@ -4,7 +4,8 @@ A known word is scored by its log frequency per language. An unseen word falls b
 longest length for which any is known, and so on down to single letters. A text's score is the mean log likelihood per
 word, turned into a posterior over the learned languages.
 
-The model is fitted on a bounded sample of labelled rows: the MAX_TRAIN_DOCS rows with the smallest hash. Its tables
+The model is fitted on a bounded sample of labelled rows: the MAX_TRAIN_DOCS rows with the smallest hash (and any rows
+of the same hash as the last). Its tables
 hold the MAX_WORDS commonest words and the MAX_GRAMS commonest n-grams, so the broadcast model has a proven bound.
 Everything else covers all rows and whole texts.
 
@@ -26,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TRAIN_DOCS = 20_000
-MAX_WORDS = 200_000
-MAX_GRAMS = 200_000
+MAX_WORDS = 100_000
+MAX_GRAMS = 100_000
 GRAM_LENGTHS = (5, 4, 3, 2, 1)
 #: Evidence of more words than this doesn't sharpen the posterior any more (words of a text depend on one another).
 EVIDENCE_WORDS = 30
@@ -75,8 +76,10 @@ def _log_shares(counts: pd.DataFrame, key: str, languages: list[str], totals: di
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None, max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """docs: labelled rows; those without label or text are left out."""
     order = F.xxhash64(text, lang) if order is None else order
-    sample = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("lang"), order.alias("o"))
-    sample = sample.orderBy("o", "lang", F.xxhash64("t")).limit(max_docs)
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("_o", order)
+    # the sample's last hash first, without the texts
+    last = labelled.select("_o").orderBy("_o").limit(max_docs).agg(F.max("_o")).first()[0]
+    sample = labelled.filter(F.col("_o") <= F.lit(last)).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("lang"), F.col("_o").alias("o"))
     n_parts = max(8, docs.sparkSession.sparkContext.defaultParallelism)
     words = (
         sample.repartition(n_parts, "o").select("lang", F.explode(F.expr(rf"regexp_extract_all(lower(t), '{SQL_LETTERS}', 0)")).alias("word"))
