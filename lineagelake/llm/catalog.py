@@ -39,6 +39,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineagelake.llm.media import image_copies, render_vectors
+
+    return image_copies(render_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineagelake.llm.substring_dedup import repeated_passages
 
@@ -114,6 +120,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_image_copies": op5_image_copies,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_token_codes": op8_token_codes,
