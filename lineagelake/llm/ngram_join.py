@@ -46,7 +46,7 @@ REPEATED_BITS, FREQUENT_BITS, PROBES = 28, 24, 3
 #: Occurrences from which a shingle is frequent; a task's chunk counts up to CHUNK_COUNT.
 FREQUENT, CHUNK_COUNT = 64, 15
 #: Characters of text behind a bucket of residues; shingles of a chunk.
-BUCKET_CHARS, CHUNK_SHINGLES = 1 << 20, 4_000_000
+BUCKET_CHARS, CHUNK_SHINGLES = 1 << 20, 2_000_000
 #: Filter bits sent by a task in one row.
 CHUNK_BITS = 1 << 20
 #: Bytes of class names that executors get whole, so that texts needn't be shuffled to them.

@@ -13,7 +13,7 @@ FINAL = np.uint64(0xFF51AFD7ED558CCD)
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, remembered up to a bound."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
