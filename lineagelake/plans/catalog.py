@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from lineagelake.plans import incidence_queries, pair_queries, pedigree_queries  # noqa: F401  they register
+from lineagelake.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
