@@ -48,7 +48,7 @@ UNSURE = re.compile("['ªµºĀ-\U0010ffff]|\\s[^\\S ]")
 class Encoder:
     """Encodes texts with a public tokenizer file; remembers the ids of words up to a bound."""
 
-    MEMO = 400_000
+    MEMO = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,6 +86,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process: what a task has learned serves the worker's next tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pack(doc_ids: np.ndarray, offsets: np.ndarray, ids: np.ndarray, bits: int = CHUNK_BITS) -> bytes:
     """The segment file of these documents."""
     chunk = np.uint8 if bits == 8 else np.uint16
@@ -170,7 +180,7 @@ class Segment:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, part_of) -> Iterator[pa.RecordBatch]:
-    encode, part, number = Encoder(path), part_of(), 0
+    encode, part, number = encoder(path), part_of(), 0
     end = np.array([end_id], "<u4").tobytes()
     docs, ids, size = [], [], 0
 
