@@ -54,7 +54,7 @@ def fit(n11: float, n10: float, n01: float, n00: float) -> tuple[float, float]:
     p11 = bvn_upper(h, k, r)
     density = math.exp(-(h * h - 2 * r * h * k + k * k) / (2 * (1 - r * r))) / (2 * math.pi * math.sqrt(1 - r * r))
     info = n * density**2 * sum(1 / max(p, 1e-12) for p in (p11, p1 - p11, p2 - p11, 1 - p1 - p2 + p11))
-    return r, 1 / math.sqrt(info) if info > 0 else math.nan
+    return r, 1 / math.sqrt(info) if info > 1e-4 else math.nan
 
 
 @F.pandas_udf(T.StructType().add("r", T.DoubleType()).add("se", T.DoubleType()))

@@ -100,10 +100,10 @@ def joint_affection_by_sex(spark, sf_dir):
     return inc.joint_affection(fx.censored(spark, sf_dir), ("sex",))
 
 
-@query("censor_apply", f"WITH {fx.SQL_CENS} SELECT id, round(death_age, 5) AS death_age, " + ", ".join(f"age_censored{n}, round(t_observed{n}, 5) AS t_observed{n}, death_censored{n}, affected{n}" for n in (1, 2)) + " FROM cens")
+@query("censor_apply", f"WITH {fx.SQL_CENS} SELECT id, death_age, " + ", ".join(f"age_censored{n}, t_observed{n}, death_censored{n}, affected{n}" for n in (1, 2)) + " FROM cens")
 def censor_apply(spark, sf_dir):
     cols = [c for n in (1, 2) for c in (f"age_censored{n}", f"t_observed{n}", f"death_censored{n}", f"affected{n}")]
-    return _round(fx.censored(spark, sf_dir).select("id", "death_age", *cols), "death_age", "t_observed1", "t_observed2", places=5)
+    return fx.censored(spark, sf_dir).select("id", "death_age", *cols)
 
 
 @query("censor_confusion", _TRAITS + "SELECT trait, count(*) FILTER (t < 80 AND affected) AS tp, count(*) FILTER (t < 80 AND NOT affected) AS fn, count(*) FILTER (t >= 80 AND affected) AS fp, count(*) FILTER (t >= 80 AND NOT affected) AS tn, count(*) AS n FROM trw WHERE hi > lo GROUP BY trait")
