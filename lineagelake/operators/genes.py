@@ -40,7 +40,7 @@ def maf_filter(catalog: DataFrame, threshold: float) -> DataFrame:
     return catalog.filter(F.least(F.col("AF"), 1 - F.col("AF")) > threshold)
 
 
-def causal_effects(catalog: DataFrame, maf: float = 0.01, num_causal: int | None = None, frac_causal: float | None = None, alpha: float = -1.0, trait_id: int = 0, seed: int = rng.DEFAULT_SEED) -> DataFrame:
+def causal_effects(catalog: DataFrame, maf: float = 0.01, num_causal: int | None = None, frac_causal: float | None = None, alpha: float = -0.5, effect_mean: float = 0.0, effect_var: float = 1.0, trait_id: int = 0, seed: int = rng.DEFAULT_SEED) -> DataFrame:
     """Sites drawn uniformly with effects normal times [2p(1-p)]^alpha."""
     if (num_causal is None) == (frac_causal is None):
         raise ValueError("give either num_causal or frac_causal")
@@ -48,7 +48,7 @@ def causal_effects(catalog: DataFrame, maf: float = 0.01, num_causal: int | None
     n = num_causal if num_causal is not None else round(frac_causal * eligible.count())
     keyed = eligible.withColumn("id", F.col("CHR").cast("long") * 10**12 + F.col("site_id"))
     picked = smallest(keyed, rng.integer("causal", F.col("id"), seed=seed), n)
-    beta = rng.normal("beta", F.col("id"), F.lit(trait_id), seed=seed) * F.pow(2 * F.col("AF") * (1 - F.col("AF")), F.lit(alpha))
+    beta = (effect_mean + effect_var**0.5 * rng.normal("beta", F.col("id"), F.lit(trait_id), seed=seed)) * F.pow(2 * F.col("AF") * (1 - F.col("AF")), F.lit(alpha))
     return picked.withColumns({"effect_size": beta, "trait_id": F.lit(trait_id)}).drop("id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineagelake.plans import incidence_queries, model_queries, pair_queries, pedigree_queries  # noqa: F401  they register
+from lineagelake.plans import event_queries, incidence_queries, model_queries, pair_queries, pedigree_queries  # noqa: F401  they register
 from lineagelake.plans.registry import QUERIES, SQL
 
 
