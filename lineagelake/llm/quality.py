@@ -34,6 +34,8 @@ from lineagelake.llm.common import written
 MAX_TRAIN_DOCS = 20_000
 MIN_FEATURE_DOCS = 5
 KEPT_FEATURES = 3_000
+#: Texts whose features a task holds at once.
+TEXTS_HELD = 200
 RIDGE, STEPS = 0.1, 400
 SOFT_WEIGHT = 0.25
 QUALITY_FROM, TOXIC_FROM = 0.5, 0.3
@@ -93,7 +95,9 @@ def fit(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], doc_id: str
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pd.DataFrame({"f": [list(features(t)) for t in pdf["t"]], **{c: pdf[c] for c in names}})
+            for k in range(0, len(pdf), TEXTS_HELD):
+                own = pdf.iloc[k : k + TEXTS_HELD]
+                yield pd.DataFrame({"f": [list(features(t)) for t in own["t"]], **{c: own[c] for c in names}})
 
     sample = written(sample.repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism)).mapInPandas(rows, "f array<string>, " + ", ".join(f"{c} int" for c in names)))
     out = {}
@@ -141,8 +145,11 @@ def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, qua
     def evidence(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = sent.value
         for texts in parts:
-            got = [features(t) for t in texts]
-            yield pd.DataFrame({c: [m[c](f) for f in got] for c in names})
+            out = np.zeros((len(texts), len(names)))
+            for i, t in enumerate(texts):  # one text's features at a time
+                found = features(t)
+                out[i] = [m[c](found) for c in names]
+            yield pd.DataFrame(out, columns=list(names))
 
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(site.cast("string"), F.lit("")).alias("site"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), evidence(F.col(text)).alias("e"))
     base = written(base)
