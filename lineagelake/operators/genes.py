@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,12 +128,12 @@ def gene_drop(ped: DataFrame, founders: DataFrame, rates: DataFrame, seed: int =
 
     A stand-in for a coalescent engine: along a chromosome a child's haplotype follows one of its parent's two strands
     and changes over with the recombination probability between neighbouring sites (rates: CHR, site_id, r to the site
-    before), drawn from digests. One join of the parents' haplotypes for each generation.
+    before), drawn from digests. One join with the haplotypes so far for each generation.
     """
     from pyspark.sql import Window
 
     top = ped.agg(F.max("generation")).first()[0] or 0
-    now, every = founders, [founders]
+    every = [founders]
     for g in range(1, top + 1):
         kids = ped.filter(F.col("generation") == g).select("id", F.expr("inline(array(struct(0 as strand, mother as parent), struct(1 as strand, father as parent)))")).filter("parent >= 0")
         change = kids.crossJoin(F.broadcast(rates))  # sites of a panel
@@ -140,13 +141,9 @@ def gene_drop(ped: DataFrame, founders: DataFrame, rates: DataFrame, seed: int =
         start = (rng.uniform("start", F.col("id"), F.col("strand"), F.col("CHR"), seed=seed) < 0.5).cast("int")
         w = Window.partitionBy("id", "strand", "CHR").orderBy("site_id")
         source = change.withColumn("from_strand", ((start + F.sum(flip).over(w)) % 2).cast("int"))
-        up = now.select(F.col("id").alias("parent"), F.col("strand").alias("from_strand"), "CHR", "site_id", "allele")
-        now = cut(source.join(up, ["parent", "from_strand", "CHR", "site_id"]).select("id", "strand", "CHR", "site_id", "allele"))
-        every.append(now)
-    out = every[0]
-    for more in every[1:]:
-        out = out.unionByName(more)
-    return out
+        up = reduce(DataFrame.unionByName, every).select(F.col("id").alias("parent"), F.col("strand").alias("from_strand"), "CHR", "site_id", "allele")
+        every.append(cut(source.join(up, ["parent", "from_strand", "CHR", "site_id"]).select("id", "strand", "CHR", "site_id", "allele")))
+    return reduce(DataFrame.unionByName, every)
 
 
 def liability_r(code: str) -> tuple[float, float]:

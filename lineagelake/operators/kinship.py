@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,9 +91,12 @@ def contributions(ped: DataFrame) -> DataFrame:
     edges = parent_edges(ped).select("child", "parent")
     now = ped.filter(F.col("generation") == top).select("id").withColumn("w", F.lit(1.0))
     total = now.count()
+    done = []
     for _ in range(top):
+        done.append(now.join(edges, F.col("id") == F.col("child"), "left_anti"))
         now = cut(now.join(edges, F.col("id") == F.col("child")).groupBy("parent").agg((F.sum("w") / 2).alias("w")).withColumnRenamed("parent", "id"))
-    return now.select(F.col("id").alias("founder"), (F.col("w") / F.lit(float(total or 1))).alias("c"))
+    every = reduce(DataFrame.unionByName, [*done, now]).groupBy("id").agg(F.sum("w").alias("w"))
+    return every.select(F.col("id").alias("founder"), (F.col("w") / F.lit(float(total or 1))).alias("c"))
 
 
 def effective_sizes(ped: DataFrame) -> DataFrame:
