@@ -320,7 +320,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document, that of the smallest id, of each component."""
+    """docs with one document, that of the smallest id, of each component; documents without an id stay."""
     kept = jaccard_components(docs, **how).filter("component_id = doc_id").select(F.col("doc_id").alias("_kept"))
     name = how.get("doc_id", "doc_id")
-    return docs.join(kept, docs[name] == kept["_kept"], "left_semi").dropDuplicates([name])
+    named = docs.join(kept, docs[name] == kept["_kept"], "left_semi").dropDuplicates([name])
+    return named.unionByName(docs.filter(F.col(name).isNull()))
