@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TRAIN_DOCS = 20_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 100_000
+MAX_WORDS = 50_000
+MAX_GRAMS = 50_000
 GRAM_LENGTHS = (5, 4, 3, 2, 1)
 #: Evidence of more words than this doesn't sharpen the posterior any more (words of a text depend on one another).
 EVIDENCE_WORDS = 30
@@ -62,15 +62,14 @@ class Model:
         return self.floor
 
 
-def _log_shares(counts: pd.DataFrame, key: str, languages: list[str], totals: dict[str, float]) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log frequency per language for the collected, bounded table of counts."""
-    names = sorted(counts[key].unique())
-    at = {x: i for i, x in enumerate(names)}
-    table = np.full((len(names), len(languages)), 0.5)
-    for name, lang, n in zip(counts[key], counts["lang"], counts["n"]):
-        table[at[name], languages.index(lang)] += n
-    size = np.array([totals.get(x, 0) + 0.5 * max(1, len(names)) for x in languages])
-    return at, np.log(table / size)
+def _log_shares(counts: DataFrame, key: str, languages: list[str], totals: dict[str, float], n: int, least: int) -> tuple[dict[str, int], np.ndarray]:
+    """Smoothed log frequency per language of the n commonest keys; they come to the driver as columns, one row a key."""
+    wide = counts.groupBy(key).pivot("lang", languages).agg(F.sum("n").cast("double")) if languages else counts.select(key).limit(0)
+    total = sum((F.coalesce(F.col(f"`{x}`"), F.lit(0.0)) for x in languages), F.lit(0.0))
+    rows = wide.withColumn("_total", total).filter(F.col("_total") >= least).orderBy(F.desc("_total"), key).limit(n).drop("_total").toArrow()
+    table = np.column_stack([rows.column(x).fill_null(0).to_numpy() for x in languages]) + 0.5 if languages else np.zeros((0, 0))
+    size = np.array([totals.get(x, 0) + 0.5 * max(1, len(table)) for x in languages])
+    return {k: i for i, k in enumerate(rows.column(key).to_pylist())}, np.log(table / size)
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column | None = None, max_docs: int = MAX_TRAIN_DOCS) -> Model:
@@ -90,19 +89,15 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column |
     words = written(words)
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").cast("double").alias("n")).collect()}
     languages = sorted(totals)
-    top = words.groupBy("word").agg(F.sum("n").alias("total")).filter("total >= 2").orderBy(F.desc("total"), "word").limit(MAX_WORDS)
-    known = words.join(top, "word").select("word", "lang", "n").toPandas()
     lengths = ",".join(map(str, GRAM_LENGTHS))
     grams = words.select(
         "lang", "n",
         F.explode(F.expr(f"flatten(transform(array({lengths}), k -> if(length(word) + 2 >= k, transform(sequence(1, length(word) + 3 - k), i -> substring(concat('_', word, '_'), i, k)), array())))")).alias("gram"),
     ).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     grams = written(grams)
-    top = grams.groupBy("gram").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "gram").limit(MAX_GRAMS)
-    kept = grams.join(top, "gram").select("gram", "lang", "n").toPandas()
     gram_totals = {r.lang: r.n for r in grams.groupBy("lang").agg(F.sum("n").cast("double").alias("n")).collect()}
-    word_at, word_scores = _log_shares(known, "word", languages, totals)
-    gram_at, gram_scores = _log_shares(kept, "gram", languages, gram_totals)
+    word_at, word_scores = _log_shares(words, "word", languages, totals, MAX_WORDS, 2)
+    gram_at, gram_scores = _log_shares(grams, "gram", languages, gram_totals, MAX_GRAMS, 1)
     floor = np.full(len(languages), math.log(1e-9))
     return Model(languages, word_at, gram_at, word_scores, gram_scores, floor)
 
