@@ -105,7 +105,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column |
 class Scorer:
     """Scores texts; remembers the scores of words up to a bound."""
 
-    MEMO = 500_000
+    MEMO = 150_000
 
     def __init__(self, model: Model):
         self.model, self.memo = model, {}

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lineagelake.llm.common import written
 from lineagelake.llm.components import components
-from lineagelake.llm.shingles import WordHashes, mix, shingle_set
+from lineagelake.llm.shingles import WordHashes, mix, release, shingle_set
 
 SHINGLE_WORDS = 5
 #: Similarity in hundredths, so that the test is exact.
@@ -46,15 +46,15 @@ REPEATED_BITS, FREQUENT_BITS, PROBES = 28, 24, 3
 #: Occurrences from which a shingle is frequent; a task's chunk counts up to CHUNK_COUNT.
 FREQUENT, CHUNK_COUNT = 64, 15
 #: Characters of text behind a bucket of residues; shingles of a chunk.
-BUCKET_CHARS, CHUNK_SHINGLES = 1 << 20, 2_000_000
+BUCKET_CHARS, CHUNK_SHINGLES = 1 << 20, 1_000_000
 #: Filter bits sent by a task in one row.
 CHUNK_BITS = 1 << 20
 #: Bytes of class names that executors get whole, so that texts needn't be shuffled to them.
 MAX_BROADCAST = 64 << 20
 #: Documents in a block; two blocks meet in a task.
 BLOCK = 256
-#: Postings gathered before they leave the Python side.
-BATCH_POSTINGS = 200_000
+#: Postings gathered before they leave the Python side; digests of texts that a task remembers, to count copies once.
+BATCH_POSTINGS, SEEN = 200_000, 200_000
 
 PROFILE = "doc_id long, n int, digest long, bucket int, residues binary"
 
@@ -85,7 +85,7 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int, bucket_bits: int) -> Ite
             sizes.append(len(tokens))
             digests.append(digest)
             if len(tokens) and digest not in seen:  # copies in one task count once
-                if len(seen) < 500_000:
+                if len(seen) < SEEN:
                     seen.add(digest)
                 held.append(tokens)
                 size += len(tokens)
@@ -95,6 +95,7 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int, bucket_bits: int) -> Ite
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(digests, pa.int64()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], schema=schema)
     if held:
         yield flush()
+    release()
 
 
 def _places(bucket: np.ndarray, residue: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -199,7 +200,7 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, threshold: int, filters
             tokens = shingle_set(words.of(text.as_py()), k)
             if not len(tokens) or (digest := _set_digest(tokens)) in seen:
                 continue
-            if len(seen) < 500_000:
+            if len(seen) < SEEN:
                 seen.add(digest)
             own = short_lists(tokens, filters, threshold)
             out.append(own)
@@ -210,6 +211,7 @@ def _postings(batches: Iterator[pa.RecordBatch], k: int, threshold: int, filters
                 out, owners, size = [], [], 0
     if out:
         yield flush()
+    release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -222,6 +224,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
                 for name, x in (("digest", digest.as_py()), ("rep", rep.as_py()), ("tokens", tokens.tobytes())):
                     kept[name].append(x)
         yield pa.record_batch([pa.array(kept["digest"], pa.int64()), pa.array(kept["rep"], pa.int64()), pa.array(kept["tokens"], pa.binary())], names=list(kept))
+    release()
 
 
 def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Odd multiplier of the polynomial over word hashes, and multiplier of the finaliser.
@@ -13,7 +14,7 @@ FINAL = np.uint64(0xFF51AFD7ED558CCD)
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, remembered up to a bound."""
 
-    LIMIT = 250_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -49,3 +50,8 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     if not len(words):
         return words
     return np.unique(grams(words, min(k, len(words))))
+
+
+def release() -> None:
+    """Gives Arrow's free memory back at the end of a task; a worker that waits would keep it beside its executor's heap."""
+    pa.default_memory_pool().release_unused()
