@@ -223,6 +223,40 @@ def test_chains_are_best_by_brute_force():
         assert score(first) == pytest.approx(max(map(score, every)))
 
 
+def test_chains_go_on_after_a_long_one():
+    k, far = 8, substring_dedup.MAX_GAP
+    rng = np.random.RandomState(6)
+    for gap in (65, 80, 100, 200, 500):
+        for size in (100, 200):
+            one = np.arange(0, size - k, 7)
+            two = size + gap + np.arange(0, size - k, 9)
+            x = np.concatenate([one, two])
+            got = {tuple(c) for c in substring_dedup.chains(x, x + 7, k)}
+            assert got == {tuple(range(len(one))), tuple(range(len(one), len(x)))}, (gap, size)
+    for _ in range(200):
+        n = rng.randint(2, 60)
+        x, y = np.unique(np.stack([rng.randint(0, 400, n), rng.randint(0, 400, n)]), axis=1)
+        score = []  # best chain that ends at each match, by all predecessors
+        for i in range(len(x)):
+            near = [score[j] - substring_dedup.GAP_COST * (x[i] - x[j] + y[i] - y[j]) for j in range(i) if 0 < x[i] - x[j] <= far and 0 < y[i] - y[j] <= far]
+            score.append(k + max([0, *near]))
+        first = substring_dedup.chains(x, y, k)[0]
+        assert all(x[b] - x[a] <= far and y[b] - y[a] <= far for a, b in zip(first, first[1:]))
+        assert k * len(first) - substring_dedup.GAP_COST * (x[first[-1]] + y[first[-1]] - x[first[0]] - y[first[0]]) == pytest.approx(max(score))
+
+
+def test_second_of_two_long_passages_is_found(spark):
+    rng = random.Random(12)
+    rows = []
+    for i, (size, gap) in enumerate([(200, 100), (100, 80), (200, 65), (200, 500)]):
+        one, two = prose(rng, size), prose(rng, size)
+        for k in (0, 1):
+            rows.append((2 * i + k, " ".join([prose(rng, 30), one, prose(rng, gap), two, prose(rng, 30)]), None, None))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    for i, (size, gap) in enumerate([(200, 100), (100, 80), (200, 65), (200, 500)]):
+        assert sorted((r.first_word, r.n_words) for r in got if r.doc_id == 2 * i + 1) == [(30, size), (30 + size + gap, size)]
+
+
 # quality
 
 
