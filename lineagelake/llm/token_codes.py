@@ -13,7 +13,8 @@ A file is one segment: a run of documents in ascending doc_id order, of at most
 document. Spark writes segments as rows of a Parquet table in the shared folder, with the part and number that order
 them, so that lost tasks are simply run again.
 
-Null texts are encoded as empty; each document ends with end_id. Null doc_ids come first and are kept as null. Repeated
+Ids are those of the library's own call without added special tokens; a special token within a text is its one id. Null
+texts are encoded as empty; each document ends with end_id. Null doc_ids come first and are kept as null. Repeated
 rows stay, in a row. An empty table gives an empty result. A text of any length is one document of one segment.
 """
 
@@ -50,12 +51,15 @@ class Encoder:
 
     MEMO = 1_000_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
+        """special: special tokens that a text holds are single ids, as the library has them by default, not plain text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        #: The library looks for these before it cuts a text; a text with one is encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -68,7 +72,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 out.append(b"")
-            elif UNSURE.search(text):
+            elif UNSURE.search(text) or any(t in text for t in self.added):
                 out.append(self._fresh([text])[0])
             else:
                 pieces = PIECES.findall(text)
@@ -92,7 +96,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One for each worker process: what a task has learned serves the worker's next tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, special=True)
     return _ENCODERS[path]
 
 

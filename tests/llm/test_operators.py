@@ -331,6 +331,21 @@ def test_codes_of_a_table(spark, monkeypatch):
     assert token_codes.read_index(token_codes.write_codes(spark.createDataFrame([], DOCS), tokenizer_path())).count() == 0
 
 
+def test_special_tokens_in_texts_are_single_ids(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = [*ODD, "a <|endoftext|> b", "<|endoftext|>", "word<|endoftext|><|endoftext|>word", "plain words <|endoftext", "a b"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[-5].count(plain.token_to_id("<|endoftext|>")) == 1
+    assert [np.frombuffer(g, "<u4").tolist() for g in token_codes.encoder(tokenizer_path())(texts)] == want
+    out = token_codes.read_index(token_codes.write_codes(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS), tokenizer_path())).orderBy("start").collect()
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in out] == [(i, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())) for i, ids in enumerate(want)]
+    assert [r.start for r in out] == np.concatenate([[0], np.cumsum([r.n_tokens for r in out])])[:-1].tolist()
+
+
 # decontamination
 
 
