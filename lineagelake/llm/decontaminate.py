@@ -1,6 +1,7 @@
 """Benchmark decontamination: a BM25 index of the test items, searched with every training passage by block-max WAND.
 
-Test items are cut into entries of at most ENTRY_WORDS words. An entry's BM25 weights are divided by its score against
+Test items of up to ENTRY_WORDS words are an entry; longer ones are cut into entries of just ENTRY_WORDS words, spread
+evenly and overlapping, so that the last holds the item's last words. An entry's BM25 weights are divided by its score against
 itself, so one threshold holds for all. Every training text is cut into overlapping passages that are long enough to
 hold a whole entry. For a passage
 
@@ -10,7 +11,8 @@ hold a whole entry. For a passage
 2. for the rest, the maxima of the terms' posting blocks are added up by block, and blocks below the threshold skipped;
 3. entries in the blocks left are scored exactly, and all at or above the threshold are retrieved;
 4. question and answer are verified: the share of the question's word trigrams, and of the answer's words, that occur
-   in the passage. The last sentence of an entry is its answer; an entry of one sentence is a question alone.
+   in the passage. The last sentence of an item is its answer; an item of one sentence is a question alone. An item of
+   several entries is verified whole, against the passage and the words around it where the item's others would stand.
 
 Words are ASCII lower-cased runs without white space and ASCII punctuation. An index of up to MAX_BROADCAST bytes goes
 to each executor whole; a longer one is cut into shards, each searched with all passages, with term statistics of all
@@ -55,21 +57,28 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def entries_of(text: str | None) -> list[tuple[list[bytes], int]]:
-    """(words, words of the question) for each entry of an item."""
+def placed_entries(text: str | None) -> list[tuple[list[bytes], int, int, int]]:
+    """(words, words of the question, first word, words of the item's question) for each entry of an item."""
     if not text:
         return []
     parts = [w for s in _SENTENCE_END.split(text) if (w := words(s))]
-    answer = len(parts[-1]) if len(parts) > 1 else 0
     flat = [w for p in parts for w in p]
+    asked = len(flat) - (len(parts[-1]) if len(parts) > 1 else 0)
+    n = -(-len(flat) // ENTRY_WORDS)
     out = []
-    for k in range(0, len(flat), ENTRY_WORDS):
-        piece = flat[k : k + ENTRY_WORDS]
-        q = min(max(0, len(flat) - answer - k), len(piece))
-        out.append((piece, q or len(piece)))
+    for k in range(n):
+        at = k * (len(flat) - ENTRY_WORDS) // (n - 1) if n > 1 else 0
+        piece = flat[at : at + ENTRY_WORDS]
+        q = min(max(0, asked - at), len(piece))
+        out.append((piece, q or len(piece), at, asked))
     return out
 
 
+def entries_of(text: str | None) -> list[tuple[list[bytes], int]]:
+    """(words, words of the question) for each entry of an item."""
+    return [(w, q) for w, q, _, _ in placed_entries(text)]
+
+
 def _trigrams(ws: list) -> set:
     k = min(3, len(ws))
     return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if k else set()
@@ -87,11 +96,20 @@ class Index:
     essential: np.ndarray  # a term's maximum, 0 if it is set aside
     slack: float
     meta: list[tuple[int, int, list[bytes], int]]  # item, entry number, words, question words
+    whole: list[tuple[list[bytes], int, int]]  # all words of the entry's item, its question words, the entry's first word
 
 
 def build(rows: list, df: dict[bytes, int], n: int, mean_len: float, slack: float = SLACK) -> Index:
-    """rows: (item_id, entry, words, question words)."""
+    """rows: (item_id, entry, words, question words), with the first word and the item's question words where it has several
+    entries; these are in a row."""
     meta = [(r[0], r[1], list(r[2]), r[3]) for r in rows]
+    whole, item = [], []
+    for (_, number, ws, q), r in zip(meta, rows):
+        at, asked = r[4:] or (0, q)
+        if number == 0:
+            item = []
+        item += ws[len(item) - at :]
+        whole.append((item, asked, at))
     vocab: dict[bytes, int] = {}
     term, entry, weight = [], [], []
     for e, (_, _, ws, _) in enumerate(meta):
@@ -120,7 +138,7 @@ def build(rows: list, df: dict[bytes, int], n: int, mean_len: float, slack: floa
         if gained[entry[own]].max() > slack:
             break
         essential[t] = 0
-    return Index(vocab, starts, entry, weight, np.searchsorted(term[first], np.arange(len(vocab) + 1)), entry[first] // BLOCK_ENTRIES, block_max, essential, slack, meta)
+    return Index(vocab, starts, entry, weight, np.searchsorted(term[first], np.arange(len(vocab) + 1)), entry[first] // BLOCK_ENTRIES, block_max, essential, slack, meta, whole)
 
 
 def _gather(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -160,9 +178,12 @@ def search(index: Index, text: str, threshold: float) -> dict[int, tuple[float,
         hits, scores = retrieve(index, own[own >= 0], threshold)
         if not len(hits):
             continue
-        passage, grams = set(ws[a:b]), _trigrams(ws[a:b])
+        near = None
         for e, score in zip(hits.tolist(), scores.tolist()):
-            _, _, item, q = index.meta[e]
+            item, q, at = index.whole[e]
+            lo_, hi_ = max(0, a - at), b + len(item) - at - len(index.meta[e][2])
+            if near != (lo_, hi_):
+                near, passage, grams = (lo_, hi_), set(ws[lo_:hi_]), _trigrams(ws[lo_:hi_])
             question, answer = _trigrams(item[:q]), set(item[q:])
             if len(item[:q]) < 3:
                 asked = len(set(item[:q]) & passage) / max(1, len(set(item[:q])))
@@ -180,18 +201,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            rows = [(i, k, w, q) for i, t in zip(pdf["i"], pdf["t"]) for k, (w, q) in enumerate(entries_of(t))]
-            yield pd.DataFrame(rows, columns=["item_id", "entry", "words", "question"])
+            rows = [(i, x, k, *e) for i, t, x in zip(pdf["i"], pdf["t"], pdf["x"]) for k, e in enumerate(placed_entries(t))]
+            yield pd.DataFrame(rows, columns=["item_id", "item_text", "entry", "words", "question", "at", "asked"])
 
-    entries = written(items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i is not null").distinct().mapInPandas(cut, "item_id long, entry int, words array<binary>, question int"))
+    entries = written(items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i is not null").distinct().withColumn("x", F.md5("t")).mapInPandas(cut, "item_id long, item_text string, entry int, words array<binary>, question int, at int, asked int"))
     count, mean_len, size = entries.agg(F.count("*"), F.avg(F.size("words")), F.sum(F.expr("aggregate(words, 0L, (a, w) -> a + length(w) + 64)"))).first()
     df = written(entries.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null")
     shards, found = max(1, -(-(size or 0) // max_broadcast)), []
     for shard in range(shards):
-        mine = entries.filter(F.pmod(F.xxhash64("item_id", "entry"), F.lit(shards)) == shard)
+        mine = entries.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(shards)) == shard)
         known = mine.select(F.explode("words").alias("w")).distinct().join(df, "w")
-        index = build([(r.item_id, r.entry, [bytes(w) for w in r.words], r.question) for r in mine.orderBy("item_id", "entry").collect()], {bytes(r.w): r.n for r in known.collect()}, count, mean_len or 1.0)
+        index = build([(r.item_id, r.entry, [bytes(w) for w in r.words], r.question, r.at, r.asked) for r in mine.orderBy("item_id", "item_text", "entry").collect()], {bytes(r.w): r.n for r in known.collect()}, count, mean_len or 1.0)
         sent = spark.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -378,6 +378,26 @@ def test_leaks_found_and_search_equals_plain_scores(spark):
         assert hit.tolist() == np.flatnonzero(plain >= threshold).tolist() and np.allclose(score, plain[hit])
 
 
+def test_items_longer_than_an_entry(spark):
+    rng = random.Random(21)
+    for n in (1, 63, 64, 65, 66, 128, 129, 300):
+        flat = decontaminate.words(prose(rng, n))
+        cuts = decontaminate.placed_entries(b" ".join(flat).decode())
+        assert {len(c[0]) for c in cuts} == {min(n, 64)} and len(cuts) == -(-n // 64)
+        assert set(range(n)) == {c[2] + k for c in cuts for k in range(len(c[0]))} and all(flat[c[2] : c[2] + len(c[0])] == c[0] for c in cuts)
+    common = prose(rng, 1)
+    items = [(1, f"{prose(rng, 64)} {common}"), (2, f"{prose(rng, 150)}. {prose(rng, 10)}."), (3, f"{prose(rng, 60)}. {prose(rng, 90)}."), (4, prose(rng, 20))]
+    long, asked = items[1][1].split(), items[2][1].split(". ")[0]
+    rows = [(i, prose(rng, 100) + f" {common} " + prose(rng, 100)) for i in range(10)]  # a tail word alone is no leak
+    rows += [(100 + i, prose(rng, 70 + i) + " " + t + " " + prose(rng, 90)) for i, t in items]
+    rows += [(200, prose(rng, 90) + " " + " ".join(long[:64]) + " " + prose(rng, 200)), (201, prose(rng, 90) + " " + asked + " " + prose(rng, 200))]  # less than half the question, no answer
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (decontaminate.MAX_BROADCAST, 4000):
+        got = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string"), max_broadcast=limit).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(100 + i, i) for i, _ in items}
+        assert all(r.question_overlap == r.answer_overlap == 1 for r in got)
+
+
 # mixing
 
 
