@@ -251,8 +251,8 @@ def gv_noise(spark, sf_dir):
 
 @query("gene_drop_founders")
 def gene_drop(spark, sf_dir):
-    ped = fx.pedigree(spark, sf_dir).filter("generation < 3")
-    sites = spark.range(20).select((F.col("id") % 2 + 1).alias("CHR"), F.col("id").alias("site_id"), F.lit(0.1).alias("r"))
+    ped = fx.pedigree(spark, sf_dir)
+    sites = _catalog(spark, sf_dir)[1].select("CHR", "site_id", F.lit(0.1).alias("r"))
     first = ped.filter("generation = 0").select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("strand")).crossJoin(F.broadcast(sites.drop("r")))
     first = first.withColumn("allele", (rng.integer("allele", F.col("id"), F.col("strand"), F.col("site_id")) % 2).cast("int"))
     return genes.gene_drop(ped, first, sites).groupBy("CHR", "site_id").agg(F.sum("allele").alias("n_alleles"), F.count("*").alias("n"))
@@ -272,6 +272,13 @@ def inbreeding(spark, sf_dir):
     return f.groupBy("generation").agg(F.round(F.avg("f"), 9).alias("mean_f"), F.count_if(F.col("f") > 0).alias("n_inbred"))
 
 
+@query("inbreeding_whole_pedigree")
+def inbreeding_whole(spark, sf_dir):
+    """All generations; SQL has no recursion for these, so that inbreeding_by_generation has the first three only."""
+    f = kinship.inbreeding(fx.pedigree(spark, sf_dir))
+    return f.groupBy("generation").agg(F.round(F.avg("f"), 9).alias("mean_f"), F.count_if(F.col("f") > 0).alias("n_inbred"))
+
+
 @query("ne_variance", f"""WITH {fx.SQL_PED}, k AS (SELECT p, count(*) AS k FROM (SELECT mother AS p FROM ped UNION ALL SELECT father FROM ped) WHERE p >= 0 GROUP BY p),
 o AS (SELECT generation, coalesce(k, 0) AS k FROM ped LEFT JOIN k ON id = p WHERE generation < 5), s AS (SELECT generation, count(*) AS n, avg(k) AS m, var_samp(k) AS v FROM o GROUP BY generation)
 SELECT generation, n, round(m, 6) AS mean_k, round(v, 6) AS var_k, round((4.0 * n - 2) / ((v - m) * pow(2 / m, 2) + 4), 4) AS ne FROM s""")

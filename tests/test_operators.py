@@ -221,3 +221,43 @@ def test_compare(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), ("a", 3, float("nan")), ("b", 1, 2.0)], "scenario string, rep int, value double")
     assert {r.scenario: (r.mean, r.low, r.high, r.n_reps) for r in compare.envelope(df, ["scenario"]).collect()} == {"a": (2.0, 1.0, 3.0, 2), "b": (2.0, 2.0, 2.0, 1)}
     assert {r.cell for r in compare.mean_sd_table(df, ["scenario"]).collect()} == {"2.0000 ± 1.4142", "2.0000"}
+
+
+# whole tables in registered queries
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_inbreeding_of_the_whole_pedigree(spark):
+    import __spark_entry__ as entry
+    from lineagelake.sources import fixture
+
+    people = sorted(fixture.pedigree(spark, SMALL).collect(), key=lambda r: r.id)
+    k = np.zeros((len(people), len(people)))  # the tabular method, ids in order of generation; founders are unrelated
+    for r in people:
+        i = r.id
+        if r.mother >= 0 and 0 <= r.twin < i:
+            k[i, : i + 1] = k[r.twin, : i + 1]
+            k[i, i] = k[i, r.twin] = k[r.twin, r.twin]
+        else:
+            if r.mother >= 0:
+                k[i, :i] = (k[r.mother, :i] + k[r.father, :i]) / 2
+            k[i, i] = (1 + (k[r.mother, r.father] if r.mother >= 0 else 0)) / 2
+        k[:i, i] = k[i, :i]
+    want = {}
+    for r in people:
+        want.setdefault(r.generation, []).append(2 * k[r.id, r.id] - 1)
+    got = {r.generation: r for r in entry.queries()["inbreeding_whole_pedigree"](spark, SMALL).collect()}
+    assert set(got) == set(want) == set(range(6))
+    for g, f in want.items():
+        assert got[g].mean_f == pytest.approx(np.mean(f), abs=2e-9) and got[g].n_inbred == sum(x > 0 for x in f)
+
+
+def test_gene_drop_covers_people_and_sites(spark):
+    import __spark_entry__ as entry
+    from lineagelake.sources import fixture
+
+    sites = {(r.CHR, r.site_id) for r in entry.queries()["site_catalog"](spark, SMALL).collect()}
+    got = entry.queries()["gene_drop_founders"](spark, SMALL).collect()
+    assert {(r.CHR, r.site_id) for r in got} == sites and len(got) == len(sites)
+    assert {r.n for r in got} == {2 * fixture.pedigree(spark, SMALL).count()} and all(0 <= r.n_alleles <= r.n for r in got)
