@@ -52,6 +52,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source and lang stand in for host and path: documents has no urls."""
     from lineagelake.llm.quality import classify
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
