@@ -449,8 +449,8 @@ def test_tilted_rates_solve_the_constraint(spark):
 # images
 
 
-def image(rng):
-    return np.clip(128 + 50 * sum(media._resize(rng.normal(0, 1, (k, k)), 96, 96) for k in (6, 12, 24)), 0, 255)
+def image(rng, k=(6, 12, 24), side=96):
+    return np.clip(128 + 50 * sum(media._resize(rng.normal(0, 1, (n, n)), side, side) for n in k), 0, 255)
 
 
 def test_cropped_and_edited_copies_link(spark):
@@ -460,13 +460,87 @@ def test_cropped_and_edited_copies_link(spark):
     edits = [lambda a: a[10:90, 8:92], lambda a: np.clip(a * 0.8 + 20, 0, 255), lambda a: a + rng.normal(0, 3, a.shape), lambda a: np.rot90(a)]
     rows += [(100 + 10 * i + e, media.write_pgm(edits[e](ims[i]))) for i in range(6) for e in range(4)]
     rows += [(200, rows[0][1]), (900, None), (901, b""), (902, b"P5 3"), (903, media.write_pgm(np.full((40, 40), 7.0))), (None, rows[1][1])]
-    got = {r.image: r for r in media.image_copies(spark.createDataFrame(rows, "image long, data binary")).collect()}
+    got = {r.image: r for r in media.image_copies(spark.createDataFrame([(*r, 0, "x") for r in rows], "image long, data binary, class_id int, k string")).collect()}
     assert len(got) == len(rows) - 1
     right = [got[100 + 10 * i + e].class_id == i for i in range(6) for e in range(4)]
     assert np.mean(right) >= 0.9 and got[200].class_id == 0
     assert all(got[i].class_id == i for i in (*range(12), 900, 901, 902, 903))
 
 
+def linked_by_all_pairs(files):
+    """The link rule for all pairs of images, without tables."""
+    found = {i: media.describe(media.read_pgm(d)) for i, d in files}
+    return [(a, b) for a, b in itertools.combinations(sorted(found), 2) if media.linked(*found[a], *found[b])]
+
+
+def classes_of(ids, links):
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        ra, rb = root(a), root(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    return {i: root(i) for i in ids}
+
+
+@pytest.mark.parametrize("texture", ["fine", "smooth"])
+def test_image_classes_against_all_pairs_in_a_crowd(spark, texture):
+    rng = np.random.RandomState(5)
+    k = (6, 12, 24) if texture == "fine" else (8,)
+    files, truth = [], {}
+    for base in range(150):
+        a = image(rng, k, 64)
+        n = 60 if base == 0 else 4 if base < 30 else 1  # one crowd of copies, some small groups, and strangers
+        for e in range(n):
+            b = a if e == 0 else np.clip(a * rng.uniform(0.8, 1.1) + rng.uniform(-10, 10), 0, 255) + rng.normal(0, 3, a.shape)
+            b = b[rng.randint(0, 7) :, rng.randint(0, 7) :] if e % 2 else b
+            truth[len(files)] = base
+            files.append((len(files), media.write_pgm(b)))
+    assert len(files) >= 290
+    links = linked_by_all_pairs(files)
+    assert all(truth[a] == truth[b] for a, b in links)  # strangers don't link
+    same = [(a, b) for a, b in itertools.combinations(truth, 2) if truth[a] == truth[b]]
+    assert len(links) >= 0.8 * len(same)
+    got = {r.image: r.class_id for r in media.image_copies(spark.createDataFrame(files, "image long, data binary")).collect()}
+    assert np.mean([got[a] == got[b] for a, b in links]) >= 0.95
+    want = classes_of(truth, links)
+    assert np.mean([got[i] == want[i] for i in truth]) >= 0.95 and all(truth[got[i]] == truth[i] for i in truth)
+
+
+def test_images_of_one_id_and_empty_table(spark):
+    rng = np.random.RandomState(3)
+    a, b = (media.write_pgm(image(rng)) for _ in range(2))
+    got = {r.image: r.class_id for r in media.image_copies(spark.createDataFrame([(5, a), (5, b), (7, a), (9, b), (9, b), (2, None)], "image long, data binary")).collect()}
+    assert got == {5: 5, 7: 5, 9: 5, 2: 2}
+    assert media.image_copies(spark.createDataFrame([], "image long, data binary")).count() == 0
+    vectors = [(1, [float(x) for x in range(70)]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float(x) for x in range(69)] + [1e4])]
+    drawn = {r.image: r.data for r in media.render_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    assert drawn[2] is drawn[3] is None and drawn[1] != drawn[6] and media.read_pgm(drawn[4]) is not None
+
+
+def test_equal_keys_over_partitions_meet():
+    rows = sorted((int(k), int(p)) for k, p in np.random.RandomState(1).randint(0, 40, (300, 2)))
+    import pyarrow as pa
+
+    def batch(part):
+        return pa.record_batch([pa.array([k for k, _ in part], pa.int64()), pa.array([p for _, p in part], pa.int64())], names=["k", "picture"])
+
+    tied, borders = [], []
+    for part in (rows[:7], rows[7:160], rows[160:]):
+        for out in media._meet(iter([batch(part[i : i + 5]) for i in range(0, len(part), 5)])):
+            for r in out.to_pylist():
+                (borders if r["k"] is not None else tied).append(r)
+    for k in {k for k, _ in rows}:
+        own = sorted({p for q, p in rows if q == k})
+        edges = [(a, b) for a, b in [(r["a"], r["b"]) for r in tied] if a in own and b in own]
+        rim = sorted(r["a"] for r in borders if r["k"] == k)
+        assert len(set(classes_of(own, edges + list(zip(rim, rim[1:]))).values())) == 1
+
+
 # pipeline
 
 
