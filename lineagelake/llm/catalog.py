@@ -93,7 +93,7 @@ WITH parts AS (
 rules(rule, verdict) AS (VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
 cut AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rhost, substr(rule, strpos(rule, '/')) AS rpath FROM rules),
 hits AS (
-  SELECT p.page_id, arg_max(c.rule, length(c.rule)) AS rule, arg_max(c.verdict, length(c.rule)) AS verdict
+  SELECT p.page_id, arg_max(c.rule, 1000 * length(c.rule) + length(c.rhost)) AS rule, arg_max(c.verdict, 1000 * length(c.rule) + length(c.rhost)) AS verdict
   FROM parts p JOIN cut c ON (p.host = c.rhost OR ends_with(p.host, '.' || c.rhost)) AND starts_with(p.path, c.rpath)
   GROUP BY p.page_id)
 SELECT p.page_id, p.host, p.path, h.rule, coalesce(h.verdict, 'allow') AS verdict
@@ -104,10 +104,14 @@ OP2_SQL = r"""
 WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i, len(l) AS n FROM cut),
 wins AS (
-  SELECT doc_id, i, n, [line, lead(line, 1) OVER w, lead(line, 2) OVER w] AS win FROM lines
+  SELECT doc_id, i, n, line, lead(line, 1) OVER w AS l1, lead(line, 2) OVER w AS l2 FROM lines
   WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-firsts AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM wins WHERE i <= n - 3),
-gone AS (SELECT DISTINCT doc_id, i + d AS i FROM firsts, (VALUES (0), (1), (2)) t(d) WHERE k > 1),
+windows AS (
+  SELECT doc_id, i, 3 AS k, [line, l1, l2] AS win FROM wins WHERE i <= n - 3
+  UNION ALL SELECT doc_id, i, 2, [line, l1] FROM wins WHERE i <= n - 2 AND length(line) + length(l1) >= 300
+  UNION ALL SELECT doc_id, i, 1, [line] FROM wins WHERE length(line) >= 300),
+firsts AS (SELECT doc_id, i, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS r FROM windows),
+gone AS (SELECT DISTINCT doc_id, i + d AS i FROM firsts, (VALUES (0), (1), (2)) t(d) WHERE r > 1 AND d < k),
 kept AS (
   SELECT l.doc_id, string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS text, any_value(l.n) AS n_lines, count(g.i) AS n_removed
   FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)

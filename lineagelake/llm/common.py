@@ -20,11 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or its checkpoint folder.
+
+    Where neither is set, a session on one machine (as in tests) gets a temporary one; on a cluster that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="lineagelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lineagelake-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 
@@ -49,6 +54,14 @@ def _remove_all() -> None:
     _written.clear()
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name like this one that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

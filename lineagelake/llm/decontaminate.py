@@ -15,11 +15,12 @@ hold a whole entry. For a passage
    several entries is verified whole, against the passage and the words around it where the item's others would stand.
 
 Words are ASCII lower-cased runs without white space and ASCII punctuation. An index of up to MAX_BROADCAST bytes goes
-to each executor whole; a longer one is cut into shards, each searched with all passages, with term statistics of all
-items either way.
+to each executor whole; a longer one is cut into shards that are searched one after the other with all passages, each
+index being given up when its result is written, with term statistics of all items either way.
 
 Null or empty texts and null ids match nothing, as do items without words. Repeated rows give their document's result
-once, repeated items each give theirs. Empty tables give an empty result.
+once, repeated items each give theirs. Of passages with equal scores the one that covers more, then the first, is told.
+Columns with other names are ignored. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineagelake.llm.common import written
+from lineagelake.llm.common import unused, written
 
 ENTRY_WORDS = 64
 STRIDE = 64
@@ -227,7 +228,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                     schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("entry", pa.int32()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())]),
                 )
 
-        found.append(base.mapInArrow(scan, RESULT))
+        if shards == 1:
+            found.append(base.mapInArrow(scan, RESULT))
+        else:  # one index at a time
+            found.append(written(base.mapInArrow(scan, RESULT)))
+            sent.destroy()
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -237,5 +242,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
 def drop_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """docs without the documents that hold a test item; null ids stay."""
-    leaked = find_leaks(docs, items, doc_id=doc_id, **how).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs[doc_id] == leaked["_leaked"], "left_anti")
+    own = unused("leaked", docs)
+    leaked = find_leaks(docs, items, doc_id=doc_id, **how).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(leaked, docs[doc_id].cast("long") == leaked[own], "left_anti")

@@ -1,21 +1,26 @@
 """Line dedup by winnowing over line hashes. DataFrame operations only.
 
-A run of `run` lines that equals a run at an earlier place (by doc_id, then by line) is a repeat, and its lines go; the
-first occurrence stays. Longer runs are unions of such windows, so a repeat is deleted to its full length both ways.
+A window is a run of `run` lines, or of fewer lines with at least `long` characters. A window that equals one at an
+earlier place (by doc_id, then by line) is a repeat, and its lines go; the first occurrence stays. Longer runs are unions
+of windows, so a repeated run of `run` lines or `long` characters is deleted to its full length both ways.
 
-1. Lines are hashed; of each window of `run` consecutive lines the one with the least hash (the last of equals) is its
-   fingerprint. Two equal windows have the same fingerprint at the same place, so each repeated run is guaranteed to
-   share fingerprints, at about two places in run + 1 lines.
+1. Lines are hashed; the line of a window with the least hash (the last of equals) is its fingerprint. Two equal windows
+   have the same fingerprint at the same place, so each repeated run is guaranteed to share fingerprints, at about two
+   places in run + 1 lines.
 2. Fingerprints are counted with map-side sums; only places whose fingerprint occurs twice are joined on. In a corpus of
    mostly unique lines few are left.
 3. A joined fingerprint is extended both ways to the windows it stands for: the line hashes before and after it within
    the window. Equal windows are met by a 96-bit digest, whose first place is found with map-side minima; a window at
-   any other place is a repeat. A very common window costs a row for each place and never a pair.
-4. The places of repeats come together by document, as line numbers, and the document's lines at these are dropped.
+   any other place is a repeat. A very common window costs a row for each place and never a pair, and the join to its
+   first place is one that Spark splits over tasks.
+4. The places of repeats come together by document, as line numbers, and the document's lines at these are dropped. The
+   texts stay where they are while the documents with repeats can be broadcast (MAX_BROADCAST bytes), and are shuffled
+   to them beyond that.
 
-Windows do not cross documents; a text of fewer than `run` lines has none. Null ids and null texts are passed through
-untouched. Rows equal in id and text are one document twice, not repeats of each other;
-rows of one id with different texts are different documents. Empty lines are lines. Columns named n_lines, n_removed are replaced.
+Windows do not cross documents; a text of fewer than `run` lines has those with `long` characters only. Null ids and null
+texts are passed through untouched. Rows equal in id and text are one document twice, not repeats of each other;
+rows of one id with different texts are different documents, in the order of their text's hash. Empty lines are lines.
+Texts of any length are cut whole; an empty table gives an empty result. Columns named n_lines, n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -23,46 +28,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineagelake.llm.common import written
+from lineagelake.llm.common import unused, written
 
-RUN_LINES = 3
+RUN_LINES, LONG_CHARS = 3, 300
+#: Bytes of repeats that executors get whole.
+MAX_BROADCAST = 64 << 20
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN_LINES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, starts): the first lines, 0-based, of the windows of a document that occurred before.
+def repeated_windows(docs: DataFrame, run: int = RUN_LINES, long: int = LONG_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, row, gone): the lines, 0-based, of the windows of a document that occurred before.
 
     row: the text's hash, which tells apart different texts of one id.
     """
-    lines = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.expr(f"transform(split(`{text}`, '\n', -1), x -> xxhash64(x))").alias("h")
-    )
-    lines = lines.filter(F.size("h") >= run)
-    # at each start the place of the least hash in the window, the last of equals
-    window = f"slice(h, s + 1, {run})"
-    least = f"transform(sequence(0, size(h) - {run}), s -> s + {run} - cast(array_position(reverse({window}), array_min({window})) as int))"
-    hashed = written(lines.select("doc_id", "row", "h", F.expr(least).alias("mark")))
-    marks = hashed.select(F.explode(F.expr("transform(array_distinct(mark), m -> h[m])")).alias("f"))
-    twice = marks.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f")
+    lines = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.expr(f"split(`{text}`, '\n', -1)").alias("l"))
+    lines = lines.select("doc_id", "row", F.expr("transform(l, x -> xxhash64(x))").alias("h"), F.expr("transform(l, x -> length(x))").alias("c"))
+    # each window: its first line, its number of lines, and the place of its least hash, the last of equals
+    kinds = []
+    for n in range(1, run + 1):
+        own = f"slice(h, s + 1, {n})"
+        starts = f"if(size(h) >= {n}, sequence(0, size(h) - {n}), array())"
+        if n < run:
+            starts = f"filter({starts}, s -> aggregate(slice(c, s + 1, {n}), 0, (a, x) -> a + x) >= {long})"
+        kinds.append(f"transform({starts}, s -> named_struct('s', s, 'n', {n}, 'm', s + {n} - cast(array_position(reverse({own}), array_min({own})) as int)))")
+    hashed = lines.select("doc_id", "row", "h", F.expr(f"concat({', '.join(kinds)})").alias("w")).filter("size(w) > 0")
+    hashed = written(hashed)
+    marks = hashed.select(F.explode(F.expr("transform(array_distinct(w.m), m -> h[m])")).alias("f"))
+    twice = written(marks.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f"))
     # each selected place with the windows it stands for
-    digest = f"named_struct('s', s, 'd1', xxhash64({window}), 'd2', hash({window}, {run}))"
-    around = f"transform(filter(sequence(greatest(0, m - {run - 1}), least(m, size(h) - {run})), s -> mark[s] = m), s -> {digest})"
-    places = hashed.select("doc_id", "row", F.explode(F.expr(f"transform(array_distinct(mark), m -> named_struct('f', h[m], 'w', {around}))")).alias("p"))
+    digest = "named_struct('s', x.s, 'n', x.n, 'd1', xxhash64(slice(h, x.s + 1, x.n)), 'd2', hash(slice(h, x.s + 1, x.n), x.n))"
+    around = f"transform(filter(w, x -> x.m = m), x -> {digest})"
+    places = hashed.select("doc_id", "row", F.explode(F.expr(f"transform(array_distinct(w.m), m -> named_struct('f', h[m], 'w', {around}))")).alias("p"))
     joined = places.select("doc_id", "row", "p.f", "p.w").join(twice, "f", "left_semi")
     windows = written(joined.select("doc_id", "row", F.inline("w")))
     place = F.struct("doc_id", "row", "s")
-    first = windows.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("d1", "d2", "first")
+    first = written(windows.groupBy("d1", "d2").agg(F.count("*").alias("k"), F.min(place).alias("first")).filter("k > 1").select("d1", "d2", "first"))
     later = windows.join(first, ["d1", "d2"]).filter(place != F.col("first"))
-    return later.groupBy("doc_id", "row").agg(F.collect_set("s").alias("starts"))
+    return later.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(s, s + n - 1)")))).alias("gone"))
 
 
-def drop_repeated_runs(docs: DataFrame, run: int = RUN_LINES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, run: int = RUN_LINES, long: int = LONG_CHARS, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs with repeated runs cut out of the text, and the columns n_lines and n_removed."""
-    later = repeated_windows(docs, run, doc_id, text).withColumnsRenamed({"doc_id": "_d", "row": "_r", "starts": "_starts"})
     base = docs.drop("n_lines", "n_removed")
-    out = base.join(later, (base[doc_id] == later["_d"]) & (F.xxhash64(base[text]) == later["_r"]), "left")
-    out = out.withColumn("_lines", F.expr(f"split(`{text}`, '\n', -1)"))
-    out = out.withColumn("_gone", F.expr(f"array_distinct(flatten(transform(_starts, s -> sequence(s, s + {run - 1}))))"))
-    kept = "transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i])"
-    text_out = F.when(F.col("_starts").isNull(), F.col(text)).otherwise(F.array_join(F.expr(kept), "\n"))
-    counts = (F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    d, row, gone, cut = (unused(n, base) for n in ("d", "row", "gone", "cut"))
+    later = written(repeated_windows(docs, run, long, doc_id, text).withColumnsRenamed({"doc_id": d, "row": row, "gone": gone}))
+    size = later.agg(F.sum(F.size(gone) * 4 + 64)).first()[0] or 0
+    out = base.join(F.broadcast(later) if size <= max_broadcast else later, (base[doc_id] == later[d]) & (F.xxhash64(base[text]) == later[row]), "left")
+    out = out.withColumn(cut, F.expr(f"split(`{text}`, '\n', -1)"))
+    kept = f"transform(array_except(sequence(0, size(`{cut}`) - 1), `{gone}`), i -> `{cut}`[i])"
+    text_out = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.expr(kept), "\n"))
+    counts = (F.coalesce(F.size(cut), F.lit(0)).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).alias("n_removed"))
     return out.select(*[text_out.alias(c) if c == text else F.col(c) for c in base.columns], *counts)

@@ -3,7 +3,8 @@
 A document is the set of its distinct k-word shingles; two documents link when intersection / union >= threshold.
 Linked sets x, y share at least T(x) = ceil(threshold * |x|) shingles, so of any |x| - T(x) + 1 shingles of x, chosen by
 one order for all documents, at least one is shared as well. The order puts short inverted lists first: a document is
-looked up through these only, and the long ones (passages that many documents share) are left for the probe.
+looked up through these only, and the long ones (passages that many documents share) are left for the probe: DivideSkip
+with T - 1 lists as the long ones, so that one occurrence in the short ones makes a candidate.
 
 1. One pass over the texts gives each document's set size and set digest, and the shingles as 32-bit residues dealt into
    buckets by their leading bits. A bucket tells which shingles occur more than once, and which are frequent; both go
@@ -12,15 +13,17 @@ looked up through these only, and the long ones (passages that many documents sh
    posting, so mostly documents with near copies emit any. (If there are too many repeated shingles for the filter, it
    takes those above a higher count and every short list is posted.) Documents with equal sets count as one class.
 3. Each list with several classes ties them to its smallest digest; the distinct ties form candidate groups.
-4. A group's sets meet in blocks of bounded size. Within a pair of blocks the short lists are merged by counting, the
-   longest ones are probed by binary search in the candidates that are still short of T (DivideSkip), and the exact
+4. A group's sets meet in blocks of bounded size. Within a pair of blocks the short lists are merged (a stable sort of the
+   lists in a row, which merges sorted runs; a heap of Python objects gives the same counts slower), the longest ones are
+   probed by binary search in the candidates that are still short of T (DivideSkip), and the exact
    overlap decides. A block pair returns a spanning forest of its links, so that copies are never expanded into pairs.
 5. Connected components by star contraction; component_id is the smallest doc_id reachable.
 
 Digests have 64 bits and a class is (digest, size). No candidate, partner or list is capped.
 
 Null ids are dropped (they can't be named in the result); null or wordless texts have no shingles and stay alone. Equal
-texts are one class. Repeated rows of one id are one document. An empty table gives an empty result.
+texts are one class. Repeated rows of one id are one document; an id with several texts links by each of them, and
+n_shingles is its largest set's. Columns with other names are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineagelake.llm.common import written
+from lineagelake.llm.common import unused, written
 from lineagelake.llm.components import components
 from lineagelake.llm.shingles import WordHashes, mix, release, shingle_set
 
@@ -262,13 +265,15 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
         n = length[short]
         total = int(n.sum())
         at = np.repeat(lo[short] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-        count = np.bincount(owner[at], minlength=len(sets))
-        for j in np.flatnonzero(count >= max(1, need - n_long)):
+        merged = np.sort(owner[at], kind="stable")
+        cuts = np.flatnonzero(np.diff(merged, prepend=-1))
+        counts = np.diff(np.append(cuts, total))
+        enough = counts >= max(1, need - n_long)
+        for j, overlap in zip(merged[cuts[enough]].tolist(), counts[enough].tolist()):
             if j == i or (within and j < i) or root(i) == root(j):
                 continue
             if 100 * min(len(x), sizes[j]) < threshold * max(len(x), sizes[j]):
                 continue
-            overlap = int(count[j])
             if n_long:
                 probe, y = x[long], sets[j]
                 pos = np.minimum(np.searchsorted(y, probe), len(y) - 1)
@@ -301,8 +306,10 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     classes = known.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
 
     postings = base.select("text").mapInArrow(lambda b: _postings(b, k, threshold, filters.value), "token long, digest long")
-    # most lists have one class and end here; sorting by token spills, and nothing else of a list is held
-    ties = written(postings.withColumn("center", F.min("digest").over(Window.partitionBy("token"))).filter("digest != center").select("center", "digest").distinct())
+    # most lists have one class and end here; a common list's rows are split over tasks by the join, its minimum is taken map-side
+    postings = written(postings)
+    centers = written(postings.groupBy("token").agg(F.min("digest").alias("center"), F.max("digest").alias("last")).filter("center < last").select("token", "center"))
+    ties = written(postings.join(centers, "token").filter("digest != center").select("center", "digest").distinct())
 
     members = ties.unionByName(ties.select("center", F.col("center").alias("digest")).distinct())
     blocks = ties.groupBy("center").agg(F.expr(f"int(ceil((count(1) + 1) / {BLOCK}))").alias("nb"))
@@ -316,15 +323,24 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     texts = base.join(wanted, base["doc_id"] == wanted["rep"]).select("text", "digest", "rep")
     sets = texts.mapInArrow(lambda b: _sets(b, k), "digest long, rep long, tokens binary").dropDuplicates(["digest", "rep"])
     edges = meets.join(sets, "digest").groupBy("center", "bi", "bj").applyInPandas(lambda pdf: _verify(pdf, threshold), "a long, b long")
-    comp = components(edges)
+    # the classes of an id with several texts belong together
+    several = known.filter("n > 0").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y").select("doc_id")
+    several = known.join(several, "doc_id").join(classes, ["digest", "n"]).select("doc_id", "rep")
+    several = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").filter("rep != b").select(F.col("rep").alias("a"), "b")
+    comp = components(edges.unionByName(several))
     labels = classes.join(comp, classes["rep"] == comp["id"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
     out = known.join(labels, ["digest", "n"], "left")
     return out.groupBy("doc_id").agg(F.max(F.col("n").cast("long")).alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document, that of the smallest id, of each component; documents without an id stay."""
-    kept = jaccard_components(docs, **how).filter("component_id = doc_id").select(F.col("doc_id").alias("_kept"))
+    """docs with one document, that of the smallest id, of each component; documents without an id stay.
+
+    Equal rows of a kept id are one; if its rows differ in any column, all stay.
+    """
     name = how.get("doc_id", "doc_id")
-    named = docs.join(kept, docs[name] == kept["_kept"], "left_semi").dropDuplicates([name])
+    own = unused("kept", docs)
+    kept = jaccard_components(docs, **how).filter("component_id = doc_id").select(F.col("doc_id").alias(own))
+    compared = [c for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant"))]
+    named = docs.join(kept, docs[name].cast("long") == kept[own], "left_semi").dropDuplicates(compared)
     return named.unionByName(docs.filter(F.col(name).isNull()))

@@ -12,8 +12,10 @@
 
 keep: the posterior of quality is at least QUALITY_FROM and that of toxicity below TOXIC_FROM.
 
-Null texts have no evidence and get their path's rate; null sites are one site, null paths one path of it. Documents
-with several labels count each; equal rows are judged alike; labels without a document don't count. Without labels of
+Null texts have no evidence and get their path's rate; null sites are one site, null paths one path of it, neither the
+same as ''. Documents with several labels count each; equal rows are judged alike, and a repeated id gets its labels in
+each of its rows; features that tell equally much are
+kept in the order of their names. Labels without a document count for the global rate and the fit's choice of rows only. Without labels of
 both kinds the evidence is 0 and rates are even. Empty tables give an empty result. Columns named p_* or keep are
 replaced.
 """
@@ -135,6 +137,11 @@ def _shrunk(rates: DataFrame, k: str, n: str, toward: Column) -> Column:
     return (F.col(k) + F.lit(float(strength)) * toward) / (F.col(n) + F.lit(float(strength)))
 
 
+def _key(c: Column) -> Column:
+    """A string to group and join by, that tells null ('') from all strings ('=' before them)."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+
+
 def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, quality: str = "quality", toxic: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, site, path, p_quality, p_toxic, keep) for each row of docs."""
     names = (quality, toxic)
@@ -151,7 +158,7 @@ def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, qua
                 out[i] = [m[c](found) for c in names]
             yield pd.DataFrame(out, columns=list(names))
 
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(site.cast("string"), F.lit("")).alias("site"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), evidence(F.col(text)).alias("e"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), _key(site).alias("site"), _key(path).alias("path"), evidence(F.col(text)).alias("e"))
     base = written(base)
     known = labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(*[F.sum(F.col(c).cast("double")).alias(f"k_{c}") for c in names], *[F.count(c).cast("double").alias(f"n_{c}") for c in names])
     joined = base.join(known, "doc_id", "left")
@@ -171,5 +178,6 @@ def classify(docs: DataFrame, labels: DataFrame, site: Column, path: Column, qua
     rated = paths.select("site", "path", *[F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), _shrunk(paths, f"k_{c}", f"n_{c}", F.col(f"s_{c}")))).alias(f"r_{c}") for c in names])
     out = base.join(rated, ["site", "path"])
     post = {c: 1 / (1 + F.exp(-(F.col(f"e.{c}") + F.log(F.col(f"r_{c}") / (1 - F.col(f"r_{c}")))))) for c in names}
-    out = out.select("doc_id", "site", "path", post[quality].alias("p_quality"), post[toxic].alias("p_toxic"))
+    site, path = (F.when(F.col(c) != "", F.substring(c, 2, 1 << 30)).alias(c) for c in ("site", "path"))
+    out = out.select("doc_id", site, path, post[quality].alias("p_quality"), post[toxic].alias("p_toxic"))
     return out.withColumn("keep", (F.col("p_quality") >= QUALITY_FROM) & (F.col("p_toxic") < TOXIC_FROM))

@@ -20,6 +20,7 @@ rows stay, in a row. An empty table gives an empty result. A text of any length
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -39,26 +40,33 @@ RANK_BITS = 512
 NULL_ID = -(1 << 63)
 SEGMENT = "part int, segment int, docs long, tokens long, file binary"
 
-#: A word with its space, or a run of anything else that leaves the space before a word to the word.
-_L = "A-Za-zÀ-ÖØ-öø-ÿ"
-PIECES = re.compile(f" ?[{_L}]+|[^{_L}]+?(?= ?[{_L}]|$)", re.S)
-#: Texts in which a cut at those places could change the tokeniser's own cuts; they are encoded whole.
-UNSURE = re.compile("['ªµºĀ-\U0010ffff]|\\s[^\\S ]")
+#: White space at which a text can't simply be cut before each space and each newline: the tokeniser keeps a run of white
+#: space together but for its last character. Two newlines within a text are no such place.
+UNSURE = re.compile(r"\s[^\S\n]|[^\S\n]\s|\n\n\n|\n\n\Z")
+#: The cuts of such texts: a run of white space but for its last character, then that character with what follows.
+PIECES = re.compile(r"\s?\S+|\s+(?=\s\S)|\s+\Z")
 
 
 class Encoder:
-    """Encodes texts with a public tokenizer file; remembers the ids of words up to a bound."""
+    """Encodes texts with a public tokenizer file; remembers the ids of words up to a bound.
 
-    MEMO = 1_000_000
+    A byte-level tokenizer that cuts texts at white space first gives each word, with the one white space before it, the
+    same ids wherever it stands. Texts with a special token, and all texts for other tokenizers, are encoded whole.
+    """
 
-    def __init__(self, path: str, special: bool = False):
-        """special: special tokens that a text holds are single ids, as the library has them by default, not plain text."""
+    MEMO = 500_000
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = not special
-        #: The library looks for these before it cuts a text; a text with one is encoded whole.
+        self.tokenizer = Tokenizer.from_file(path)
+        #: Ids of words with the space before them, and of first words and other pieces as they are.
+        self.words, self.pieces = {}, {}
+        said = json.loads(self.tokenizer.to_str())
+        cut = said["pre_tokenizer"] or {}
+        self.by_word = (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex"), said["normalizer"], said["model"].get("dropout")) == ("ByteLevel", False, True, None, None)
+        #: The library looks for these before it cuts a text.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
@@ -66,27 +74,40 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
-        if len(self.memo) > self.MEMO:
-            self.memo.clear()
-        memo, out, todo = self.memo, [], {}
+        out: list = [None] * len(texts)
+        words: dict[int, list[str]] = {}
+        pieces: dict[int, list[str]] = {}
         for i, text in enumerate(texts):
             if not text:
-                out.append(b"")
-            elif UNSURE.search(text) or any(t in text for t in self.added):
-                out.append(self._fresh([text])[0])
+                out[i] = b""
+            elif not self.by_word or any(t in text for t in self.added):
+                out[i] = self._fresh([text])[0]
+            elif UNSURE.search(text):
+                pieces[i] = PIECES.findall(text)
+            else:
+                words[i] = text.replace("\n", " \n").split(" ")
+                pieces[i] = [words[i].pop(0)]  # a first word has no space before it
+        known = self._known(self.pieces, pieces, lambda p: p)
+        after = self._known(self.words, words, lambda w: w if w.startswith("\n") else " " + w)
+        for i in pieces:
+            out[i] = known[i] + after.get(i, b"")
+        return out
+
+    def _known(self, memo: dict[str, bytes], lists: dict[int, list[str]], whole) -> dict[int, bytes]:
+        """The joined ids of each list; what the memo doesn't have is encoded first, in one call."""
+        if len(memo) > self.MEMO:
+            memo.clear()
+        out, todo = {}, {}
+        for i, own in lists.items():
+            got = list(map(memo.get, own))
+            if None in got:
+                todo[i] = own
             else:
-                pieces = PIECES.findall(text)
-                got = list(map(memo.get, pieces))
-                if None in got:
-                    todo[i] = pieces
-                    out.append(None)
-                else:
-                    out.append(b"".join(got))
+                out[i] = b"".join(got)
         if todo:
-            new = list({p for pieces in todo.values() for p in pieces if p not in memo})
-            memo.update(zip(new, self._fresh(new)))
-            for i, pieces in todo.items():
-                out[i] = b"".join(map(memo.__getitem__, pieces))
+            new = list({p for own in todo.values() for p in own if p not in memo})
+            memo.update(zip(new, self._fresh([whole(p) for p in new])))
+            out |= {i: b"".join(map(memo.__getitem__, own)) for i, own in todo.items()}
         return out
 
 
@@ -96,7 +117,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One for each worker process: what a task has learned serves the worker's next tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, special=True)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
@@ -227,9 +248,11 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, segment, file in zip(batch.column("part"), batch.column("segment"), batch.column("file")):
             s = Segment(file.as_py())
             n = len(s.doc_ids)
-            sums = [zlib.crc32(s.document(k).tobytes()) for k in range(n)]
+            ids = memoryview(s.slice(0, s.tokens)).cast("B")  # one walk over the levels for all its documents
+            cuts = (4 * s.offsets).tolist()
+            sums = [zlib.crc32(ids[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
             columns = [
-                pa.array([None if d == NULL_ID else int(d) for d in s.doc_ids], pa.int64()), pa.array([part.as_py()] * n, pa.int32()), pa.array([segment.as_py()] * n, pa.int32()),
+                pa.array(s.doc_ids, pa.int64(), mask=s.doc_ids == NULL_ID), pa.array([part.as_py()] * n, pa.int32()), pa.array([segment.as_py()] * n, pa.int32()),
                 pa.array(range(n), pa.int32()), pa.array(s.offsets[:-1], pa.int64()), pa.array(np.diff(s.offsets), pa.int64()), pa.array(sums, pa.int64()),
             ]
             yield pa.record_batch(columns, names=["doc_id", "part", "segment", "place", "at", "n_tokens", "ids_crc32"])

@@ -6,10 +6,13 @@ vectorised binary search, and compares the stored string of each hit, so that tw
 as the same rule.
 
 A list up to MAX_BROADCAST bytes is sent whole to each executor. A longer one is cut into shards by digest; the
-distinct probe strings of all urls are shuffled to their shard, so that no task needs more than its shard.
+distinct probe strings of all urls are shuffled to their shard; the number of shards follows both the rules and the
+probes, so that no task needs more than its shard of either.
 
-Nulls, urls without "://" and empty hosts have an empty host and path, fit no rule and get the default verdict. Rules
-that are null or empty are left out; of equal rules with different verdicts, block wins.
+The longest rule that fits, in characters, wins; of two equally long ones that with the longer host (there is no third
+case: a host and two lengths make one rule). Nulls, urls without "://" and empty hosts have an empty host and path, fit no rule and get the default verdict. Rules
+that are null or empty are left out; of equal rules with different verdicts, block wins. Repeated rows are judged alike;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineagelake.llm.common import unused, written
+
 #: Bytes of an index that executors get whole.
 MAX_BROADCAST = 64 << 20
-#: Rules in a shard of a longer index.
-SHARD_RULES = 1 << 20
+#: Rules, and probe strings, in a shard of a longer index.
+SHARD_RULES, SHARD_PROBES = 1 << 20, 1 << 21
 
 
 def split_url(url: str = "url") -> tuple[str, str]:
@@ -123,6 +128,11 @@ def candidates(host: str, path: str, path_lengths: tuple[int, ...]) -> list[str]
     return [h + p for h in hosts if h for p in paths]
 
 
+def _rank(rule: str) -> tuple[int, int]:
+    """Rules of a higher rank win."""
+    return len(rule), len(rule.split("/", 1)[0])
+
+
 def judge(pairs: list[tuple[str, str]], index: MappedIndex) -> list[tuple[str | None, bool | None]]:
     """Longest rule that fits and whether it allows, for each (host, path)."""
     found: dict[tuple[str, str], tuple[str | None, bool | None]] = {}
@@ -132,13 +142,13 @@ def judge(pairs: list[tuple[str, str]], index: MappedIndex) -> list[tuple[str |
         for c in candidates(host, path, index.path_lengths):
             probes.append(c.encode())
             owner.append(k)
-    best: dict[int, int] = {}
-    for k, row in zip(owner, index.probe(probes)):
-        if row >= 0 and (k not in best or len(index.text(row)) > len(index.text(best[k]))):
-            best[k] = row
+    best: dict[int, tuple[tuple[int, int], str, bool]] = {}
+    rows = index.probe(probes)
+    for i in np.flatnonzero(rows >= 0).tolist():
+        rule = probes[i].decode()
+        best[owner[i]] = max(best.get(owner[i], ((0, 0), "", False)), (_rank(rule), rule, bool(index.allow[rows[i]])))
     for k, pair in enumerate(distinct):
-        row = best.get(k)
-        found[pair] = (None, None) if row is None else (index.text(row).decode(), bool(index.allow[row]))
+        found[pair] = best[k][1:] if k in best else (None, None)
     return [found[p] for p in pairs]
 
 
@@ -167,8 +177,8 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, bool]] | DataFrame, url: s
             got = judge(list(zip(hosts, paths)), mapped)
             yield pd.DataFrame({"rule": [r for r, _ in got], "allowed": pd.array([a for _, a in got], dtype="boolean")})
 
-    kept = base.columns
-    return base.withColumn("_hit", look_up("host", "path")).select(*kept, F.col("_hit.rule").alias("rule"), _verdict("_hit.allowed", default))
+    kept, hit = base.columns, unused("hit", base)
+    return base.withColumn(hit, look_up("host", "path")).select(*kept, F.col(f"{hit}.rule").alias("rule"), _verdict(f"{hit}.allowed", default))
 
 
 def _verdict(allowed: str, default: str):
@@ -179,13 +189,15 @@ def _filter_sharded(base: DataFrame, rules: DataFrame, default: str) -> DataFram
     """The same result where the rules are too many for one executor: probes meet their shard of the array."""
     rules = rules.filter("rule is not null and rule != '' and rule not like '/%'").groupBy("rule").agg(F.min(F.coalesce("allow", F.lit(False))).alias("allow"))
     lengths = [r[0] for r in rules.select((F.length("rule") - F.length(F.split("rule", "/", 2)[0])).alias("n")).distinct().orderBy("n").collect()]
-    shards = max(1, -(-rules.count() // SHARD_RULES))
-    shard = F.pmod(F.xxhash64("rule"), F.lit(shards)).alias("shard")
     hosts = "filter(transform(sequence(0, length(host) - length(replace(host, '.', ''))), i -> substring_index(host, '.', -(i + 1))), h -> h != '')"
     paths = f"transform(filter(array({','.join(f'{n}' for n in lengths) or '0'}), n -> n <= length(path)), n -> substring(path, 1, n))"
     pairs = base.filter("host != ''").select("host", "path").distinct()
     probes = pairs.select("host", "path", F.explode(F.expr(f"array_distinct(flatten(transform({hosts}, h -> transform({paths}, p -> concat(h, p)))))")).alias("rule"))
+    probes = written(probes)
     # the index meets each distinct probe once, whatever the number of urls behind it
+    asked = written(probes.select("rule").distinct())
+    shards = max(1, -(-rules.count() // SHARD_RULES), -(-asked.count() // SHARD_PROBES))
+    shard = F.pmod(F.xxhash64("rule"), F.lit(shards)).alias("shard")
 
     def probe_shard(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         mapped = DigestIndex.build(list(zip(right["rule"], right["allow"]))).mapped()
@@ -194,10 +206,12 @@ def _filter_sharded(base: DataFrame, rules: DataFrame, default: str) -> DataFram
         return pd.DataFrame({"rule": left["rule"].to_numpy()[hit], "allowed": [bool(mapped.allow[r]) for r in rows[hit]]})
 
     hits = (
-        probes.select("rule").distinct().withColumn("shard", shard).groupBy("shard")
+        asked.withColumn("shard", shard).groupBy("shard")
         .cogroup(rules.withColumn("shard", shard).groupBy("shard"))
         .applyInPandas(probe_shard, "rule string, allowed boolean")
     )
-    best = probes.join(hits, "rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "allowed"), F.length("rule")).alias("_hit"))
+    hit = unused("hit", base)
+    rank = F.struct(F.length("rule"), F.length(F.split("rule", "/", 2)[0]))
+    best = probes.join(hits, "rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "allowed"), rank).alias(hit))
     kept = base.columns
-    return base.join(best, ["host", "path"], "left").select(*kept, F.col("_hit.rule").alias("rule"), _verdict("_hit.allowed", default))
+    return base.join(best, ["host", "path"], "left").select(*kept, F.col(f"{hit}.rule").alias("rule"), _verdict(f"{hit}.allowed", default))

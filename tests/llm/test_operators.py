@@ -84,6 +84,19 @@ def test_jaccard_empty_and_extra_columns(spark, docs):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in jaccard_brute(corpus()).items() if i == c} | {None}
 
 
+def test_jaccard_ids_with_several_texts(spark):
+    rng = random.Random(41)
+    a, b, other = prose(rng, 80), prose(rng, 80), prose(rng, 60)
+    rows = [(2, a), (5, a), (5, b), (7, b + " more"), (8, other), (8, "x"), (9, None), (9, other), (10, ""), (10, "")]
+    df = spark.createDataFrame([(*r, i % 2) for i, r in enumerate(rows)], "doc_id long, text string, token int")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df).collect()}
+    assert got == {2: 2, 5: 2, 7: 2, 8: 8, 9: 8, 10: 10}
+    kept = sorted((r.doc_id, r.text or "") for r in ngram_join.drop_near_copies(df.drop("token")).collect())
+    assert kept == sorted([(2, a), (8, other), (8, "x"), (10, "")])
+    wide = df.withColumn("m", F.create_map(F.lit("k"), "doc_id")).withColumn("kept", F.lit(1))
+    assert ngram_join.drop_near_copies(wide).columns == wide.columns and ngram_join.drop_near_copies(wide).count() == 5
+
+
 def test_linked_pairs_probe_long_lists():
     rng = np.random.RandomState(1)
     common = np.unique(rng.randint(0, 2**62, 400).astype(np.uint64))
@@ -139,6 +152,18 @@ def test_urls_match_brute_force(spark, limit):
         assert got[i] == (host, path, rule, {None: "allow", True: "allow", False: "block"}[dict(RULES).get(rule)])
 
 
+def test_url_ties_clashes_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHARD_PROBES", 2)
+    rules = [("b/éé", False), ("aa.b/", True), ("cc.b/é", False), ("b/éééé", True), ("", True), (None, True), ("b/éé", True)]
+    df = spark.createDataFrame([(1, "http://aa.b/éé"), (2, "http://cc.b/éééé"), (2, "http://cc.b/éééé"), (3, None)], "hit long, url string").withColumn("rule", F.lit(1))
+    for limit in (url_filter.MAX_BROADCAST, 0):
+        out = url_filter.filter_urls(df, spark.createDataFrame(rules, "rule string, allow boolean"), max_broadcast=limit)
+        assert out.columns == ["hit", "url", "host", "path", "rule", "verdict"]
+        assert sorted((r.hit, r.rule, r.verdict) for r in out.collect() if r.hit < 3) == [(1, "aa.b/", "allow"), (2, "cc.b/é", "block"), (2, "cc.b/é", "block")]
+        assert url_filter.filter_urls(df.limit(0), RULES, max_broadcast=limit).count() == 0
+        assert {r.verdict for r in url_filter.filter_urls(df, spark.createDataFrame([], "rule string, allow boolean"), max_broadcast=limit).collect()} == {"allow"}
+
+
 def test_digest_collisions_are_confirmed(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: len(x))
     index = url_filter.DigestIndex.build(RULES).mapped()
@@ -148,28 +173,41 @@ def test_digest_collisions_are_confirmed(monkeypatch):
 # lines
 
 
-def lines_brute(rows, run):
+def lines_brute(rows, run, long):
     seen, out = {}, {}
     rows = sorted(rows)
     for i, t in rows:
         lines = t.split("\n")
         gone = set()
-        for s in range(len(lines) - run + 1):
-            w = tuple(lines[s : s + run])
-            if seen.setdefault(w, (i, s)) != (i, s):
-                gone |= set(range(s, s + run))
+        for s in range(len(lines)):
+            for n in range(1, min(run, len(lines) - s) + 1):
+                w = tuple(lines[s : s + n])
+                if (n == run or sum(map(len, w)) >= long) and seen.setdefault(w, (i, s)) != (i, s):
+                    gone |= set(range(s, s + n))
         out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
     return out
 
 
+@pytest.mark.parametrize("limit", [line_dedup.MAX_BROADCAST, 0])
 @pytest.mark.parametrize("run", [1, 2, 3])
-def test_line_runs_match_brute_force(spark, run):
+def test_line_runs_match_brute_force(spark, run, limit):
     rng = random.Random(run)
-    rows = [(i, "\n".join(rng.choice("abcdefgh" if i % 2 else "xyz") for _ in range(rng.randrange(1, 30)))) for i in range(60)]
-    df = spark.createDataFrame([*rows, (None, "a\nb\nc"), (99, None)], "doc_id long, text string").withColumn("n_lines", F.lit(0))
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.drop_repeated_runs(df, run).collect()}
+    rows = [(i, "\n".join(rng.choice("abcdefgh" if i % 2 else "xyz") * rng.choice((1, 1, 1, 6, 12)) for _ in range(rng.randrange(1, 30)))) for i in range(60)]
+    df = spark.createDataFrame([*rows, (None, "a\nb\nc"), (99, None)], "doc_id long, text string").withColumn("n_lines", F.lit(0)).withColumn("row", F.lit(1)).withColumn("gone", F.lit(1))
+    out = line_dedup.drop_repeated_runs(df, run, 12, max_broadcast=limit)
+    assert out.columns == ["doc_id", "text", "row", "gone", "n_lines", "n_removed"]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()}
     assert got.pop(None) == ("a\nb\nc", 3, 0) and got.pop(99) == (None, 0, 0)
-    assert got == lines_brute(rows, run)
+    assert got == lines_brute(rows, run, 12)
+
+
+def test_lines_of_odd_tables(spark):
+    rng = random.Random(4)
+    tall, line = "\n".join(prose(rng, 3) for _ in range(5000)), prose(rng, 80)
+    rows = [(1, tall), (2, tall), (3, line), (4, line), (5, "\n\n\n"), (6, ""), (7, "\n\n\n"), (8, "a\nb"), (9, "a\nb"), (3, line)]
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, tall, 5000, 0), (2, "", 5000, 5000), (3, line, 1, 0), (3, line, 1, 0), (4, "", 1, 1), (5, "", 4, 3), (6, "", 1, 0), (7, "", 4, 4), (8, "a\nb", 2, 0), (9, "a\nb", 2, 0)]
+    assert line_dedup.drop_repeated_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 # languages
@@ -190,6 +228,57 @@ def test_language_held_out_and_edges(spark):
     assert {r.lang_pred for r in language_id.identify(df, none).collect()} == {"und"}
 
 
+def test_language_letters_labels_and_brute_score(spark):
+    import math
+
+    assert language_id.words_of("½ ² x½y É1z _a") == ["x", "y", "é", "z", "a"] and language_id.words_of(None) == []
+    rows = [(1, "one two two tree", "word"), (2, "uno dos tres", "a`b"), (3, "uno uno", "a`b"), (4, "one six", "word"), (4, "one six", "word"), (5, "eins zwei", "gram"), (None, "zwei zwei", "gram"), (None, "drei", "gram")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, order=F.xxhash64("doc_id"))
+    assert model.languages == ["a`b", "gram", "word"]
+    counts, grams = {}, {}
+    for t, g in {(t, g) for _, t, g in rows}:  # equal rows count once
+        for w in t.split():
+            counts.setdefault(w, dict.fromkeys(model.languages, 0))[g] += 1
+            for n in language_id.GRAM_LENGTHS:
+                p = f"_{w}_"
+                for i in range(len(p) - n + 1):
+                    grams.setdefault(p[i : i + n], dict.fromkeys(model.languages, 0))[g] += 1
+    known = {w: c for w, c in counts.items() if sum(c.values()) >= 2}
+
+    def logs(table, every, key, g):
+        return math.log((table[key][g] + 0.5) / (sum(c[g] for c in every.values()) + 0.5 * len(table)))
+
+    def brute(text):
+        total = dict.fromkeys(model.languages, 0.0)
+        for w in text.split():
+            for g in model.languages:
+                if w in known:
+                    total[g] += logs(known, counts, w, g)
+                    continue
+                for n in language_id.GRAM_LENGTHS:
+                    p = f"_{w}_"
+                    own = [logs(grams, grams, p[i : i + n], g) for i in range(len(p) - n + 1) if p[i : i + n] in grams]
+                    if own:
+                        total[g] += sum(own) / len(own)
+                        break
+                else:
+                    total[g] += math.log(1e-9)
+        z = {g: v / len(text.split()) * min(len(text.split()), language_id.EVIDENCE_WORDS) for g, v in total.items()}
+        top = max(sorted(z), key=z.get)
+        return top, 1 / sum(math.exp(v - z[top]) for v in z.values())
+
+    texts = ["one two", "uno", "twos onesie", "zwo drei ei", "qqq", "tres amigos uno dos", "x"]
+    asked = spark.createDataFrame([(i, t, 0.0, "z") for i, t in enumerate([*texts, "½ ²"])], "doc_id long, text string, score double, told string")
+    got = {r.doc_id: r for r in language_id.identify(asked, model).collect()}
+    assert asked.columns == ["doc_id", "text", "score", "told"] and language_id.identify(asked, model).columns == ["doc_id", "text", "told", "lang_pred", "score"]
+    for i, t in enumerate(texts):
+        assert (got[i].lang_pred, got[i].score) == (brute(t)[0], pytest.approx(brute(t)[1])), t
+    assert (got[len(texts)].lang_pred, got[len(texts)].score) == ("und", 0.0)
+    few = language_id.fit(df, order=F.xxhash64("doc_id"), max_docs=2)
+    assert len(few.words) <= 2 and language_id.fit(df.limit(0)).languages == []
+
+
 # passages
 
 
@@ -257,6 +346,109 @@ def test_second_of_two_long_passages_is_found(spark):
         assert sorted((r.first_word, r.n_words) for r in got if r.doc_id == 2 * i + 1) == [(30, size), (30 + size + gap, size)]
 
 
+def test_ties_of_seeds_over_batches_and_partitions():
+    import pyarrow as pa
+
+    rng = np.random.RandomState(8)
+    rows = sorted({(int(s), int(d), int(p)) for s, d, p in np.stack([rng.randint(0, 12, 900), rng.randint(0, 25, 900), rng.randint(0, 40, 900)], 1)})
+
+    def run(rows, size):
+        batches = [pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows[i : i + size]), (pa.int64(), pa.int64(), pa.int32()))], names=["seed", "doc", "pos"]) for i in range(0, len(rows), size)]
+        out = [r for b in substring_dedup._ties(iter(batches)) for r in b.to_pylist()]
+        return sorted((r["doc"], r["other"], r["x"], r["y"]) for r in out if r["seed"] is None), [r for r in out if r["seed"] is not None]
+
+    want = set()
+    for s in {r[0] for r in rows}:
+        docs = sorted({d for q, d, _ in rows if q == s})
+        at = {d: [p for q, e, p in rows if (q, e) == (s, d)] for d in docs}
+        for k, d in enumerate(docs):
+            for e in {*docs[max(0, k - substring_dedup.NEAR) : k], *(docs[:1] if k else [])}:
+                want |= {(d, e, x, y) for x in at[d] for y in (at[e][0], at[e][-1])}
+    for size in (1, 3, 7, 50, 1000):
+        got, rim = run(rows, size)
+        assert set(got) == want and len(got) <= 1.5 * len(want), size
+        assert [(r["seed"], r["doc"]) for r in rim] == [rows[0][:2], rows[-1][:2]]
+
+
+def spread_of(rows):
+    """Words of each document that some passage covers."""
+    out = {}
+    for r in rows:
+        out.setdefault(r[0], set()).update(range(r[1], r[1] + r[2]))
+    return out
+
+
+def passages_by_all_pairs(rows):
+    """Passages from the shared seeds of each two documents: the same chains and alignment without the choice of ties."""
+    from lineagelake.llm.shingles import WordHashes, grams
+
+    k, hashes = substring_dedup.SEED_WORDS, WordHashes()
+    words = {i: hashes.of(t) for i, t in rows}
+    seeds = {}
+    for i, w in words.items():
+        h = grams(w, k)
+        for p in np.flatnonzero(h % np.uint64(substring_dedup.ONE_IN) == 0).tolist():
+            seeds.setdefault(int(h[p]), {}).setdefault(i, []).append(p)
+    met = {}
+    for own in seeds.values():
+        for a, b in itertools.combinations(sorted(own), 2):
+            met.setdefault((b, a), set()).update(itertools.product(own[b], own[a]))
+    out = []
+    for (d, e), xy in met.items():
+        x, y = np.array(sorted(xy)).T
+        short = {n: (words[n] >> np.uint64(32)).astype(np.uint32) for n in (d, e)}
+        for c in substring_dedup.chains(x, y, k):
+            if len(c) > 1 and x[c[-1]] > x[c[0]]:
+                x0, x1, y0, y1, matched = substring_dedup.align(short[d], short[e], x[c].tolist(), y[c].tolist(), k)
+                if x1 - x0 >= substring_dedup.MIN_WORDS and matched / max(x1 - x0, y1 - y0) >= substring_dedup.IDENTITY:
+                    out.append((d, x0, x1 - x0))
+    return out
+
+
+def test_passages_against_all_pairs_among_common_lines(spark):
+    """Passages whose parts are common in other documents: the words found against those that all pairs give."""
+    rng = random.Random(31)
+    common = [prose(rng, 12) for _ in range(40)]
+    passages = [" ".join(rng.sample(common, 3) + [prose(rng, 20)]) for _ in range(15)]
+    rows = []
+    for i in range(240):
+        parts = [prose(rng, rng.randrange(5, 60)) if rng.random() < 0.5 else rng.choice(common) for _ in range(6)]
+        if i % 4 == 0:
+            w = passages[rng.randrange(15)].split()
+            if i % 8 == 0:
+                for p in range(rng.randrange(12), len(w), 12):  # a change in each 12 words
+                    w[p] = rng.choice(VOCAB)
+            parts.insert(rng.randrange(6), " ".join(w))
+        rows.append((i, " ".join(parts)))
+    want = spread_of(passages_by_all_pairs(rows))
+    got = spread_of([(r.doc_id, r.first_word, r.n_words) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()])
+    assert len(want) > 40
+    assert sum(len(w & got.get(i, set())) for i, w in want.items()) / sum(map(len, want.values())) >= 0.9
+    assert np.mean([i in got for i in want]) >= 0.9
+
+
+@pytest.mark.parametrize("every", [8, 12, 20])
+def test_changed_passages_are_found(spark, every):
+    rng = random.Random(every)
+    rows = []
+    for i in range(60):
+        w = prose(rng, 60).split()
+        rows.append((2 * i, prose(rng, 30) + " " + " ".join(w) + " " + prose(rng, 30)))
+        for p in range(rng.randrange(every), 60, every):
+            w[p] = rng.choice(VOCAB)
+        rows.append((2 * i + 1, prose(rng, 40) + " " + " ".join(w) + " " + prose(rng, 20)))
+    got = {(r.doc_id, r.source_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(2 * i + 1, 2 * i) for i in range(60)} and len(got) >= {8: 42, 12: 54, 20: 57}[every]
+
+
+def test_passages_of_odd_tables(spark):
+    one = prose(random.Random(1), 20000)
+    rows = [(1, one, 0), (2, one, 0), (2, one, 0), (3, None, 0), (4, "", 0), (None, one, 0), (5, "a b", 0)]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string, source_id int")).collect()
+    assert [(r.doc_id, r.first_word, r.n_words, r.source_id, r.identity) for r in got] == [(2, 0, 20000, 1, 1.0)]
+    assert substring_dedup.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # quality
 
 
@@ -275,6 +467,8 @@ def test_quality_finds_planted_words(spark):
     assert len(got) == 602
     held = range(500, 600)
     assert np.mean([(got[i].p_toxic >= 0.3) == (i % 9 == 0) for i in held]) > 0.97 and np.mean([(got[i].p_quality >= 0.5) == (i % 7 != 0) for i in held]) > 0.97
+    apart = quality.classify(spark.createDataFrame([(i, "", None, None) for i in range(99)] + [(100 + i, "", "", "") for i in range(99)] + [(1, "", None, None)], DOCS).withColumn("p_toxic", F.lit("x")), spark.createDataFrame([(i, int(i < 50), 0) for i in range(199)], "doc_id long, quality int, toxic int").withColumn("site", F.lit(1)), F.col("source"), F.col("lang")).collect()
+    assert len(apart) == 199 and {r.site for r in apart} == {None, ""} and {r.site: r.p_quality for r in apart}[None] > {r.site: r.p_quality for r in apart}[""]
     assert quality.classify(df.limit(0), lab, F.col("source"), F.col("lang")).count() == 0
     assert {r.p_quality for r in quality.classify(df, lab.limit(0), F.col("source"), F.col("lang")).collect()} == {0.5}
 
@@ -293,13 +487,22 @@ def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice(" \n\t.,'sx-é7Ж") for _ in range(60)) for _ in range(300)]
+    texts += ["".join(rng.choice(["a", "b'll", "\n", " ", "\n", " ", "c", "É", "12", "\u2003", "<|endoftext|>"][: rng.choice((7, 9, 10, 11))]) for _ in range(40)) for _ in range(3000)]
+    assert "<|endoftext|>" in "".join(texts)
     got = token_codes.Encoder(tokenizer_path())(texts)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    got = token_codes.Encoder(path)(ODD)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in ODD]
+
+
 def test_codes_round_trip_and_random_access():
     rng = np.random.RandomState(4)
     for bits in (8, 16):
@@ -321,8 +524,8 @@ def test_codes_of_a_table(spark, monkeypatch):
 
     monkeypatch.setattr(token_codes, "SEGMENT_TOKENS", 50)
     plain = Tokenizer.from_file(tokenizer_path())
-    rows = [(i * 3, t, None, None) for i, t in enumerate(ODD[:9])] + [(100, None, None, None), (100, None, None, None)]
-    out = token_codes.read_index(token_codes.write_codes(spark.createDataFrame(rows, DOCS), tokenizer_path())).orderBy("start").collect()
+    rows = [(None, "no id", None, None)] + [(i * 3, t, None, None) for i, t in enumerate(ODD)] + [(100, None, None, None), (100, None, None, None)]
+    out = token_codes.read_index(token_codes.write_codes(spark.createDataFrame(rows, DOCS).withColumn("file", F.lit(1)), tokenizer_path())).orderBy("start").collect()
     start = 0
     for r, (i, t, *_) in zip(out, rows):
         ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -360,7 +563,10 @@ def test_leaks_found_and_search_equals_plain_scores(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
     assert got == {(100 + i, i) for i in range(10)}
     assert got == {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench, max_broadcast=2000).collect()}
-    assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+    assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0 == decontaminate.find_leaks(docs.limit(0), bench).count()
+    twice = docs.filter("doc_id = 100").limit(1).select("doc_id", F.concat("text", F.lit(" "), "text").alias("text"), F.lit(1).alias("leaked"), F.lit(2).alias("score"))
+    assert [(r.item_id, r.first_word) for r in decontaminate.find_leaks(twice, bench.withColumn("entry", F.lit(9)).union(bench.filter("item_id = 0").withColumn("entry", F.lit(9)))).collect()] == [(0, 0)]
+    assert decontaminate.drop_leaks(twice, bench).columns == twice.columns and decontaminate.drop_leaks(twice, bench).count() == 0
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {*range(50), 200, 201}
     entries = [(i, 0, *decontaminate.entries_of(t)[0]) for i, t in items[:40]]
     df = {}
