@@ -15,8 +15,11 @@ with T - 1 lists as the long ones, so that one occurrence in the short ones make
 3. Each list with several classes ties them to its smallest digest; the distinct ties form candidate groups.
 4. A group's sets meet in blocks of bounded size. Within a pair of blocks the short lists are merged (a stable sort of the
    lists in a row, which merges sorted runs; a heap of Python objects gives the same counts slower), the longest ones are
-   probed by binary search in the candidates that are still short of T (DivideSkip), and the exact
-   overlap decides. A block pair returns a spanning forest of its links, so that copies are never expanded into pairs.
+   probed by binary search in the candidates that are still short of T (DivideSkip), and the exact overlap decides. A
+   block pair returns a spanning forest of its links, so that copies are never expanded into pairs. First each block of a
+   group meets the group's first block: in a crowd of near copies that connects nearly all, with work in proportion to
+   the crowd. Then only the sets outside the component of the group's first set meet all blocks; pairs inside it can't
+   change the result. (Only a large group of which much doesn't link costs its size times what is left.)
 5. Connected components by star contraction; component_id is the smallest doc_id reachable.
 
 Digests have 64 bits and a class is (digest, size). No candidate, partner or list is capped.
@@ -285,15 +288,18 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
 
 
 def _verify(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
+    """Links between the rows of side LEFT and those of side RIGHT, or among those of side BOTH."""
     sets = [np.frombuffer(x, np.uint64) for x in pdf["tokens"]]
-    block, reps = pdf["block"].to_numpy(), pdf["rep"].to_numpy()
-    i, j = pdf["bi"].iloc[0], pdf["bj"].iloc[0]
-    left = np.flatnonzero(block == i)
-    right = left if i == j else np.flatnonzero(block == j)
+    side, reps = pdf["side"].to_numpy(), pdf["rep"].to_numpy()
+    left = np.flatnonzero(side != RIGHT)
+    right = left if (side == BOTH).all() else np.flatnonzero(side != LEFT)
     pairs = linked_pairs(sets, left, right, threshold)
     return pd.DataFrame({"a": [reps[x] for x, _ in pairs], "b": [reps[y] for _, y in pairs]}, dtype="int64")
 
 
+LEFT, RIGHT, BOTH = 0, 1, 2
+
+
 def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document."""
     spark = docs.sparkSession
@@ -312,22 +318,34 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     ties = written(postings.join(centers, "token").filter("digest != center").select("center", "digest").distinct())
 
     members = ties.unionByName(ties.select("center", F.col("center").alias("digest")).distinct())
-    blocks = ties.groupBy("center").agg(F.expr(f"int(ceil((count(1) + 1) / {BLOCK}))").alias("nb"))
-    placed = members.join(blocks, "center").withColumn("block", F.expr("int(pmod(xxhash64(digest), nb))"))
-    meets = placed.select("center", "digest", "block", F.explode(F.expr("transform(sequence(0, nb - 1), x -> named_struct('bi', least(x, block), 'bj', greatest(x, block)))")).alias("m")).select("center", "digest", "block", "m.bi", "m.bj")
-
-    wanted = members.select("digest").distinct().join(classes, "digest").select("digest", "rep")
-    wanted = written(wanted)
-    if wanted.count() * 24 <= MAX_BROADCAST:
-        wanted = F.broadcast(wanted)
-    texts = base.join(wanted, base["doc_id"] == wanted["rep"]).select("text", "digest", "rep")
-    sets = texts.mapInArrow(lambda b: _sets(b, k), "digest long, rep long, tokens binary").dropDuplicates(["digest", "rep"])
-    edges = meets.join(sets, "digest").groupBy("center", "bi", "bj").applyInPandas(lambda pdf: _verify(pdf, threshold), "a long, b long")
+    blocks = written(ties.groupBy("center").agg(F.expr(f"int(ceil((count(1) + 1) / {BLOCK}))").alias("nb")))
+    placed = written(members.join(blocks, "center").withColumn("block", F.expr("int(pmod(xxhash64(digest), nb))")))
+
+    wanted = written(members.select("digest").distinct().join(classes, "digest").select("digest", "rep"))
+    near = F.broadcast(wanted) if wanted.count() * 24 <= MAX_BROADCAST else wanted
+    texts = base.join(near, base["doc_id"] == near["rep"]).select("text", "digest", "rep")
+    sets = written(texts.mapInArrow(lambda b: _sets(b, k), "digest long, rep long, tokens binary").dropDuplicates(["digest", "rep"]))
+
+    def compared(meets: DataFrame) -> DataFrame:
+        return written(meets.join(sets, "digest").groupBy("center", "bi", "bj").applyInPandas(lambda pdf: _verify(pdf, threshold), "a long, b long"))
+
+    meets = f"if(block = 0, transform(sequence(0, nb - 1), x -> named_struct('bj', x, 'side', if(x = 0, {BOTH}, {LEFT}))), array(named_struct('bj', block, 'side', {RIGHT})))"
+    edges = compared(placed.select("center", "digest", F.lit(0).alias("bi"), F.inline(F.expr(meets))))
     # the classes of an id with several texts belong together
     several = known.filter("n > 0").groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x != y").select("doc_id")
     several = known.join(several, "doc_id").join(classes, ["digest", "n"]).select("doc_id", "rep")
     several = several.join(several.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").filter("rep != b").select(F.col("rep").alias("a"), "b")
+    several = written(several)
     comp = components(edges.unionByName(several))
+    if not blocks.filter("nb > 1").isEmpty():
+        labels = wanted.join(comp, wanted["rep"] == comp["id"], "left").select("digest", F.coalesce("component", "rep").alias("label"))
+        inside = placed.filter("nb > 1").join(labels, "digest")
+        inside = written(inside.join(inside.filter("digest = center").select("center", F.col("label").alias("home")), "center"))
+        rest = inside.filter("label != home")
+        left_blocks = written(rest.groupBy("center").agg(F.expr(f"int(ceil(count(1) / {BLOCK}))").alias("nr")))
+        left = rest.join(left_blocks, "center").select("center", "digest", F.expr("int(pmod(xxhash64(digest, 1), nr))").alias("bi"), F.explode(F.expr("sequence(0, nb - 1)")).alias("bj"), F.lit(LEFT).alias("side"))
+        right = inside.join(left_blocks, "center").select("center", "digest", F.explode(F.expr("sequence(0, nr - 1)")).alias("bi"), F.col("block").alias("bj"), F.lit(RIGHT).alias("side"))
+        comp = components(edges.unionByName(compared(left.unionByName(right))).unionByName(several))
     labels = classes.join(comp, classes["rep"] == comp["id"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
     out = known.join(labels, ["digest", "n"], "left")
     return out.groupBy("doc_id").agg(F.max(F.col("n").cast("long")).alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id"))
