@@ -25,10 +25,12 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,77 +39,106 @@ from lineagelake.llm.common import written
 CHUNK_BITS = 8
 SEGMENT_TOKENS = 1 << 20
 RANK_BITS = 512
+#: Texts cut and encoded at a time.
+HELD = 1024
 NULL_ID = -(1 << 63)
 SEGMENT = "part int, segment int, docs long, tokens long, file binary"
 
-#: White space at which a text can't simply be cut before each space and each newline: the tokeniser keeps a run of white
-#: space together but for its last character. Two newlines within a text are no such place.
-UNSURE = re.compile(r"\s[^\S\n]|[^\S\n]\s|\n\n\n|\n\n\Z")
-#: The cuts of such texts: a run of white space but for its last character, then that character with what follows.
+#: Texts that can't be cut before each space and each newline, in RE2's syntax: with other white space, control characters
+#: that only some call white space, or runs of white space, which the tokeniser keeps together but for their last
+#: character. Two newlines within a text are no such run.
+ODD = r"[\x{9}\x{b}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n |\n\n\n|\n\n\z"
+#: Safe places to cut these, in Python's syntax: a run of white space but for its last character, then that character with
+#: what follows; and characters whose class is in doubt, whose texts are encoded whole.
 PIECES = re.compile(r"\s?\S+|\s+(?=\s\S)|\s+\Z")
+DOUBTFUL = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Stands before the first word of a text, which has no space before it.
+FIRST = "\x1f"
 
 
 class Encoder:
     """Encodes texts with a public tokenizer file; remembers the ids of words up to a bound.
 
-    A byte-level tokenizer that cuts texts at white space first gives each word, with the one white space before it, the
-    same ids wherever it stands. Texts with a special token, and all texts for other tokenizers, are encoded whole.
+    A byte-level tokenizer cuts texts at white space first, so a word with the one white space before it has the same ids
+    wherever it stands. A batch is cut and its distinct words are told by Arrow; the library encodes those not yet known,
+    many in a row. Texts with a special token, and all texts for other tokenizers, are encoded whole.
     """
 
-    MEMO = 500_000
+    MEMO, IN_A_ROW = 1_000_000, 1000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        #: Ids of words with the space before them, and of first words and other pieces as they are.
-        self.words, self.pieces = {}, {}
+        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
         said = json.loads(self.tokenizer.to_str())
         cut = said["pre_tokenizer"] or {}
         self.by_word = (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex"), said["normalizer"], said["model"].get("dropout")) == ("ByteLevel", False, True, None, None)
         #: The library looks for these before it cuts a text.
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = (*DOUBTFUL, *[t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
+        #: Ids of tokens that begin with a space or a newline, as this kind of tokenizer spells them.
+        vocab = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith(("\u0120", "\u010a"))]] = True
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that begin with a white space and have no other, encoded in rows; tokens never go across words."""
+        out = []
+        for k in range(0, len(words), self.IN_A_ROW):
+            own = words[k : k + self.IN_A_ROW]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            at = (4 * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
+            if len(at) != len(own) + 1 or at[0]:
+                raise RuntimeError("a tokenizer that joins words")
+            data = ids.tobytes()
+            out += [data[lo:hi] for lo, hi in zip(at, at[1:])]
+        return out
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of each of these distinct words; those that aren't remembered are encoded first."""
+        got = list(map(self.memo.get, words))
+        if None in got:
+            if len(self.memo) > self.MEMO:  # the commonest came first
+                for late in list(self.memo)[self.MEMO // 2 :]:
+                    del self.memo[late]
+            new = [w for w, x in zip(words, got) if x is None]
+            inner = [w for w in new if w and not w.startswith(FIRST)]
+            fresh = dict(zip(inner, self._fresh_words([w if w[0] == "\n" else " " + w for w in inner])))
+            others = [w for w in new if w not in fresh]
+            fresh |= zip(others, self._fresh([w[1:] if w else " " for w in others]))
+            self.memo |= fresh
+            got = [fresh[w] if x is None else x for w, x in zip(words, got)]
+        return got
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        for t in self.whole if self.by_word else ():
+            odd |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
         out: list = [None] * len(texts)
-        words: dict[int, list[str]] = {}
-        pieces: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-            elif not self.by_word or any(t in text for t in self.added):
-                out[i] = self._fresh([text])[0]
-            elif UNSURE.search(text):
-                pieces[i] = PIECES.findall(text)
-            else:
-                words[i] = text.replace("\n", " \n").split(" ")
-                pieces[i] = [words[i].pop(0)]  # a first word has no space before it
-        known = self._known(self.pieces, pieces, lambda p: p)
-        after = self._known(self.words, words, lambda w: w if w.startswith("\n") else " " + w)
-        for i in pieces:
-            out[i] = known[i] + after.get(i, b"")
-        return out
-
-    def _known(self, memo: dict[str, bytes], lists: dict[int, list[str]], whole) -> dict[int, bytes]:
-        """The joined ids of each list; what the memo doesn't have is encoded first, in one call."""
-        if len(memo) > self.MEMO:
-            memo.clear()
-        out, todo = {}, {}
-        for i, own in lists.items():
-            got = list(map(memo.get, own))
-            if None in got:
-                todo[i] = own
-            else:
-                out[i] = b"".join(got)
-        if todo:
-            new = list({p for own in todo.values() for p in own if p not in memo})
-            memo.update(zip(new, self._fresh([whole(p) for p in new])))
-            out |= {i: b"".join(map(memo.__getitem__, own)) for i, own in todo.items()}
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            own = texts.take(pa.array(plain)) if odd.any() else texts
+            lists = pc.split_pattern(pc.binary_join_element_wise(FIRST, pc.replace_substring(own, "\n", " \n"), ""), " ")
+            words = lists.flatten().dictionary_encode()
+            ids = self._known(words.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            index = words.indices.to_numpy()
+            blob = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes // 4)]).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+            flat = blob.take(words.indices).flatten().to_numpy().tobytes()
+            ends = np.concatenate([[0], np.cumsum(sizes[index])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+            for i, lo, hi in zip(plain.tolist(), ends, ends[1:]):
+                out[i] = flat[lo:hi]
+        for i in np.flatnonzero(odd).tolist():
+            text = texts[i].as_py()
+            pieces = [text] if not self.by_word or any(map(text.__contains__, self.whole)) else PIECES.findall(text)
+            distinct = list(set(pieces))
+            known = dict(zip(distinct, self._fresh(distinct)))
+            out[i] = b"".join(map(known.__getitem__, pieces))
         return out
 
 
@@ -216,9 +247,9 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, part_of
         return pa.record_batch(columns, names=["part", "segment", "docs", "tokens", "file"])
 
     for batch in batches:
-        names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        for k in range(0, len(texts), 256):
-            for d, x in zip(names[k : k + 256], encode(texts[k : k + 256])):
+        names, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+        for k in range(0, len(texts), HELD):
+            for d, x in zip(names[k : k + HELD], encode(texts.slice(k, HELD))):
                 docs.append(d)
                 ids.append(x + end)
                 size += len(x) // 4 + 1

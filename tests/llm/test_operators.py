@@ -77,6 +77,25 @@ def test_jaccard_full_postings_when_the_filter_is_small(docs, monkeypatch):
     assert got == jaccard_brute(corpus())
 
 
+@pytest.mark.parametrize("block", [2, 5])
+def test_jaccard_crowds_in_several_blocks(spark, monkeypatch, block):
+    """Crowds that link in chains, in parts and not at all, all sharing passages, cut into small blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(block)
+    rows, shared = [], prose(rng, 30)
+    for crowd in range(3):
+        words = (shared + " " + prose(rng, 90)).split()
+        for _ in range(24):
+            for _ in range(rng.choice((0, 1, 2))):  # copies drift apart
+                words[rng.randrange(30, len(words))] = rng.choice(VOCAB)
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows) + i, shared + " " + prose(rng, rng.randrange(5, 60))) for i in range(20)]
+    rng.shuffle(rows)
+    want = jaccard_brute(rows)
+    assert 4 < len({c for _, c in want.values()}) < len(rows) - 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 def test_jaccard_empty_and_extra_columns(spark, docs):
     assert ngram_join.jaccard_components(docs.limit(0)).count() == 0
     kept = ngram_join.drop_near_copies(docs.withColumn("component_id", F.lit("x")).withColumn("n", F.lit(1)))
@@ -473,6 +492,58 @@ def test_quality_finds_planted_words(spark):
     assert {r.p_quality for r in quality.classify(df, lab.limit(0), F.col("source"), F.col("lang")).collect()} == {0.5}
 
 
+def posteriors_brute(rows, labels, model, c):
+    """The hierarchical posterior of one label, from the evidence on."""
+    logit = lambda p: np.log(p / (1 - p))
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    e = [model[c](quality.features(t)) for _, t, _, _ in rows]
+    seen = {}
+    for i, *y in labels:
+        v = y[("quality", "toxic").index(c)]
+        if v is not None:
+            seen.setdefault(i, []).append(v)
+    rate = min(1 - 1e-4, max(1e-4, np.mean([v for i, *y in labels for v in [y[("quality", "toxic").index(c)]] if v is not None])))
+    path = {}
+    for (i, _, s, p), x in zip(rows, e):
+        k, n = (sum(seen[i]), len(seen[i])) if i in seen else (0.25 * sig(x + logit(rate)), 0.25)
+        old = path.get((s, p), (0, 0))
+        path[(s, p)] = (old[0] + k, old[1] + n)
+    site = {}
+    for (s, _), (k, n) in path.items():
+        site[s] = (site.get(s, (0, 0))[0] + k, site.get(s, (0, 0))[1] + n)
+
+    def shrunk(rates, toward):
+        w = sum(n for _, n in rates.values())
+        within = sum(n * toward[x] * (1 - toward[x]) for x, (_, n) in rates.items()) / w
+        between = sum(n * (k / n - toward[x]) ** 2 for x, (k, n) in rates.items()) / w - within * len(rates) / w
+        strength = min(1e6, max(1.0, within / between - 1)) if between > 0 else 1e6
+        return {x: (k + strength * toward[x]) / (n + strength) for x, (k, n) in rates.items()}
+
+    total = sum(k for k, _ in site.values()) / sum(n for _, n in site.values())
+    of_site = shrunk(site, dict.fromkeys(site, total))
+    of_path = shrunk(path, {x: of_site[x[0]] for x in path})
+    return [sig(x + logit(min(1 - 1e-6, max(1e-6, of_path[(s, p)])))) for (_, _, s, p), x in zip(rows, e)]
+
+
+def test_quality_posteriors_equal_brute_force(spark):
+    rng = random.Random(19)
+    rows, labels = [], []
+    for i in range(300):
+        bad = rng.random() < (0.6 if i % 4 == 0 else 0.1)
+        rows.append((i, prose(rng, 15, VOCAB[:60]) + (" ### $$" if bad else ""), [None, "", "s1", "s2"][i % 4], rng.choice([None, "x", "y"])))
+        if i % 2:
+            labels.append((i, int(not bad), rng.choice((0, 1, None))))
+    labels += [(1, 1, 1), (7777, 0, 0), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(df, lab, ("quality", "toxic"))
+    got = {r.doc_id: r for r in quality.classify(df, lab, F.col("source"), F.col("lang")).collect()}
+    for c in ("quality", "toxic"):
+        want = posteriors_brute(rows, labels, model, c)
+        assert [got[i][f"p_{c}"] for i, *_ in rows] == pytest.approx(want, rel=1e-6), c
+    assert {(got[i].site, got[i].path) for i, *_ in rows} == {(s, p) for _, _, s, p in rows}
+
+
 # token codes
 
 
@@ -490,9 +561,14 @@ def test_encoder_equals_the_library():
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice(" \n\t.,'sx-é7Ж") for _ in range(60)) for _ in range(300)]
     texts += ["".join(rng.choice(["a", "b'll", "\n", " ", "\n", " ", "c", "É", "12", "\u2003", "<|endoftext|>"][: rng.choice((7, 9, 10, 11))]) for _ in range(40)) for _ in range(3000)]
+    texts += ["".join(rng.choice("aB é½²ª'’!?#$\x1c\x85\t1٣жΩst\n") for _ in range(30)) for _ in range(3000)]
     assert "<|endoftext|>" in "".join(texts)
-    got = token_codes.Encoder(tokenizer_path())(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    small = token_codes.Encoder(tokenizer_path())
+    small.MEMO = 50
+    for encode in (token_codes.Encoder(tokenizer_path()), small):
+        got = [g for k in range(0, len(texts), 100) for g in encode(texts[k : k + 100])]
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
 
 
 def test_other_tokenizers_encode_whole_texts():
@@ -763,3 +839,24 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
         assert now.columns == base.columns, name
     out = cp.run(spark, d)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == now.count()
+
+
+def test_pipeline_of_an_empty_table_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(78)
+    kind = "doc_id long, text string, lang string, source string, n_chars long, component_id string"
+    one, two = prose(rng, 60), prose(rng, 60)
+    rows = [(None, prose(rng, 50), "en", "a", 1, "x"), (1, one, "en", "a", 1, "x"), (1, one, "en", "a", 1, "x"), (2, one, "en", None, 1, "x"), (3, two, "en", "a", 1, "x"), (3, prose(rng, 40), "en", "a", 1, "x"), (4, None, None, None, None, None), (5, "", "en", "a", 0, "x")]
+    for name, own in (("none", []), ("odd", rows)):
+        d = str(tmp_path / name)
+        spark.createDataFrame(own, kind).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        now = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in cp.STAGES[:-1]:
+            now = stage(spark, now, d)
+            assert now.columns == [f.split()[0] for f in kind.split(", ")]
+        ids = [r.doc_id for r in now.collect()]
+        out = cp.run(spark, d).collect()
+        assert len(out) == len(ids)
+        assert not ids if name == "none" else {None, 1, 3} == set(ids)
