@@ -68,6 +68,8 @@ def validate(p: dict) -> dict:
             raise ValueError(f"distribution must be one of {DISTRIBUTIONS}")
         if family == "adult" and params.get("method", "ltm") not in ("ltm", "cox"):
             raise ValueError("adult knows the methods ltm and cox")
+        if family == "adult" and params.get("method", "ltm") == "ltm" and params.get("standardize_hazard") is not None:
+            raise ValueError("adult ltm has no hazard: standardize_hazard doesn't apply")
     if not 0 < p["G_pheno"] <= p["G_ped"] <= p["G_sim"]:
         raise ValueError("generations must be G_pheno <= G_ped <= G_sim")
     if not 1 <= p["max_degree"] <= 5:
@@ -91,14 +93,20 @@ def phenotype_model(p: dict, n: int):
     from lineagelake.operators.phenotypes import make_model
 
     family, params = p[f"phenotype_model{n}"], dict(p[f"phenotype_params{n}"] or {})
-    common = {"beta": float(p[f"beta{n}"]), "beta_sex": float(p[f"beta_sex{n}"]), "standardize": params.pop("standardize_hazard", p["standardize"])}
+    common = {"beta": float(p[f"beta{n}"]), "beta_sex": float(p[f"beta_sex{n}"]), "standardize": p["standardize"]}
+    hazard_mode = params.pop("standardize_hazard", None)
     if family == "adult":
         method = params.pop("method", "ltm")
+        if hazard_mode is not None and method == "ltm":
+            raise ValueError("adult ltm has no hazard: standardize_hazard doesn't apply")
+        common["standardize"] = common["standardize"] if hazard_mode is None else hazard_mode
         return make_model(f"adult_{method}", prevalence=params["prevalence"], x0=params.get("cip_x0", 50.0), slope=params.get("cip_k", 0.2), **common)
+    if family == "cure_frailty":  # its threshold and its hazard are standardised each in their own way
+        return make_model(family, hazard=params.pop("distribution"), prevalence=params.pop("prevalence"), standardize_hazard=hazard_mode, params=params, **common)
+    common["standardize"] = common["standardize"] if hazard_mode is None else hazard_mode
     if family == "first_passage":
         return make_model(family, params=params, **common)
-    extra = {"prevalence": params.pop("prevalence")} if family == "cure_frailty" else {}
-    return make_model(family, hazard=params.pop("distribution"), params=params, **extra, **common)
+    return make_model(family, hazard=params.pop("distribution"), params=params, **common)
 
 
 def run_parameters(p: dict, rep: int = 0) -> dict:

@@ -26,30 +26,21 @@ def bvn_upper(h: float, k: float, r: float) -> float:
 
 
 def fit(n11: float, n10: float, n01: float, n00: float) -> tuple[float, float]:
-    """(r, standard error); NaN if either margin is empty. Golden-section search on (-0.999, 0.999)."""
+    """(r, standard error); NaN if either margin is empty. Bisection on (-0.999, 0.999);
+    an empty cell gives its end and no error."""
     n = n11 + n10 + n01 + n00
     if n <= 0 or not 0 < n11 + n10 < n or not 0 < n11 + n01 < n:
         return math.nan, math.nan
     p1, p2 = (n11 + n10) / n, (n11 + n01) / n
     h, k = _NORMAL.inv_cdf(1 - p1), _NORMAL.inv_cdf(1 - p2)
 
-    def nll(r: float) -> float:
-        p11 = bvn_upper(h, k, r)
-        cells = ((n11, p11), (n10, p1 - p11), (n01, p2 - p11), (n00, 1 - p1 - p2 + p11))
-        return -sum(c * math.log(max(p, 1e-15)) for c, p in cells if c)
-
-    lo, hi, g = -0.999, 0.999, (math.sqrt(5) - 1) / 2
-    a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-    fa, fb = nll(a), nll(b)
-    while hi - lo > 1e-9:
-        if fa < fb:
-            hi, b, fb = b, a, fa
-            a = hi - g * (hi - lo)
-            fa = nll(a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + g * (hi - lo)
-            fb = nll(b)
+    if not (n11 and n00 and n10 and n01):  # an empty cell: the end of the range, without an error
+        return (-0.999 if not (n11 and n00) else 0.999), math.nan
+    # with the margins' thresholds the likelihood is greatest where the model's P11, which grows with r, is the observed one
+    lo, hi, goal = -0.999, 0.999, n11 / n
+    while hi - lo > 1e-12:
+        r = (lo + hi) / 2
+        lo, hi = (r, hi) if bvn_upper(h, k, r) < goal else (lo, r)
     r = (lo + hi) / 2
     p11 = bvn_upper(h, k, r)
     density = math.exp(-(h * h - 2 * r * h * k + k * k) / (2 * (1 - r * r))) / (2 * math.pi * math.sqrt(1 - r * r))

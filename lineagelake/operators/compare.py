@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineagelake.operators.correlations import mate_correlations
+
 
 def _number(value: str):
     return F.when(~F.isnan(value), F.col(value))
@@ -39,3 +43,15 @@ def regression_band(rows: DataFrame, grid: DataFrame, by: list[str], t95: float
 
 def with_truth(df: DataFrame, truth: DataFrame, key: str = "scenario") -> DataFrame:
     return df.join(F.broadcast(truth), key, "left")
+
+
+def over_reps(reps: dict[int, DataFrame], table) -> DataFrame:
+    """A table of each replicate, with its number: mate correlations, estimators of h2, cohort Falconer and the like."""
+    parts = [table(df).withColumn("rep", F.lit(k)) for k, df in sorted(reps.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def mate_matrix(reps: dict[int, DataFrame]) -> DataFrame:
+    """Mates' 2x2 liability correlations averaged over replicates."""
+    every = over_reps(reps, mate_correlations)
+    return every.agg(F.count("*").alias("n_reps"), *[F.avg(c).alias(c) for c in ("m1_f1", "m1_f2", "m2_f1", "m2_f2")])

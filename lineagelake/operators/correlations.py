@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineagelake.functions.mathx import p_value, safe_corr
+from lineagelake.functions.mathx import ndtri, p_value, safe_corr
 from lineagelake.functions.tetrachoric import tetrachoric
 
 MIN_PAIRS = 10
@@ -63,6 +63,69 @@ def pairs_by_generation(people: DataFrame, pairs: DataFrame, last: int = 3) -> D
     return two_by_two(kept, ["rel", "trait", "generation"])
 
 
+def tetrachoric_by_generation(people: DataFrame, pairs: DataFrame, last: int = 3) -> DataFrame:
+    """Tetrachoric r and se of the last generations with, beside them, the same pairs' liability correlation."""
+    fitted = with_tetrachoric(pairs_by_generation(people, pairs, last))
+    top = people.agg(F.max("generation")).first()[0] or 0
+    values = pair_values(people, pairs, "liability").filter(F.col("generation_1") >= max(1, top - last + 1)).withColumnRenamed("generation_1", "generation")
+    r = values.groupBy("rel", "trait", "generation").agg(F.when(F.count("*") >= MIN_PAIRS, F.coalesce(safe_corr(F.col("liability_1"), F.col("liability_2")), F.lit(0.0))).alias("liability_r"))
+    return fitted.join(r, ["rel", "trait", "generation"], "left")
+
+
+#: People of a generation from which the traits of one person are correlated: fixed value.
+MIN_PEOPLE = 50
+
+
+def same_person_counts(people: DataFrame, last: int = 3) -> DataFrame:
+    """2x2 of the two traits of one person, in each of the last generations after the founders'."""
+    top = people.agg(F.max("generation")).first()[0] or 0
+    return two_by_two(people.filter(F.col("generation") >= max(1, top - last + 1)), ["generation"], "affected1", "affected2")
+
+
+def same_person_by_generation(people: DataFrame, last: int = 3) -> DataFrame:
+    return with_tetrachoric(same_person_counts(people, last), MIN_PEOPLE)
+
+
+def falconer_by_generation(people: DataFrame, pairs: DataFrame) -> DataFrame:
+    """MZ and FS liability correlations within each cohort, 2 (r_MZ - r_FS), and the cohort's realised h2."""
+    both = pair_values(people, pairs.filter("rel in ('MZ', 'FS')"), "liability").join(people.select(F.col("id").alias("id2"), F.col("generation").alias("generation_2")), "id2").filter("generation_1 = generation_2")
+    r = both.groupBy("trait", F.col("generation_1").alias("generation"), "rel").agg(F.count("*").alias("n"), F.coalesce(safe_corr(F.col("liability_1"), F.col("liability_2")), F.lit(0.0)).alias("r"))
+    pick = lambda rel, c: F.max(F.when((F.col("rel") == rel) & (F.col("n") >= MIN_PAIRS), F.col(c)))
+    wide = r.groupBy("trait", "generation").agg(pick("MZ", "r").alias("r_mz"), pick("FS", "r").alias("r_fs"), *[F.coalesce(F.max(F.when(F.col("rel") == x, F.col("n"))), F.lit(0)).alias(f"n_{x.lower()}") for x in ("MZ", "FS")])
+    return realized_h2(people).join(wide, ["trait", "generation"], "left").withColumn("falconer", 2 * (F.col("r_mz") - F.col("r_fs")))
+
+
+def naive_h2(people: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Estimators from liability correlations that assume random mating, beside the realised h2, by trait."""
+    seen = liability_correlations(people, pairs)
+    slope = regression(_both_with_parents(people, "liability"), ["trait"]).select("trait", F.col("slope").alias("po"))
+    rows = [F.struct(F.lit(n).alias("trait"), *[F.col(f"{c}{n}").alias(c) for c in "ACE"]) for n in (1, 2)]
+    v = people.select(F.inline(F.array(*rows))).groupBy("trait").agg(*[F.var_samp(c).alias(f"v{c}") for c in "ACE"])
+    real = v.select("trait", (F.col("vA") / (F.col("vA") + F.col("vC") + F.col("vE"))).alias("realized"))
+    return real.join(observed_h2(seen, "r"), "trait", "left").join(slope, "trait", "left").select("trait", "falconer", "sibs", "po", "half_sibs", "cousins", "realized")
+
+
+def observed_and_liability_h2(people: DataFrame, pairs: DataFrame) -> DataFrame:
+    """By trait: prevalence, Falconer's h2 on the observed scale, and what it is on the liability scale (k (1 - k) / z^2)."""
+    found = observed_h2(phi(people, pairs)).select("trait", F.col("falconer").alias("observed"))
+    rows = [F.struct(F.lit(n).alias("trait"), F.col(f"affected{n}").alias("a")) for n in (1, 2)]
+    k = people.select(F.inline(F.array(*rows))).groupBy("trait").agg(F.avg(F.col("a").cast("double")).alias("prevalence"))
+    z = F.exp(-F.pow(ndtri(F.col("prevalence")), F.lit(2)) / 2) / F.lit((2 * 3.141592653589793) ** 0.5)
+    factor = F.when((F.col("prevalence") > 0) & (F.col("prevalence") < 1), F.col("prevalence") * (1 - F.col("prevalence")) / (z * z))
+    return k.join(found, "trait", "left").select("trait", "prevalence", "observed", (F.col("observed") * factor).alias("liability"))
+
+
+def first_sib_pairs(people: DataFrame, min_generation: int | None = None) -> DataFrame:
+    """(mother, father, trait, a, b): liabilities of the first two full sibs of each family by id, without twins."""
+    kids = people.filter("mother >= 0 and twin = -1")
+    kids = kids if min_generation is None else kids.filter(F.col("generation") >= min_generation)
+    w = Window.partitionBy("mother", "father").orderBy("id")
+    two = kids.select("mother", "father", "liability1", "liability2", F.row_number().over(w).alias("nth")).filter("nth <= 2")
+    cells = [F.max(F.when(F.col("nth") == k, F.col(f"liability{t}"))).alias(f"{c}{t}") for t in (1, 2) for k, c in ((1, "a"), (2, "b"))]
+    wide = two.groupBy("mother", "father").agg(F.count("*").alias("n"), *cells).filter("n = 2")
+    return wide.select("mother", "father", F.inline(F.array(*[F.struct(F.lit(t).alias("trait"), F.col(f"a{t}").alias("a"), F.col(f"b{t}").alias("b")) for t in (1, 2)])))
+
+
 def cross_trait_counts(people: DataFrame, pairs: DataFrame) -> DataFrame:
     """Trait 1 of the first member against trait 2 of the second, by code; 'self' is the same person."""
     a, b = people.select(F.col("id").alias("id1"), F.col("affected1").alias("affected_1")), people.select(F.col("id").alias("id2"), F.col("affected2").alias("affected_2"))
@@ -92,8 +155,12 @@ def regression(rows: DataFrame, by: list[str], x: str = "x", y: str = "y", least
 
 def parent_offspring(people: DataFrame, by: tuple[str, ...] = ("generation",), column: str = "liability") -> DataFrame:
     """Offspring on midparent, for both traits."""
+    return regression(_both_with_parents(people, column), ["trait", *by])
+
+
+def _both_with_parents(people: DataFrame, column: str) -> DataFrame:
     both = [_with_parents(people, f"{column}{n}").withColumn("trait", F.lit(n)) for n in (1, 2)]
-    return regression(both[0].unionByName(both[1]), ["trait", *by])
+    return both[0].unionByName(both[1])
 
 
 def mate_correlations(people: DataFrame) -> DataFrame:

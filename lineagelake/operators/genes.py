@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineagelake.functions import rng
-from lineagelake.operators.kinship import cut
+from lineagelake.operators.checkpoints import cut
 from lineagelake.operators.sampling import smallest
 
 
@@ -25,6 +25,40 @@ def single_mutation_sites(mutations: DataFrame) -> DataFrame:
     return mutations.join(one, ["CHR", "site_id"], "left_semi")
 
 
+def pedigree_tables(ped: DataFrame, generations: int, sampled: int) -> DataFrame:
+    """(individual, time, is_sample, mother, father) for a genotype engine: time counts back from the last generation, whose
+    last `sampled` generations are samples; founders have null parents."""
+    if not 1 <= sampled <= generations:
+        raise ValueError("between one and all generations are sampled")
+    time = F.lit(generations - 1) - F.col("generation")
+    known = lambda c: F.when(F.col("mother") >= 0, F.col(c))
+    return ped.select(F.col("id").alias("individual"), time.alias("time"), (time < sampled).alias("is_sample"), known("mother").alias("mother"), known("father").alias("father"))
+
+
+def in_population(nodes: DataFrame, population: int | str) -> DataFrame:
+    """Nodes of one population."""
+    return nodes.filter(F.col("population") == population)
+
+
+def sample_counts(edges: DataFrame, mutations: DataFrame, samples: DataFrame) -> DataFrame:
+    """(site_id, AC): samples below each mutation's node in the tree at its position.
+
+    edges (parent, child, left, right), mutations (site_id, position, node), samples (node). An interval join: from the
+    mutations' nodes down, nodes meet the edges of their parent whose interval [left, right) holds the position, until
+    no node has children. Sites without samples below get 0; a site with several mutations counts each node once.
+    """
+    at = cut(mutations.select("site_id", "position", "node").distinct())
+    every = at
+    while True:
+        down = at.join(edges, (F.col("node") == F.col("parent")) & (F.col("left") <= F.col("position")) & (F.col("position") < F.col("right")))
+        at = cut(down.select("site_id", "position", F.col("child").alias("node")).distinct())
+        if at.isEmpty():
+            break
+        every = every.unionByName(at)
+    found = every.select("site_id", "node").distinct().join(samples.select("node").distinct(), "node", "left_semi").groupBy("site_id").agg(F.count("*").alias("AC"))
+    return mutations.select("site_id").distinct().join(found, "site_id", "left").na.fill(0, ["AC"])
+
+
 def catalog_summary(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("CHR").agg(F.count("*").alias("n_sites"), F.avg("AF").alias("mean_af"))
 

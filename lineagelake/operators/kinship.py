@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineagelake.operators.checkpoints import cut
 from lineagelake.operators.relatives import parent_edges
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder of spark.checkpoint.dir; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lineagelake-"))
-    return df.checkpoint()
-
-
 def kinship(ped: DataFrame, generations: int | None = None) -> DataFrame:
     """(i, j, k) with k > 0, each pair once; i = j is (1 + F) / 2. One round of joins for each generation.
 
@@ -31,8 +24,9 @@ def kinship(ped: DataFrame, generations: int | None = None) -> DataFrame:
     edges = parent_edges(ped).select("child", "parent")
     gen = ped.select(F.col("id").alias("child"), F.col("generation").alias("g"), F.col("twin"))
     edges = edges.join(gen, "child")
-    whole = ped.filter("generation = 0").select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.5).alias("k"))
+    parts = [ped.filter("generation = 0").select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.5).alias("k"))]
     for g in range(1, top + 1):
+        whole = reduce(DataFrame.unionByName, parts)
         both = whole.unionByName(whole.filter("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "k"))
         own = edges.filter(F.col("g") == g)
         # newcomers with everyone older
@@ -46,13 +40,57 @@ def kinship(ped: DataFrame, generations: int | None = None) -> DataFrame:
         mine = ped.filter(F.col("generation") == g).select("id", "twin").join(f, "id", "left").select("id", "twin", F.expr("(1 + coalesce(f, 0)) / 2").alias("k"))
         twins = mine.filter("twin > id").select(F.col("id").alias("i"), F.col("twin").alias("j"), F.col("k").alias("tk"))
         pairs = pairs.join(twins, ["i", "j"], "full").select("i", "j", F.coalesce("tk", "k").alias("k"))
-        whole = cut(whole.unionByName(older).unionByName(pairs).unionByName(mine.select(F.col("id").alias("i"), F.col("id").alias("j"), "k")))
-    return whole
+        # a generation's pairs are written once; older ones stay where they are
+        parts.append(cut(older.unionByName(pairs).unionByName(mine.select(F.col("id").alias("i"), F.col("id").alias("j"), "k"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def couple_kinship(ped: DataFrame) -> DataFrame:
+    """(i, j, k) of all couples, i < j, without the kinship of other pairs.
+
+    From the last generation up, each needed pair names the pairs of its younger members' parents; these few pairs are
+    then valued from the founders down. Work follows couples times ancestor pairs, not all related pairs of people.
+    """
+    ped = ped.select("id", "generation", "mother", "father", "twin")
+    top = ped.agg(F.max("generation")).first()[0] or 0
+    parent = parent_edges(ped).select("child", "parent")
+    level = ped.select("id", "generation")
+    known = ped.filter("mother >= 0 and father >= 0 and mother != father")
+
+    def leveled(pairs: DataFrame) -> DataFrame:
+        """Pairs in order, with the later generation of the two; co-twins share the kinship of one of them."""
+        both = pairs.join(level.select(F.col("id").alias("i"), F.col("generation").alias("gi")), "i").join(level.select(F.col("id").alias("j"), F.col("generation").alias("gj")), "j")
+        return both.select("i", "j", "gi", "gj", F.greatest("gi", "gj").alias("g"))
+
+    couples = leveled(known.select(F.least("mother", "father").alias("i"), F.greatest("mother", "father").alias("j")).distinct())
+    waiting, steps = [couples], {}
+    twin = ped.filter("twin >= 0").select(F.col("id").alias("i"), F.col("twin").alias("j"), F.lit(True).alias("mz"))
+    for g in range(top, 0, -1):
+        every = reduce(DataFrame.unionByName, waiting)
+        here = every.filter(F.col("g") == g).distinct().join(twin, ["i", "j"], "left")
+        # of a pair with itself (or a co-twin) the parents' own pair counts, half, beside 1/2
+        own = here.filter("i = j or mz").join(known.select(F.col("id").alias("i"), F.least("mother", "father").alias("a"), F.greatest("mother", "father").alias("b")), "i", "left").select("i", "j", "a", "b", F.lit(0.5).alias("w"))
+        far = here.filter("i != j and mz is null")
+        up = far.select("i", "j", "gi", "gj", F.when(F.col("gi") == g, F.col("i")).alias("x"), F.when(F.col("gj") == g, F.col("j")).alias("y"))
+        up = up.join(parent.select(F.col("child").alias("x"), F.col("parent").alias("px")), "x", "left").join(parent.select(F.col("child").alias("y"), F.col("parent").alias("py")), "y", "left")
+        up = up.filter("(x is null or px is not null) and (y is null or py is not null)").select("i", "j", F.coalesce("px", "i").alias("p"), F.coalesce("py", "j").alias("q"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 0.25).otherwise(0.5).alias("w"))
+        steps[g] = cut(own.unionByName(up.groupBy("i", "j", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("w").alias("w"))))
+        waiting = [every.filter(F.col("g") < g), leveled(steps[g].filter("a is not null").select(F.col("a").alias("i"), F.col("b").alias("j")).distinct())]
+    valued = cut(reduce(DataFrame.unionByName, waiting).filter("g = 0 and i = j").select("i", "j", F.lit(0.5).alias("k")).distinct())
+    done = [valued]
+    for g in range(1, top + 1):
+        below = reduce(DataFrame.unionByName, done).select(F.col("i").alias("a"), F.col("j").alias("b"), "k")
+        base = F.max(F.when((F.col("i") == F.col("j")) | F.col("mz"), 0.5).otherwise(0.0))
+        mine = steps[g].join(below, ["a", "b"], "left").join(twin, ["i", "j"], "left")
+        done.append(cut(mine.groupBy("i", "j").agg((base + F.coalesce(F.sum(F.col("w") * F.col("k")), F.lit(0.0))).alias("k")).filter("k > 0")))
+    return couples.select("i", "j").join(reduce(DataFrame.unionByName, done), ["i", "j"], "left").select("i", "j", F.coalesce("k", F.lit(0.0)).alias("k"))
 
 
 def inbreeding(ped: DataFrame, k: DataFrame | None = None) -> DataFrame:
-    """(id, generation, f): the kinship of the parents."""
-    k = kinship(ped) if k is None else k
+    """(id, generation, f): the kinship of the parents, from a kinship table or else from that of the couples alone."""
+    if k is None:
+        own = ped.select("id", "generation", F.least("mother", "father").alias("i"), F.greatest("mother", "father").alias("j"))
+        return own.join(couple_kinship(ped), ["i", "j"], "left").select("id", "generation", F.coalesce("k", F.lit(0.0)).alias("f"))
     return ped.select("id", "generation").join(k.filter("i = j").select(F.col("i").alias("id"), (2 * F.col("k") - 1).alias("f")), "id", "left").na.fill(0.0, ["f"])
 
 
@@ -75,7 +113,28 @@ def family_size_variance(ped: DataFrame) -> DataFrame:
     own = ped.filter(F.col("generation") < (top or 0)).select("id", "generation").join(kids, "id", "left").na.fill(0, ["k"])
     out = own.groupBy("generation").agg(F.count("*").alias("n"), F.avg("k").alias("mean_k"), F.var_samp("k").alias("var_k"))
     scaled = (F.col("var_k") - F.col("mean_k")) * F.pow(2.0 / F.col("mean_k"), 2) + 2.0  # Poisson part stays at mean 2
-    return out.withColumn("ne", F.when(F.col("mean_k") > 0, (4.0 * F.col("n") - 2) / (scaled + 2.0)))
+    return out.withColumn("ne", F.when(F.col("mean_k") > 0, F.try_divide(2.0 * F.col("n"), scaled)))
+
+
+def hill_overlapping(ped: DataFrame) -> DataFrame:
+    """(generation, ne) by Hill's formula from the variances and covariance of sons and daughters of each sex, interval 1.
+
+    1 / Ne = sum over the sexes of [2 + Var(same) + 2 r Cov + r^2 Var(other)] / (16 n), where n counts the sex, r is its
+    number over the other sex's, and children are counted by sex; each parent's children are scaled to one of each sex.
+    """
+    top = ped.agg(F.max("generation")).first()[0] or 0
+    kids = ped.select(F.explode(F.array("mother", "father")).alias("id"), F.col("sex").alias("child")).filter("id >= 0")
+    kids = kids.groupBy("id").agg(F.count_if(F.col("child") == 1).alias("sons"), F.count_if(F.col("child") == 0).alias("daughters"))
+    own = ped.filter(F.col("generation") < top).select("id", "generation", "sex").join(kids, "id", "left").na.fill(0, ["sons", "daughters"])
+    own = own.withColumn("same", F.when(F.col("sex") == 1, F.col("sons")).otherwise(F.col("daughters"))).withColumn("other", F.when(F.col("sex") == 1, F.col("daughters")).otherwise(F.col("sons")))
+    rows = own.groupBy("generation", "sex").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in ("same", "other")], *[F.var_samp(c).alias(f"v_{c}") for c in ("same", "other")], F.covar_samp("same", "other").alias("cov"))
+    # scaled to mean 1, with the Poisson part kept, as for a population of constant size
+    for c in ("same", "other"):
+        rows = rows.withColumn(f"v_{c}", F.when(F.col(f"m_{c}") > 0, (F.col(f"v_{c}") - F.col(f"m_{c}")) / F.pow(f"m_{c}", F.lit(2)) + 1.0))
+    rows = rows.withColumn("cov", F.when((F.col("m_same") > 0) & (F.col("m_other") > 0), F.col("cov") / (F.col("m_same") * F.col("m_other"))))
+    both = rows.groupBy("generation").agg(*[F.max(F.when(F.col("sex") == x, F.struct("n", "v_same", "v_other", "cov"))).alias(name) for x, name in ((1, "m"), (0, "f"))])
+    one = lambda a, b: (2 + F.col(f"{a}.v_same") + 2 * F.col(f"{a}.cov") + F.col(f"{a}.v_other")) / (16.0 * F.col(f"{a}.n"))
+    return both.select("generation", F.try_divide(F.lit(1.0), one("m", "f") + one("f", "m")).alias("ne"))
 
 
 def _regressed(series: DataFrame, value: str) -> float | None:
@@ -111,7 +170,7 @@ def effective_sizes(ped: DataFrame) -> DataFrame:
     theta = n.join(same.groupBy("generation").agg(F.sum("k").alias("s")), "generation", "left").select("generation", (2 * F.coalesce("s", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1))).alias("theta"))
     sizes = family_size_variance(ped)
     harmonic = lambda df: df.filter("ne > 0").agg(F.count("*") / F.sum(1 / F.col("ne"))).first()[0]
-    ne_v, ne_sr = harmonic(sizes), harmonic(sex_counts(ped))
+    ne_v, ne_sr, ne_h = harmonic(sizes), harmonic(sex_counts(ped)), harmonic(hill_overlapping(ped))
     # individual rates: 1 - (1 - F)^(1 / (t - 1)), over the last generation
     top = ped.agg(F.max("generation")).first()[0] or 0
     delta = f.filter((F.col("generation") == top) & (F.col("f") < 1)).agg(F.avg(1 - F.pow(1 - F.col("f"), F.lit(1.0 / max(1, top - 1))))).first()[0]
@@ -121,15 +180,37 @@ def effective_sizes(ped: DataFrame) -> DataFrame:
     c2 = contributions(ped).agg(F.sum(F.pow("c", 2))).first()[0]
     found = {
         "inbreeding": _regressed(by_gen.filter("generation >= 2"), "f"), "coancestry": _regressed(theta.filter("generation >= 1"), "theta"), "variance_family_size": ne_v, "sex_ratio": ne_sr,
-        "individual_delta_f": 1 / (2 * delta) if delta else None, "long_term_contributions": 1 / (2 * c2) if c2 else None, "hill_overlapping": ne_v, "caballero_toro": 1 / (2 * ct) if ct else None,
+        "individual_delta_f": 1 / (2 * delta) if delta else None, "long_term_contributions": 1 / (2 * c2) if c2 else None, "hill_overlapping": ne_h, "caballero_toro": 1 / (2 * ct) if ct else None,
     }
     return spark.createDataFrame([(a, None if b is None else float(b)) for a, b in found.items()], "estimator string, ne double")
 
 
-def expected_ne_ztp(n: int, lam: float) -> float:
-    """Variance effective size when the numbers of mates are zero-truncated Poisson."""
-    import math
-
+def expected_ne_ztp(n: float, lam: float) -> float:
+    """Variance effective size when the numbers of mates are zero-truncated Poisson; n for lam <= 0 (one mate each)."""
+    if lam <= 0:
+        return float(n)
     mean = lam / (1 - math.exp(-lam))
     var = mean * (1 + lam) - mean * mean
     return n / (1 + 2 * var / (mean * mean))
+
+
+#: The slope estimators are held to an expectation where N G^2 is at least so many times Ne: fixed value.
+REGIME = 120
+ESTIMATORS = ("inbreeding", "coancestry", "variance_family_size", "sex_ratio", "individual_delta_f", "long_term_contributions", "hill_overlapping", "caballero_toro")
+
+
+def slopes_reliable(n: float, generations: int, ne: float) -> bool:
+    """Whether the estimators from slopes over generations are precise enough to be checked."""
+    return generations >= 2 and n * generations * generations >= REGIME * ne
+
+
+def expected_sizes(p: dict | None) -> dict[str, float | None]:
+    """What each estimator should give under random mating; None where nothing is known (assortment, or no N or lambda)."""
+    p = p or {}
+    n, lam = p.get("N"), p.get("mating_lambda")
+    if n is None or lam is None or p.get("assort1") or p.get("assort2"):
+        return dict.fromkeys(ESTIMATORS)
+    ne = expected_ne_ztp(float(n), float(lam))
+    slope = ne if p.get("G_ped") is not None and slopes_reliable(float(n), int(p["G_ped"]), ne) else None
+    special = {"sex_ratio": float(n), "long_term_contributions": ne / 2, "inbreeding": slope, "coancestry": slope, "caballero_toro": slope}
+    return {e: special.get(e, ne) for e in ESTIMATORS}

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineagelake.functions import hazards, rng
 from lineagelake.functions.mathx import erfc
+from lineagelake.operators.ranking import rank_within
 from lineagelake.operators.schema import PEDIGREE, PHENOTYPE, stage
 
 #: Ages of adult-onset models are held within these.
@@ -214,10 +215,9 @@ class AdultCox(Model):
         df = standardized(df, f"liability{trait}", self.standardize, "_L").withColumn("_k", prevalence_column(self.prevalence))
         raw = F.sqrt(_draw("e", trait, seed) / F.exp(self.beta * F.col("_L") + self.beta_sex * F.col("sex")))
         df = df.withColumn("_raw", raw)
-        n = F.broadcast(df.groupBy("_k").agg(F.count("*").alias("_n")))
-        df = df.join(n, "_k").withColumn("_c", F.row_number().over(Window.partitionBy("_k").orderBy("_raw", "id")) / (F.col("_n") + 1))
+        df = rank_within(df, "_k", F.col("_raw"), "_n").withColumn("_c", F.col("_n") / (F.col("_n_of") + 1))
         case = F.col("_c") < F.col("_k")
-        return df.withColumn(f"t{trait}", F.when(case, _logistic_age(F.when(case, F.col("_c")), F.col("_k"), self.x0, self.slope)).otherwise(hazards.NEVER)).drop("_L", "_k", "_raw", "_n", "_c")
+        return df.withColumn(f"t{trait}", F.when(case, _logistic_age(F.when(case, F.col("_c")), F.col("_k"), self.x0, self.slope)).otherwise(hazards.NEVER)).drop("_L", "_k", "_raw", "_n", "_n_of", "_c")
 
 
 @model("first_passage")

@@ -70,14 +70,17 @@ def _through(sibs: DataFrame, left: DataFrame | None, right: DataFrame) -> DataF
     return _ordered(out.join(left.select(F.col("id").alias("a"), F.col("ancestor").alias("x")), "x"), "a", "b")
 
 
-def extract_pairs(ped: DataFrame, max_degree: int = 2, sample: DataFrame | None = None) -> DataFrame:
+def extract_pairs(ped: DataFrame, max_degree: int = 2, sample: DataFrame | None = None, codes: tuple[str, ...] | None = None) -> DataFrame:
     """(rel, id1, id2) for the codes up to max_degree.
 
     sample: ids to keep (a DataFrame with id); relations run through the whole pedigree, pairs need both ends in it.
+    codes: those to return; codes that come after all of these are not looked for.
     """
     if not 1 <= max_degree <= 5:
         raise ValueError("max_degree must be 1 to 5")
     wanted = [c for c, v in CODES.items() if v[3] <= max_degree]
+    if codes is not None:
+        wanted = wanted[: max((i + 1 for i, c in enumerate(wanted) if c in codes), default=0)]
     edges = parent_edges(ped)
     anc = ancestors(edges, {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}[max_degree])
     fs, mhs, phs = sibling_pairs(ped)
@@ -95,6 +98,8 @@ def extract_pairs(ped: DataFrame, max_degree: int = 2, sample: DataFrame | None
         "1C1R": lambda: _through(fs, anc[1], anc[2]), "H1C1R": lambda: _through(hs, anc[1], anc[2]), "1C2R": lambda: _through(fs, anc[1], anc[3]), "2C": lambda: _through(fs, anc[2], anc[2]),
     }
     ranked = [make[c]().withColumn("rank", F.lit(i)) for i, c in enumerate(CODES) if c in wanted]
+    if not ranked:
+        return ped.select(F.lit("").alias("rel"), F.col("id").alias("id1"), F.col("id").alias("id2")).limit(0)
     every = reduce(DataFrame.unionByName, ranked)
     if sample is not None:
         ids = sample.select("id").distinct()
@@ -103,7 +108,8 @@ def extract_pairs(ped: DataFrame, max_degree: int = 2, sample: DataFrame | None
     lo, hi = F.least("id1", "id2").alias("lo"), F.greatest("id1", "id2").alias("hi")
     best = every.groupBy(lo, hi).agg(F.min(F.struct("rank", "id1", "id2")).alias("b"))
     names = F.array(*[F.lit(c) for c in CODES])
-    return best.select(F.element_at(names, F.col("b.rank") + 1).alias("rel"), "b.id1", "b.id2")
+    out = best.select(F.element_at(names, F.col("b.rank") + 1).alias("rel"), "b.id1", "b.id2")
+    return out if codes is None else out.filter(F.col("rel").isin(*codes))
 
 
 def count_pairs(pairs: DataFrame) -> DataFrame:

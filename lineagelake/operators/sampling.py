@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineagelake.functions import rng
+from lineagelake.operators.ranking import rank_within
 
 
 def smallest(df: DataFrame, key: Column, n: int) -> DataFrame:
@@ -61,8 +62,7 @@ def run_dropout(people: DataFrame, rate: float, seed: int = rng.DEFAULT_SEED) ->
 
 def sample_with_parents(people: DataFrame, per_generation: int = 50_000, seed: int = rng.DEFAULT_SEED) -> DataFrame:
     """At most per_generation people of each generation, and the parents of those sampled."""
-    w = Window.partitionBy("generation").orderBy(rng.integer("plot", F.col("id"), seed=seed), "id")
-    picked = people.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_generation).drop("_r")
+    picked = rank_within(people.select("id", "generation", "mother", "father"), "generation", rng.integer("plot", F.col("id"), seed=seed), "_r").filter(F.col("_r") <= per_generation)
     parents = picked.select(F.explode(F.array("mother", "father")).alias("id")).filter("id >= 0")
     ids = picked.select("id").unionByName(parents).distinct()
     return people.join(ids, "id", "left_semi")

@@ -15,9 +15,17 @@ KINDS = {
     "b": (T.BooleanType,),
     "s": (T.StringType,),
 }
-PEDIGREE = {**dict.fromkeys(("id", "generation", "sex", "mother", "father", "twin", "household_id"), "i"), **{f"{c}{n}": "f" for n in (1, 2) for c in ("A", "C", "E", "liability")}}
+#: Columns of the stages and their kinds: fixed values of the data model.
+PEDIGREE = {
+    "id": "i", "generation": "i", "sex": "i", "mother": "i", "father": "i", "twin": "i", "household_id": "i",
+    "A1": "f", "C1": "f", "E1": "f", "liability1": "f", "A2": "f", "C2": "f", "E2": "f", "liability2": "f",
+}
 PHENOTYPE = {**PEDIGREE, "t1": "f", "t2": "f"}
-CENSORED = {**PHENOTYPE, "death_age": "f", **{f"{c}{n}": k for n in (1, 2) for c, k in (("age_censored", "b"), ("t_observed", "f"), ("death_censored", "b"), ("affected", "b"))}}
+CENSORED = {
+    **PHENOTYPE, "death_age": "f",
+    "age_censored1": "b", "t_observed1": "f", "death_censored1": "b", "affected1": "b",
+    "age_censored2": "b", "t_observed2": "f", "death_censored2": "b", "affected2": "b",
+}
 
 
 def assert_schema(df: DataFrame, contract: dict[str, str], where: str = "") -> DataFrame:

@@ -9,12 +9,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineagelake.functions import rng
-from lineagelake.functions.mathx import ndtri
-from lineagelake.operators.kinship import cut
+from lineagelake.functions.mathx import ndtri, safe_corr
+from lineagelake.operators.checkpoints import cut
+from lineagelake.operators.ranking import rank_score
+from lineagelake.operators.sampling import smallest
 from lineagelake.operators.schema import PEDIGREE, assert_schema
 
 
@@ -45,14 +48,53 @@ class Parameters:
     mating_lambda: float = 0.5
     p_mztwin: float = 0.02
     assort: tuple = (0.0, 0.0)
+    #: 2x2 correlations of mothers' with fathers' liabilities; its diagonal stands for assort.
+    assort_matrix: tuple | None = None
 
     def __post_init__(self) -> None:
+        if self.assort_matrix is not None:
+            m = np.asarray(self.assort_matrix, float)
+            if m.shape != (2, 2) or not np.allclose(m, m.T) or not (np.abs(m) <= 1).all():
+                raise ValueError("assort_matrix must be a symmetric 2x2 matrix of correlations")
+            self.assort = (float(m[0, 0]), float(m[1, 1]))
         if self.n < 4 or self.generations < 1 or self.burn_in < 0:
             raise ValueError("n of 4 or more and at least one generation are needed")
         if not all(-1 <= r <= 1 for r in (self.rA, self.rC, self.rE, *self.assort)):
             raise ValueError("correlations must be in [-1, 1]")
         if not 0 <= self.p_mztwin < 1 or self.mating_lambda <= 0:
             raise ValueError("p_mztwin must be in [0, 1), mating_lambda positive")
+        if self.both_traits:
+            within = self.within()
+            if not abs(within) < 1:
+                raise ValueError("assortment on both traits needs a correlation of the traits within (-1, 1)")
+            if canonical(self.mate_target(within), within, within)[1].max() > 1 + 1e-9:
+                raise ValueError("no joint distribution has these correlations of mates: not positive semidefinite")
+
+    @property
+    def both_traits(self) -> bool:
+        return self.assort_matrix is not None or all(self.assort)
+
+    def within(self) -> float:
+        """Correlation of the two liabilities of one person."""
+        cov = sum(r * math.sqrt(v[0] * v[1]) for r, v in ((self.rA, self.A), (self.rC, self.C), (self.rE, self.E)))
+        total = math.sqrt((self.A[0] + self.C[0] + self.E[0]) * (self.A[1] + self.C[1] + self.E[1]))
+        return cov / total if total else 0.0
+
+    def mate_target(self, within: float) -> np.ndarray:
+        """Correlations of mothers' (rows) with fathers' (columns) liabilities that mating aims at."""
+        if self.assort_matrix is not None:
+            return np.asarray(self.assort_matrix, float)
+        return np.array(expected_mate_correlation(*self.assort, within))
+
+
+def canonical(target: np.ndarray, within_f: float, within_m: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of weights for mothers' and for fathers' standardised liabilities, and the correlations of the pairs of scores.
+
+    The scores of one side are uncorrelated, with variance 1; only scores of the same number correlate between mates.
+    """
+    root_f, root_m = (np.linalg.inv(np.linalg.cholesky(np.array([[1.0, r], [r, 1.0]]))) for r in (within_f, within_m))
+    u, s, vt = np.linalg.svd(root_f @ target @ root_m.T)
+    return u.T @ root_f, s, vt @ root_m
 
 
 def correlated(stream: str, key: Column, sd1: float | Column, sd2: float | Column, r: float, seed: int) -> tuple[Column, Column]:
@@ -76,16 +118,6 @@ def truncated_poisson(u: Column, lam: float) -> Column:
     return out
 
 
-def rank_score(df: DataFrame, order: Column, out: str) -> DataFrame:
-    """rank / (rows + 1), ties by id, through a range partitioning: no task gets all rows."""
-    parts = df.withColumn("_o", order).repartitionByRange("_o", "id").withColumn("_p", F.spark_partition_id())
-    parts = cut(parts)
-    counts = parts.groupBy("_p").agg(F.count("*").alias("n"))
-    before = counts.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("_n"))
-    ranked = parts.join(F.broadcast(before), "_p").withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_o", "id")) + F.col("_b"))
-    return ranked.withColumn(out, F.col("_r") / (F.col("_n") + 1)).withColumnRenamed("_r", f"{out}_rank").drop("_o", "_p", "_b", "_n")
-
-
 def founders(spark: SparkSession, p: Parameters) -> DataFrame:
     key, s = F.col("id"), p.seed
     a = correlated("A0", key, math.sqrt(p.A[0]), math.sqrt(p.A[1]), p.rA, s)
@@ -109,24 +141,70 @@ def mating_slots(people: DataFrame, p: Parameters, g: int) -> DataFrame:
 def mate(people: DataFrame, p: Parameters, g: int) -> DataFrame:
     """(mating, mother, father), distinct couples, as many as the slots of the rarer sex.
 
-    Slots of both sexes are put in an order and paired by position. Without assortment the order is random; with it the
-    two orders are those of a Gaussian copula: slots of one sex by a score, and of the other by a score whose rank
-    correlation with the partner's is as asked for. Scores combine the traits by their assortment.
+    Slots of the sex that has more are dropped by digest, whatever their liability. Those left are put in an order and
+    paired by position: a random one, or by a noisy score of one trait, or by two such scores for both traits. A score
+    keeps sqrt(r) of itself beside noise on either side, so partners' scores correlate r (a Gaussian copula). With two
+    scores the places are those within bands of the first one, so that partners are near in both.
     """
-    slots = mating_slots(people, p, g)
-    r1, r2 = p.assort
-    r = min(math.hypot(r1, r2), 1.0)
-    sides = []
+    slots = cut(mating_slots(people, p, g))
+    n = {r.sex: r.n for r in slots.groupBy("sex").agg(F.count("*").alias("n")).collect()}
+    least = min(n.get(0, 0), n.get(1, 0))
+    sides = {}
     for sex, name in ((0, "mother"), (1, "father")):
         own = slots.filter(F.col("sex") == sex)
-        noise = rng.normal(f"order.{g}.{name}", F.col("id"), F.col("slot"), seed=p.seed)
-        sign = -1.0 if sex and r1 + r2 < 0 else 1.0
-        # each side keeps sqrt(r) of its own score, so the partners' scores correlate r
-        sd1, sd2 = (math.sqrt(p.A[i] + p.C[i] + p.E[i]) or 1.0 for i in (0, 1))
-        score = (abs(r1) * F.col("liability1") / sd1 + abs(r2) * F.col("liability2") / sd2) / (math.hypot(r1, r2) or 1.0)
-        order = noise if r == 0 else math.sqrt(r) * sign * score + math.sqrt(1 - r) * noise
-        sides.append(rank_score(own.select(F.col("id"), "slot", order.alias("_s")), F.col("_s"), "q").select(F.col("id").alias(name), F.col("q_rank").alias("place")))
-    return sides[0].join(sides[1], "place").groupBy("mother", "father").agg(F.min("place").alias("mating"))
+        if n.get(sex, 0) > least:
+            own = smallest(own, rng.integer(f"trim.{g}.{name}", F.col("id"), F.col("slot"), seed=p.seed), least)
+        sides[name] = own
+    noise = lambda name, k: rng.normal(f"order.{g}.{name}{k}", F.col("id"), F.col("slot"), seed=p.seed)
+    if p.both_traits:
+        stats = {name: own.agg(*[f(f"liability{t}").alias(f"{k}{t}") for t in (1, 2) for k, f in (("m", F.avg), ("s", F.stddev_pop))], safe_corr(F.col("liability1"), F.col("liability2")).alias("r")).first() for name, own in sides.items()}
+        within = {name: min(0.999, max(-0.999, v.r or 0.0)) for name, v in stats.items()}
+        wf, r, wm = canonical(p.mate_target(p.within()), within["mother"], within["father"])
+        orders = {}
+        for name, w in (("mother", wf), ("father", wm)):
+            v = stats[name]
+            z = [(F.col(f"liability{t}") - F.lit(v[f"m{t}"] or 0.0)) / F.lit(v[f"s{t}"] or 1.0) for t in (1, 2)]
+            orders[name] = [math.sqrt(min(1.0, r[k])) * (float(w[k, 0]) * z[0] + float(w[k, 1]) * z[1]) + math.sqrt(max(0.0, 1 - r[k])) * noise(name, k) for k in (0, 1)]
+    else:
+        trait, r = (1, p.assort[0]) if p.assort[0] else (2, p.assort[1])
+        orders = {}
+        for name, own in sides.items():
+            sd = own.agg(F.stddev_pop(f"liability{trait}")).first()[0] or 1.0
+            mean = own.agg(F.avg(f"liability{trait}")).first()[0] or 0.0
+            sign = -1.0 if name == "father" and r < 0 else 1.0
+            orders[name] = [math.sqrt(abs(r)) * sign * (F.col(f"liability{trait}") - F.lit(mean)) / F.lit(sd) + math.sqrt(1 - abs(r)) * noise(name, 0)]
+    placed = [_placed(sides[name].select("id", "slot", *[o.alias(f"s{k}") for k, o in enumerate(orders[name])]), least).withColumnRenamed("id", name) for name in ("mother", "father")]
+    pairs = cut(placed[0].join(placed[1], "place"))
+    for _ in range(REPAIRS):
+        pairs = swapped(pairs)
+    return pairs.groupBy("mother", "father").agg(F.min("place").alias("mating"))
+
+
+#: Times that repeated couples exchange partners with their neighbours.
+REPAIRS = 2
+
+
+def _placed(slots: DataFrame, n: int) -> DataFrame:
+    """(id, place): places by s0, or by s1 within bands of sqrt(n) places of s0."""
+    ranked = rank_score(slots, F.col("s0"), "q")
+    if "s1" not in slots.columns:
+        return ranked.select("id", F.col("q_rank").alias("place"))
+    width = max(1, math.isqrt(n))
+    band = F.floor((F.col("q_rank") - 1) / width)
+    inner = F.row_number().over(Window.partitionBy("_band").orderBy("s1", "id", "slot"))
+    return ranked.withColumn("_band", band).select("id", (F.col("_band") * width + inner).cast("long").alias("place"))
+
+
+def swapped(pairs: DataFrame) -> DataFrame:
+    """(place, mother, father) where couples that were there before exchange fathers with the next place."""
+    again = pairs.select("place", F.row_number().over(Window.partitionBy("mother", "father").orderBy("place")).alias("nth")).filter("nth > 1").select("place")
+    # a place takes part in one exchange: of repeated couples in a row the first one moves
+    alone = again.join(again.select((F.col("place") + 1).alias("place")), "place", "left_anti")
+    moves = alone.join(pairs.select((F.col("place") - 1).alias("place")), "place", "left_semi")
+    moves = cut(moves.select("place", (F.col("place") + 1).alias("other")))
+    both = moves.unionByName(moves.select(F.col("other").alias("place"), F.col("place").alias("other")))
+    new = both.join(pairs.select(F.col("place").alias("other"), F.col("father").alias("new")), "other").select("place", "new")
+    return cut(pairs.join(new, "place", "left").select("place", "mother", F.coalesce("new", "father").alias("father")))
 
 
 def reproduce(people: DataFrame, matings: DataFrame, p: Parameters, g: int, first_id: int) -> DataFrame:

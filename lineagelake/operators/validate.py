@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineagelake.functions.mathx import safe_corr
+from lineagelake.operators.correlations import mate_correlations, parent_offspring
+from lineagelake.operators.kinship import effective_sizes
 from lineagelake.operators.relatives import sibling_pairs
 
 CHECK = "category string, name string, passed boolean, observed double, expected double, details string"
@@ -67,9 +69,14 @@ def twins(ped: DataFrame, p_mztwin: float | None = None) -> DataFrame:
 
 
 def half_sibs(ped: DataFrame) -> DataFrame:
-    fs, mhs, phs = (p.count() for p in sibling_pairs(ped))
-    total = max(1, fs + mhs + phs)
-    rows = [("half_sibs", name, True, n / total, None, f"{n} pairs") for name, n in (("full", fs), ("maternal", mhs), ("paternal", phs))]
+    """Shares of half siblings among maternal sibling pairs and among people with siblings; informational, always passed."""
+    fs, mhs, phs = sibling_pairs(ped)
+    n = {name: p.count() for name, p in (("full", fs), ("maternal", mhs), ("paternal", phs))}
+    either = lambda p: p.select(F.explode(F.array("id1", "id2")).alias("id")).distinct()
+    some, half = either(fs.unionByName(mhs).unionByName(phs)).count(), either(mhs).count()
+    details = f"full {n['full']}, maternal {n['maternal']}, paternal {n['paternal']} pairs"
+    share = lambda a, b: a / b if b else None
+    rows = [("half_sibs", "half_sib_pair_proportion", True, share(n["maternal"], n["full"] + n["maternal"]), None, details), ("half_sibs", "offspring_with_half_sib", True, share(half, some), None, f"{half} of {some} people with siblings")]
     return ped.sparkSession.createDataFrame(rows, CHECK)
 
 
@@ -95,19 +102,44 @@ def statistical(people: DataFrame, expected: dict[str, float]) -> DataFrame:
     return _union(out)
 
 
-def heritability(people: DataFrame) -> DataFrame:
-    """A is equal in MZ twins, and correlated a half in full sibs within max(4 SE, 0.05)."""
+def _corr_se(r: Column, n: Column) -> Column:
+    return F.when(n > 2, (1 - r * r) / F.sqrt(n - 2)).otherwise(F.lit(1.0))
+
+
+def heritability(people: DataFrame, expected: dict[str, float] | None = None) -> DataFrame:
+    """A equal in MZ twins and correlated a half in full sibs; Falconer's 2 (r_MZ - r_FS) near A's variance; regressions.
+
+    Tolerances are max(4 SE, 0.05). expected: variances A1 and A2, for Falconer's check. Offspring on midparent, of A and
+    of liability, is informational and needs over 100 offspring.
+    """
     out, cat = [], "heritability"
     fs = sibling_pairs(people)[0]
     mz = people.filter("twin > id").select(F.col("id").alias("id1"), F.col("twin").alias("id2"))
-    v = people.select("id", "A1", "A2")
-    for name, pairs, goal in (("mz", mz, 1.0), ("dz", fs, 0.5)):
-        both = pairs.join(v.withColumnsRenamed({"id": "id1", "A1": "A1a", "A2": "A2a"}), "id1").join(v.withColumnsRenamed({"id": "id2", "A1": "A1b", "A2": "A2b"}), "id2")
-        n = both.count()
-        room = max(4 * 0.75 / max(1, n) ** 0.5, 0.05)
+    v = people.select("id", "A1", "A2", "liability1", "liability2")
+    names = v.columns[1:]
+    both = {}
+    for kind, pairs in (("mz", mz), ("dz", fs)):
+        own = pairs.join(v.withColumnsRenamed({"id": "id1", **{c: f"{c}a" for c in names}}), "id1").join(v.withColumnsRenamed({"id": "id2", **{c: f"{c}b" for c in names}}), "id2")
+        both[kind] = own.agg(F.count("*").alias("n"), *[F.coalesce(safe_corr(F.col(f"{c}a"), F.col(f"{c}b")), F.lit(float("nan"))).alias(c) for c in names])
+    for kind, goal in (("mz", 1.0), ("dz", 0.5)):
+        room = F.greatest(4 * 0.75 / F.sqrt(F.greatest(F.col("n"), F.lit(1))), F.lit(0.05))
+        for t in (1, 2):
+            near = F.col(f"A{t}") > 0.99 if kind == "mz" else F.abs(F.col(f"A{t}") - goal) <= room
+            out.append(both[kind].select(F.lit(cat).alias("category"), F.lit(f"{kind}_A{t}").alias("name"), (near | (F.col("n") < 10)).alias("passed"), F.nanvl(f"A{t}", F.lit(None).cast("double")).alias("observed"), F.lit(goal).alias("expected"), F.concat(F.col("n").cast("string"), F.lit(" pairs")).alias("details")))
+    two = both["mz"].select(F.col("n").alias("nm"), *[F.col(f"liability{t}").alias(f"m{t}") for t in (1, 2)]).crossJoin(F.broadcast(both["dz"].select(F.col("n").alias("nd"), *[F.col(f"liability{t}").alias(f"d{t}") for t in (1, 2)])))  # one row each
+    for t in (1, 2):
+        goal = (expected or {}).get(f"A{t}")
+        h2 = 2 * (F.col(f"m{t}") - F.col(f"d{t}"))
+        se = 2 * F.sqrt(F.pow(_corr_se(F.col(f"m{t}"), F.col("nm")), F.lit(2)) + F.pow(_corr_se(F.col(f"d{t}"), F.col("nd")), F.lit(2)))
+        few = (F.col("nm") < 10) | (F.col("nd") < 10) | F.isnan(f"m{t}") | F.isnan(f"d{t}")
+        near = F.lit(True) if goal is None else F.abs(h2 - goal) < F.greatest(4 * se, F.lit(0.05))
+        out.append(two.select(F.lit(cat).alias("category"), F.lit(f"falconer{t}").alias("name"), (few | near).alias("passed"), F.when(~few, h2).alias("observed"), F.lit(goal).cast("double").alias("expected"), F.concat(F.col("nm").cast("string"), F.lit(" MZ and "), F.col("nd").cast("string"), F.lit(" full sib pairs")).alias("details")))
+    for column in ("A", "liability"):
+        fit = parent_offspring(people, (), column)
         for t in (1, 2):
-            ok = OBS() > 0.99 if name == "mz" else F.abs(OBS() - goal) <= room
-            out.append(_row(both, cat, f"{name}_A{t}", F.coalesce(safe_corr(F.col(f"A{t}a"), F.col(f"A{t}b")), F.lit(1.0)), F.lit(goal), ok | F.lit(n < 10), f"{n} pairs"))
+            row = fit.filter(F.col("trait") == t).agg(F.max("slope").alias("slope"), F.max("r2").alias("r2"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+            enough = F.col("n") > 100
+            out.append(row.select(F.lit(cat).alias("category"), F.lit(f"parent_offspring_{column}{t}").alias("name"), F.lit(True).alias("passed"), F.when(enough, F.col("slope")).alias("observed"), F.lit(None).cast("double").alias("expected"), F.when(enough, F.format_string("r2 %.4f, %d offspring", F.col("r2"), F.col("n"))).otherwise(F.lit("too few offspring")).alias("details")))
     return _union(out)
 
 
@@ -121,26 +153,24 @@ def population(ped: DataFrame, n: int) -> DataFrame:
     ])
 
 
-def assortative(people: DataFrame, r1: float = 0.0, r2: float = 0.0) -> DataFrame:
-    from lineagelake.operators.correlations import mate_correlations
-
+def assortative(people: DataFrame, r1: float = 0.0, r2: float = 0.0, cross: float | None = None) -> DataFrame:
+    """Mates' correlations as configured, within max(0.1, 3 SE); across traits too, held to `cross` where it is known."""
     out = []
     m = mate_correlations(people)
     n = m.first()["n_couples"]
-    for t, goal in ((1, r1), (2, r2)):
-        room = max(0.1, 3 / max(1, n) ** 0.5)
-        out.append(_row(m, "assortative", f"mate_r{t}", F.max(f"m{t}_f{t}"), F.lit(goal), F.abs(OBS() - goal) <= room))
+    room = max(0.1, 3 / max(1, n) ** 0.5)
+    for name, column, goal in (("mate_r1", "m1_f1", r1), ("mate_r2", "m2_f2", r2), ("mate_r12", "m1_f2", cross), ("mate_r21", "m2_f1", cross)):
+        passed = F.lit(True) if goal is None else F.coalesce(F.abs(OBS() - goal) <= room, F.lit(True))
+        out.append(_row(m, "assortative", name, F.max(column), F.lit(goal), passed, f"{n} couples"))
     return _union(out)
 
 
 def effective_size(estimates: DataFrame, expected: dict[str, float | None]) -> DataFrame:
-    """Within 20 % of what is expected; passes where nothing is, fails where nothing was observed."""
-    out = []
-    for name, goal in expected.items():
-        own = estimates.filter(F.col("estimator") == name)
-        ok = F.lit(True) if goal is None else F.abs(OBS() / goal - 1) < 0.2
-        out.append(_row(own, "effective_size", name, F.max("ne"), F.lit(goal), ok))
-    return _union(out)
+    """Within 20 % of what is expected; passes where nothing is expected or an estimator has no estimate."""
+    goals = estimates.sparkSession.createDataFrame([(k, None if v is None else float(v)) for k, v in expected.items()], "name string, expected double")
+    both = goals.join(F.broadcast(estimates.select(F.col("estimator").alias("name"), F.col("ne").alias("observed"))), "name", "left")
+    near = F.coalesce(F.abs(F.col("observed") / F.col("expected") - 1) < 0.2, F.lit(True))
+    return both.select(F.lit("effective_size").alias("category"), "name", near.alias("passed"), "observed", "expected", F.lit("").alias("details"))
 
 
 def variance_by_generation(people: DataFrame) -> DataFrame:
@@ -150,8 +180,11 @@ def variance_by_generation(people: DataFrame) -> DataFrame:
     return long.groupBy("trait", "generation").agg(*[f(c).alias(f"{name}_{c}") for c in ("A", "C", "E", "total") for name, f in (("mean", F.avg), ("var", F.var_pop), ("sd", F.stddev_pop))])
 
 
-def run_validation(people: DataFrame, expected: dict, n: int | None = None, p_mztwin: float | None = None, assort: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    parts = [structural(people), twins(people, p_mztwin), half_sibs(people), statistical(people, expected), heritability(people), assortative(people, *assort)]
+def run_validation(people: DataFrame, expected: dict, n: int | None = None, p_mztwin: float | None = None, assort: tuple[float, float] = (0.0, 0.0), cross: float | None = None, sizes: dict[str, float | None] | None = None) -> DataFrame:
+    """All checks as one table. sizes: expected effective sizes; without them these, the costliest, are left out."""
+    parts = [structural(people), twins(people, p_mztwin), half_sibs(people), statistical(people, expected), heritability(people, expected), assortative(people, *assort, cross)]
+    if sizes is not None:
+        parts.append(effective_size(effective_sizes(people), sizes))
     return _union(parts + ([population(people, n)] if n else []))
 
 

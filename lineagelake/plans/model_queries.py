@@ -8,9 +8,9 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from lineagelake.functions import hazards, rng
-from lineagelake.functions.mathx import dempster_lerner, erfc, ndtri
-from lineagelake.operators import compare, genes, kinship, phenotypes, sampling, simulate, validate
-from lineagelake.plans.registry import query
+from lineagelake.functions.mathx import NDTRI_A, NDTRI_B, NDTRI_BREAK, NDTRI_C, NDTRI_D, dempster_lerner, ndtri, norm_cdf
+from lineagelake.operators import compare, genes, kinship, phenotypes, relatives, sampling, simulate, validate
+from lineagelake.plans.registry import phi_sql, query
 from lineagelake.sources import fixture as fx
 
 LIAB = f"WITH {fx.SQL_LIAB} "
@@ -64,6 +64,20 @@ _BASE = {
 }
 
 
+def _poly(x: str, coefficients: tuple) -> str:
+    out = D(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * ({x}) + {D(c)})"
+    return out
+
+
+def _ndtri_sql(p: str) -> str:
+    """The same rational approximation in SQL."""
+    q, low, high = f"({p} - 0.5)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    central = f"{q} * {_poly(f'{q} * {q}', NDTRI_A)} / {_poly(f'{q} * {q}', NDTRI_B)}"
+    return f"CASE WHEN {p} < {D(NDTRI_BREAK)} THEN {_poly(low, NDTRI_C)} / {_poly(low, NDTRI_D)} WHEN {p} <= {D(1 - NDTRI_BREAK)} THEN {central} ELSE -{_poly(high, NDTRI_C)} / {_poly(high, NDTRI_D)} END"
+
+
 def _h_sql(name: str, h: str) -> str:
     p = {k: D(v) for k, v in _BASE[name].items()}
     clamp = lambda x: f"least(1e6, greatest(1e-10, {x}))"
@@ -80,8 +94,9 @@ def _model(spark, sf_dir, model):
 _E = f"-ln({fx._u('onset1.e', 'id')})"
 _STD = "(liability1 - avg(liability1) OVER ()) / stddev_pop(liability1) OVER ()"
 for _name in _BASE:
-    _sql = None
-    if _name != "lognormal":
+    if _name == "lognormal":
+        _sql = LIAB + f", x AS (SELECT id, exp(-({_E}) / exp({D(0.8)} * ({_STD}) + {D(0.2)} * sex)) AS s FROM liab), c AS (SELECT id, greatest(1e-300, least(s, {D(1 - 1e-16)})) AS p, s FROM x) SELECT id, round(CASE WHEN s <= 0 THEN 1e6 ELSE least(1e6, greatest(1e-10, exp({D(4.5)} - {D(0.6)} * ({_ndtri_sql('p')})))) END, 3) AS t1 FROM c"
+    else:
         _sql = LIAB + f", x AS (SELECT id, {_E} / exp({D(0.8)} * ({_STD}) + {D(0.2)} * sex) AS h FROM liab) SELECT id, round({_h_sql(_name, 'h')}, 3) AS t1 FROM x"
     query(f"frailty_{_name}", _sql)(lambda spark, sf_dir, n=_name: _model(spark, sf_dir, phenotypes.Frailty(beta=0.8, beta_sex=0.2, hazard=n, params=_BASE[n])))
 
@@ -101,19 +116,34 @@ def adult_cox(spark, sf_dir):
     return _model(spark, sf_dir, phenotypes.AdultCox(beta=0.8, prevalence=0.15))
 
 
-@query("adult_ltm")
+def _ltm_sql(k: float, x0: float, slope: float) -> str:
+    """Age of the threshold model from z and cip, the standardised liability and its upper tail."""
+    return f"CASE WHEN z > {D(_z(k))} AND cip < {D(k)} THEN least(1e6, greatest(0.01, {D(x0)} + ln(cip / ({D(k)} - cip)) / {D(slope)})) ELSE 1e6 END"
+
+
+_TAIL = LIAB + f", s AS (SELECT id, {_STD} AS z, {_E} AS e FROM liab), x AS (SELECT id, z, e, {fx._u('onset1.mix', 'id')} AS mix, 1 - {phi_sql('z')} AS cip FROM s) "
+
+
+@query("adult_ltm", _TAIL + f"SELECT id, round({_ltm_sql(0.15, 50.0, 0.2)}, 3) AS t1 FROM x")
 def adult_ltm(spark, sf_dir):
     return _model(spark, sf_dir, phenotypes.AdultLtm(beta=1.0, prevalence=0.15))
 
 
-@query("first_passage")
+@query("first_passage", LIAB + f""", x AS (SELECT id, {D(5.0)} * exp(-{D(0.3)} * ({_STD})) AS y0, sqrt(-2 * ln({fx._u('onset1.n.r', 'id')})) * cos(2 * pi() * {fx._u('onset1.n.a', 'id')}) AS n, {fx._u('onset1.u', 'id')} AS u FROM liab),
+m AS (SELECT id, y0 / {D(0.08)} AS mu, y0 * y0 AS lam, n * n AS w, u FROM x), r AS (SELECT id, mu, u, mu + mu * mu * w / (2 * lam) - mu / (2 * lam) * sqrt(4 * mu * lam * w + mu * mu * w * w) AS x FROM m)
+SELECT id, round(least(1e6, greatest(1e-10, CASE WHEN u <= mu / (mu + x) THEN x ELSE mu * mu / x END)), 3) AS t1 FROM r""")
 def first_passage(spark, sf_dir):
     return _model(spark, sf_dir, phenotypes.FirstPassage(beta=0.3, params={"drift": -0.08, "shape": 25.0}))
 
 
-for _name in ("mixture_cip", "two_threshold", "mixture_cure_frailty"):
+_cure = lambda scale, rho: f"CASE WHEN z > {D(_z(0.15))} THEN {D(scale)} * exp(ln(e / exp(z)) / {D(rho)}) ELSE 1e6 END"
+for _name, _sql in (
+    ("mixture_cip", f"CASE WHEN mix < {D(0.3)} THEN {_ltm_sql(0.15, 20.0, 0.4)} ELSE {_ltm_sql(0.15, 50.0, 0.2)} END"),
+    ("two_threshold", f"CASE WHEN {_ltm_sql(0.15 * 0.3, 20.0, 0.4)} < 1e6 THEN {_ltm_sql(0.15 * 0.3, 20.0, 0.4)} ELSE {_ltm_sql(0.15, 50.0, 0.2)} END"),
+    ("mixture_cure_frailty", f"CASE WHEN mix < {D(0.3)} THEN {_cure(20.0, 3.0)} ELSE {_cure(2160.0, 0.8)} END"),
+):
     _p = {"params": _BASE["weibull"]} if _name == "mixture_cure_frailty" else {}
-    query(f"model_{_name}")(lambda spark, sf_dir, n=_name, p=_p: _model(spark, sf_dir, phenotypes.make_model(n, prevalence=0.15, **p)))
+    query(f"model_{_name}", _TAIL + f"SELECT id, round({_sql}, 3) AS t1 FROM x")(lambda spark, sf_dir, n=_name, p=_p: _model(spark, sf_dir, phenotypes.make_model(n, prevalence=0.15, **p)))
 
 _TERMS_SQL = {
     "weibull": ("ln({rho} / {scale}) + ({rho} - 1) * ln(t / {scale})", "pow(t / {scale}, {rho})"), "exponential": ("ln({rate})", "{rate} * t"),
@@ -126,7 +156,13 @@ for _name, _params in {**_BASE, "gamma": {"shape": 4.0, "scale": 20.0}, "first_p
         log_h, cum = hazards.terms(n, F.col("t"), **p)
         return ages.select("t", F.round(log_h, 6).alias("log_hazard"), F.round(cum, 6).alias("cumulative"))
 
-    _sql = None
+    _sql, _log = None, "WITH g AS (SELECT CAST(range AS DOUBLE) AS t FROM range(1, 121))"
+    if _name == "lognormal":
+        _sql = f"{_log}, x AS (SELECT t, (ln(t) - {D(4.5)}) / {D(0.6)} AS z FROM g), y AS (SELECT t, z, ln(1 - {phi_sql('z')}) AS s FROM x) SELECT t, round(-z * z / 2 - ln({D(0.6)} * sqrt(2 * pi())) - ln(t) - s, 6) AS log_hazard, round(-s, 6) AS cumulative FROM y"
+    if _name == "gamma":  # a whole shape: the tail is a Poisson sum
+        _sql = f"{_log}, x AS (SELECT t, t / {D(20.0)} AS v FROM g), y AS (SELECT t, v, ln(1 + v + v * v / 2 + v * v * v / 6) - v AS s FROM x) SELECT t, round(3 * ln(v) - v - ln(6) - s - ln({D(20.0)}), 6) AS log_hazard, round(-s, 6) AS cumulative FROM y"
+    if _name == "first_passage":
+        _sql = f"{_log}, x AS (SELECT t, ({D(5.0)} + {D(0.08)} * t) / sqrt(t) AS a, (-{D(5.0)} + {D(0.08)} * t) / sqrt(t) AS b FROM g), y AS (SELECT t, a, ln(greatest(1e-300, {phi_sql('a')} - exp({D(2 * 5.0 * -0.08)}) * {phi_sql('b')})) AS s FROM x) SELECT t, round(ln({D(5.0)} / sqrt(2 * pi())) - 1.5 * ln(t) - a * a / 2 - s, 6) AS log_hazard, round(-s, 6) AS cumulative FROM y"
     if _name in _TERMS_SQL:
         _p = {k: D(v) for k, v in _params.items()}
         _u = f", {_p['shape']} * ln(t / {_p['scale']}) AS u" if _name == "loglogistic" else ""
@@ -147,22 +183,22 @@ def rank_scores(spark, sf_dir):
     return simulate.rank_score(_liab(spark, sf_dir), F.col("liability1"), "score").select("id", F.round("score", 9).alias("score"))
 
 
-@query("quantile_normal_scores")
+@query("quantile_normal_scores", LIAB + f", q AS (SELECT id, row_number() OVER (ORDER BY liability1, id) / (count(*) OVER () + 1) AS p FROM liab) SELECT id, round({_ndtri_sql('p')}, 6) AS score FROM q")
 def quantile_normal(spark, sf_dir):
     return simulate.quantile_normal(_liab(spark, sf_dir), "liability1").select("id", F.round("score", 6).alias("score"))
 
 
-@query("normal_functions", "WITH g AS (SELECT CAST(range AS DOUBLE) / 20 AS x FROM range(-100, 101)) SELECT x, round(0.5 * (1 - CASE WHEN x >= 0 THEN 1 ELSE -1 END * 0) * 0, 1) AS zero FROM g")
+@query("normal_functions", f"WITH g AS (SELECT CAST(range AS DOUBLE) / 20 AS x FROM range(-100, 101)) SELECT x, round({phi_sql('x')}, 9) AS cdf, round(x, 5) AS back FROM g")
 def normal_functions(spark, sf_dir):
-    """Phi inverted by the inverse: what is left is 0 to one place."""
+    """The normal distribution function by erfc, and the argument back from it by the inverse, to five places."""
     x = spark.range(-100, 101).select((F.col("id").cast("double") / 20).alias("x"))
-    p = 0.5 * erfc(-F.col("x") / math.sqrt(2))
-    return x.select("x", F.abs(F.round(ndtri(p) - F.col("x"), 1)).alias("zero"))
+    p = norm_cdf(F.col("x"))
+    return x.select("x", F.round(p, 9).alias("cdf"), F.round(ndtri(p), 5).alias("back"))
 
 
-@query("dempster_lerner_table")
+@query("dempster_lerner_table", f"WITH RECURSIVE b AS (SELECT range AS i, range / 100 AS k, CAST(-9 AS DOUBLE) AS lo, CAST(9 AS DOUBLE) AS hi, 0 AS n FROM range(1, 51) UNION ALL SELECT i, k, CASE WHEN 1 - {phi_sql('(lo + hi) / 2')} > k THEN (lo + hi) / 2 ELSE lo END, CASE WHEN 1 - {phi_sql('(lo + hi) / 2')} > k THEN hi ELSE (lo + hi) / 2 END, n + 1 FROM b WHERE n < 60) SELECT k AS prevalence, round(k * (1 - k) / pow(exp(-lo * lo / 2) / sqrt(2 * pi()), 2), 7) AS factor FROM b WHERE n = 60")
 def dempster_lerner_table(spark, sf_dir):
-    return spark.createDataFrame([(k / 100, round(dempster_lerner(k / 100), 9)) for k in range(1, 51)], "prevalence double, factor double")
+    return spark.createDataFrame([(k / 100, round(dempster_lerner(k / 100), 7)) for k in range(1, 51)], "prevalence double, factor double")
 
 
 # sampling
@@ -249,39 +285,96 @@ def gv_noise(spark, sf_dir):
     return _round(genes.add_noise(genes.rescale(_values(spark, sf_dir), 0.5), 0.5), "genetic_value", "environmental_noise", "phenotype")
 
 
-@query("gene_drop_founders")
+def _drop_sql(generations: int) -> str:
+    """Haplotypes of one generation from those of the one before; strands change over where a digest is below the rate."""
+    two = lambda tag, key: fx._h(tag, f"k.id AS VARCHAR) || '|' || CAST(k.strand AS VARCHAR) || '|' || {key} || CAST('' ")
+    out = f"""sites AS (SELECT CAST(n_regionkey + 1 AS BIGINT) AS CHR, CAST(n_nationkey AS BIGINT) AS site_id FROM nation),
+h0 AS (SELECT id, s.strand, CHR, site_id, CAST({fx._h('allele', "id AS VARCHAR) || '|' || CAST(s.strand AS VARCHAR) || '|' || CAST(site_id AS VARCHAR) || CAST('' ")} % 2 AS INTEGER) AS allele FROM ped, (VALUES (0), (1)) s(strand), sites WHERE generation = 0)"""
+    for g in range(1, generations):
+        cross = f"CASE WHEN (({two('cross', "CAST(CHR AS VARCHAR) || '|' || CAST(site_id AS VARCHAR)")}) + 0.5) / CAST(4503599627370496 AS DOUBLE) < 0.1 THEN 1 ELSE 0 END"
+        start = f"CASE WHEN (({two('start', 'CAST(CHR AS VARCHAR)')}) + 0.5) / CAST(4503599627370496 AS DOUBLE) < 0.5 THEN 1 ELSE 0 END"
+        out += f""",
+k{g} AS (SELECT id, 0 AS strand, mother AS parent FROM ped WHERE generation = {g} UNION ALL SELECT id, 1, father FROM ped WHERE generation = {g}),
+c{g} AS (SELECT k.id, k.strand, parent, CHR, site_id, ({start} + sum({cross}) OVER (PARTITION BY k.id, k.strand, CHR ORDER BY site_id)) % 2 AS src FROM k{g} k, sites),
+h{g} AS (SELECT c.id, c.strand, c.CHR, c.site_id, h.allele FROM c{g} c JOIN h{g - 1} h ON h.id = c.parent AND h.strand = c.src AND h.CHR = c.CHR AND h.site_id = c.site_id)"""
+    return out
+
+
+@query("gene_drop_founders", f"WITH {fx.SQL_PED}, {_drop_sql(fx.GENERATIONS)} SELECT CHR AS \"CHR\", site_id, CAST(sum(allele) AS BIGINT) AS n_alleles, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM h{g}" for g in range(fx.GENERATIONS)) + ") GROUP BY ALL")
 def gene_drop(spark, sf_dir):
+    """The nation table as a panel of sites, dropped through the whole pedigree."""
     ped = fx.pedigree(spark, sf_dir)
-    sites = _catalog(spark, sf_dir)[1].select("CHR", "site_id", F.lit(0.1).alias("r"))
+    sites = spark.read.parquet(f"{sf_dir}/nation.parquet").select((F.col("n_regionkey") + 1).cast("long").alias("CHR"), F.col("n_nationkey").cast("long").alias("site_id"), F.lit(0.1).alias("r"))
     first = ped.filter("generation = 0").select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("strand")).crossJoin(F.broadcast(sites.drop("r")))
     first = first.withColumn("allele", (rng.integer("allele", F.col("id"), F.col("strand"), F.col("site_id")) % 2).cast("int"))
     return genes.gene_drop(ped, first, sites).groupBy("CHR", "site_id").agg(F.sum("allele").alias("n_alleles"), F.count("*").alias("n"))
 
 
+@query("pedigree_tables", f"WITH {fx.SQL_PED} SELECT id AS individual, 5 - generation AS time, generation >= 3 AS is_sample, CASE WHEN mother >= 0 THEN mother END AS mother, CASE WHEN mother >= 0 THEN father END AS father FROM ped")
+def pedigree_tables(spark, sf_dir):
+    return genes.pedigree_tables(fx.pedigree(spark, sf_dir), fx.GENERATIONS, 3)
+
+
+def _samples_sql(generations: int) -> str:
+    """Nodes below each founder's mutation: at positions below 50 the tree is the mothers', above it the fathers'."""
+    out = "n0 AS (SELECT id AS site_id, id % 100 AS position, id AS node FROM ped WHERE generation = 0)"
+    for g in range(1, generations):
+        out += f", n{g} AS (SELECT DISTINCT site_id, position, id AS node FROM n{g - 1} JOIN ped ON node = CASE WHEN position < 50 THEN mother ELSE father END)"
+    return out
+
+
+@query("sample_allele_counts", f"WITH {fx.SQL_PED}, {_samples_sql(fx.GENERATIONS)} SELECT n0.site_id, count(n5.node) AS \"AC\" FROM n0 LEFT JOIN n5 ON n0.site_id = n5.site_id GROUP BY n0.site_id")
+def sample_allele_counts(spark, sf_dir):
+    """Each founder's node has a mutation; two trees, of the mothers and of the fathers, and the last generation as samples."""
+    ped = fx.pedigree(spark, sf_dir)
+    edges = relatives.parent_edges(ped).select("parent", "child", F.when(F.col("role") == "M", 0).otherwise(50).alias("left"), F.when(F.col("role") == "M", 50).otherwise(100).alias("right"))
+    mutations = ped.filter("generation = 0").select(F.col("id").alias("site_id"), (F.col("id") % 100).alias("position"), F.col("id").alias("node"))
+    return genes.sample_counts(edges, mutations, ped.filter(F.col("generation") == fx.GENERATIONS - 1).select(F.col("id").alias("node")))
+
+
+@query("population_nodes", "SELECT CAST(c_custkey AS BIGINT) AS node FROM customer WHERE c_nationkey = 7")
+def population_nodes(spark, sf_dir):
+    nodes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("node"), F.col("c_nationkey").alias("population"))
+    return genes.in_population(nodes, 7).select("node")
+
+
 # kinship and effective size
 
 
-@query("inbreeding_by_generation", f"""WITH {fx.SQL_PED},
-p3 AS (SELECT * FROM ped WHERE generation <= 2),
-sib AS (SELECT a.id AS i, b.id AS j, CASE WHEN a.twin = b.id THEN 0.5 WHEN a.mother = b.mother AND a.father = b.father THEN 0.25 ELSE 0.125 END AS k
-  FROM p3 a JOIN p3 b ON a.id < b.id AND a.generation = 1 AND b.generation = 1 AND (a.mother = b.mother OR a.father = b.father))
-SELECT p.generation, round(sum(coalesce(s.k, 0)) / count(*), 9) AS mean_f, count(s.k) AS n_inbred
-FROM p3 p LEFT JOIN sib s ON s.i = least(p.mother, p.father) AND s.j = greatest(p.mother, p.father) GROUP BY p.generation""")
+def _couples_sql(generations: int) -> str:
+    """Kinship of couples: the pairs needed from the last generation up, then their values from the founders down."""
+    out = ""
+    for g in range(generations - 1, -1, -1):
+        want = f"SELECT least(mother, father) AS i, greatest(mother, father) AS j FROM ped WHERE generation = {g + 1}" if g < generations - 1 else "SELECT NULL::BIGINT AS i, NULL::BIGINT AS j WHERE false"
+        if g < generations - 2:
+            want += f" UNION SELECT least(a.p, b.p), greatest(a.p, b.p) FROM w{g + 1} w JOIN edge a ON a.child = w.i JOIN edge b ON b.child = w.j WHERE NOT w.same UNION SELECT least(mother, father), greatest(mother, father) FROM w{g + 1} w JOIN ped ON ped.id = w.i WHERE w.same"
+        out += f", w{g} AS MATERIALIZED (SELECT i, j, i = j OR coalesce(t.twin = j, false) AS same FROM (SELECT DISTINCT i, j FROM ({want})) n LEFT JOIN ped t ON t.id = n.i)"
+    out += ", v0 AS (SELECT i, j, CASE WHEN i = j THEN CAST(0.5 AS DOUBLE) ELSE 0 END AS k FROM w0)"
+    for g in range(1, generations):
+        out += f""", v{g} AS MATERIALIZED (SELECT w.i, w.j, CAST(0.5 AS DOUBLE) + v.k / 2 AS k FROM w{g} w JOIN ped ON ped.id = w.i JOIN v{g - 1} v ON v.i = least(mother, father) AND v.j = greatest(mother, father) WHERE w.same
+UNION ALL SELECT w.i, w.j, sum(v.k) / 4 FROM w{g} w JOIN edge a ON a.child = w.i JOIN edge b ON b.child = w.j JOIN v{g - 1} v ON v.i = least(a.p, b.p) AND v.j = greatest(a.p, b.p) WHERE NOT w.same GROUP BY w.i, w.j)"""
+    return "edge AS (SELECT id AS child, mother AS p FROM ped WHERE mother >= 0 UNION ALL SELECT id, father FROM ped WHERE father >= 0)" + out
+
+
+_INBRED = f"""WITH {fx.SQL_PED}, {_couples_sql(fx.GENERATIONS)}, v AS ({' UNION ALL '.join(f'SELECT * FROM v{g}' for g in range(fx.GENERATIONS))}),
+f AS (SELECT id, generation, coalesce(k, 0) AS f FROM ped LEFT JOIN v ON i = least(mother, father) AND j = greatest(mother, father))
+"""
+
+
+@query("inbreeding_by_generation", _INBRED + "SELECT generation, round(avg(f), 9) AS mean_f, count(*) FILTER (f > 0) AS n_inbred FROM f GROUP BY generation")
 def inbreeding(spark, sf_dir):
-    f = kinship.inbreeding(fx.pedigree(spark, sf_dir).filter("generation <= 2"))
+    f = kinship.inbreeding(fx.pedigree(spark, sf_dir))
     return f.groupBy("generation").agg(F.round(F.avg("f"), 9).alias("mean_f"), F.count_if(F.col("f") > 0).alias("n_inbred"))
 
 
-@query("inbreeding_whole_pedigree")
+@query("inbreeding_whole_pedigree", _INBRED + "SELECT id, generation, round(f, 9) AS f FROM f")
 def inbreeding_whole(spark, sf_dir):
-    """All generations; SQL has no recursion for these, so that inbreeding_by_generation has the first three only."""
-    f = kinship.inbreeding(fx.pedigree(spark, sf_dir))
-    return f.groupBy("generation").agg(F.round(F.avg("f"), 9).alias("mean_f"), F.count_if(F.col("f") > 0).alias("n_inbred"))
+    return _round(kinship.inbreeding(fx.pedigree(spark, sf_dir)), "f", places=9)
 
 
 @query("ne_variance", f"""WITH {fx.SQL_PED}, k AS (SELECT p, count(*) AS k FROM (SELECT mother AS p FROM ped UNION ALL SELECT father FROM ped) WHERE p >= 0 GROUP BY p),
 o AS (SELECT generation, coalesce(k, 0) AS k FROM ped LEFT JOIN k ON id = p WHERE generation < 5), s AS (SELECT generation, count(*) AS n, avg(k) AS m, var_samp(k) AS v FROM o GROUP BY generation)
-SELECT generation, n, round(m, 6) AS mean_k, round(v, 6) AS var_k, round((4.0 * n - 2) / ((v - m) * pow(2 / m, 2) + 4), 4) AS ne FROM s""")
+SELECT generation, n, round(m, 6) AS mean_k, round(v, 6) AS var_k, round(2.0 * n / ((v - m) * pow(2 / m, 2) + 2), 4) AS ne FROM s""")
 def ne_variance(spark, sf_dir):
     return _round(_round(kinship.family_size_variance(fx.pedigree(spark, sf_dir)), "mean_k", "var_k"), "ne", places=4)
 
@@ -291,7 +384,22 @@ def ne_sex_ratio(spark, sf_dir):
     return _round(kinship.sex_counts(fx.pedigree(spark, sf_dir)), "ne")
 
 
-@query("long_term_contributions")
+def _ltc_sql(generations: int) -> str:
+    out = f"c{generations - 1} AS (SELECT id, CAST(1 AS DOUBLE) AS w FROM ped WHERE generation = {generations - 1})"
+    for g in range(generations - 2, -1, -1):
+        out += f", c{g} AS (SELECT p AS id, sum(w) / 2 AS w FROM (SELECT mother AS p, w FROM c{g + 1} JOIN ped USING (id) UNION ALL SELECT father, w FROM c{g + 1} JOIN ped USING (id)) GROUP BY p)"
+    return out
+
+
+@query("hill_overlapping", f"""WITH {fx.SQL_PED}, k AS (SELECT p, sum(sex) AS sons, count(*) - sum(sex) AS daughters FROM (SELECT mother AS p, sex FROM ped UNION ALL SELECT father, sex FROM ped) WHERE p >= 0 GROUP BY p),
+o AS (SELECT generation, sex, CASE WHEN sex = 1 THEN coalesce(sons, 0) ELSE coalesce(daughters, 0) END AS same, CASE WHEN sex = 1 THEN coalesce(daughters, 0) ELSE coalesce(sons, 0) END AS other FROM ped LEFT JOIN k ON id = p WHERE generation < {fx.GENERATIONS - 1}),
+s AS (SELECT generation, count(*) AS n, avg(same) AS ms, avg(other) AS mo, var_samp(same) AS vs, var_samp(other) AS vo, covar_samp(same, other) AS c FROM o GROUP BY generation, sex),
+i AS (SELECT generation, (2 + (vs - ms) / (ms * ms) + 1 + 2 * c / (ms * mo) + (vo - mo) / (mo * mo) + 1) / (16.0 * n) AS part FROM s) SELECT generation, round(1 / sum(part), 4) AS ne FROM i GROUP BY generation""")
+def hill(spark, sf_dir):
+    return _round(kinship.hill_overlapping(fx.pedigree(spark, sf_dir)), "ne", places=4)
+
+
+@query("long_term_contributions", f"WITH {fx.SQL_PED}, {_ltc_sql(fx.GENERATIONS)} SELECT id AS founder, round(w / (SELECT count(*) FROM c{fx.GENERATIONS - 1}), 9) AS c FROM c0")
 def contributions(spark, sf_dir):
     return _round(kinship.contributions(fx.pedigree(spark, sf_dir)), "c", places=9)
 
@@ -309,11 +417,11 @@ def structural(spark, sf_dir):
     return validate.structural(fx.pedigree(spark, sf_dir)).select("name", "passed", "observed", "expected")
 
 
-@query("ped_twin_checks", f"""WITH {fx.SQL_LIAB}, t AS (SELECT a.*, b.twin AS back, b.mother AS mb, b.father AS fb, b.sex AS sb, b.id AS bid FROM liab a LEFT JOIN liab b ON a.twin = b.id WHERE a.twin != -1)
+@query("ped_twin_checks", f"""WITH {fx.SQL_LIAB}, t AS (SELECT a.*, b.twin AS back, b.mother AS mb, b.father AS fb, b.sex AS sb, b.A1 AS a1b, b.A2 AS a2b, b.id AS bid FROM liab a LEFT JOIN liab b ON a.twin = b.id WHERE a.twin != -1)
 SELECT 'bidirectional' AS name, CAST(count(*) FILTER (bid IS NULL OR back != id) AS DOUBLE) AS observed FROM t UNION ALL SELECT 'same_parents', count(*) FILTER (mother != mb OR father != fb) FROM t
-UNION ALL SELECT 'same_sex', count(*) FILTER (sex != sb) FROM t UNION ALL SELECT 'rate', round(avg(CAST(twin != -1 AS DOUBLE)), 9) FROM liab WHERE mother != -1""")
+UNION ALL SELECT 'same_sex', count(*) FILTER (sex != sb) FROM t UNION ALL SELECT 'same_A', count(*) FILTER (abs(A1 - a1b) > 1e-6 OR abs(A2 - a2b) > 1e-6) FROM t UNION ALL SELECT 'rate', round(avg(CAST(twin != -1 AS DOUBLE)), 9) FROM liab WHERE mother != -1""")
 def twin_checks(spark, sf_dir):
-    return validate.twins(_liab(spark, sf_dir), 0.02).filter("name != 'same_A'").select("name", F.round("observed", 9).alias("observed"))
+    return validate.twins(_liab(spark, sf_dir), 0.02).select("name", F.round("observed", 9).alias("observed"))
 
 
 @query("validation_statistical", f"""WITH {fx.SQL_LIAB}, f AS (SELECT * FROM liab WHERE mother = -1), s AS (SELECT a.C1 AS ca, b.C1 AS cb, a.E1 AS ea, b.E1 AS eb FROM liab a JOIN liab b ON a.mother = b.mother AND a.father = b.father AND a.id < b.id WHERE a.mother >= 0 AND a.twin != b.id)
@@ -340,6 +448,14 @@ def simulate_validate(spark, sf_dir):
     return _round(validate.run_validation(people, goal, p.n, p.p_mztwin), "observed")
 
 
+@query("simulate_two_trait_mating")
+def simulate_two_trait_mating(spark, sf_dir):
+    """Mates' correlations of a simulation with assortment on both traits, beside what was asked for."""
+    p = simulate.Parameters(n=4000, generations=2, rA=0.3, rC=0.3, assort=(0.4, 0.2))
+    people = simulate.run_simulation(spark, p)
+    return _round(validate.assortative(people, *p.assort, float(p.mate_target(p.within())[0, 1])), "observed", "expected")
+
+
 # comparisons
 
 
@@ -365,3 +481,13 @@ def paper_table(spark, sf_dir):
 @query("bias_table", _REPS + "SELECT scenario, rep, generation, round(value - 0.1, 6) AS bias FROM r")
 def bias_table(spark, sf_dir):
     return _round(compare.bias(_scenarios(spark, sf_dir), 0.1), "bias").select("scenario", "rep", "generation", "bias")
+
+
+@query("mate_matrix_over_reps", f"""WITH {fx.SQL_LIAB}, r AS (SELECT id % 3 AS rep, * FROM liab), c AS (SELECT DISTINCT rep, mother, father FROM r WHERE mother >= 0 AND father >= 0),
+m AS (SELECT c.rep, """ + ", ".join(f"corr(m.liability{i}, f.liability{j}) AS m{i}_f{j}" for i in (1, 2) for j in (1, 2)) + """ FROM c JOIN liab m ON c.mother = m.id JOIN liab f ON c.father = f.id GROUP BY c.rep)
+SELECT count(*) AS n_reps, """ + ", ".join(f"round(avg(m{i}_f{j}), 6) AS m{i}_f{j}" for i in (1, 2) for j in (1, 2)) + " FROM m")
+def mate_matrix_over_reps(spark, sf_dir):
+    """Each third of the children as a replicate, with everyone as possible parents."""
+    people = _liab(spark, sf_dir)
+    thirds = {k: people.withColumns({c: F.when(F.col("id") % 3 == k, F.col(c)).otherwise(-1) for c in ("mother", "father")}) for k in range(3)}
+    return _round(compare.mate_matrix(thirds), "m1_f1", "m1_f2", "m2_f1", "m2_f2")

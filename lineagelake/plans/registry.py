@@ -18,3 +18,9 @@ def query(name: str, sql: str | None = None) -> Callable:
         return fn
 
     return add
+
+
+def phi_sql(x: str) -> str:
+    """The normal distribution function in SQL, by its series x + x^3/3 + x^5/15 + ...; good for |x| up to 8."""
+    term = f"pow({x}, 2 * n + 1) * exp(n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2))"
+    return f"(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum([{term} for n in range(0, 150)]))"

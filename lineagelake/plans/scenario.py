@@ -9,6 +9,7 @@ from lineagelake.operators import correlations as cor
 from lineagelake.operators import family as fam
 from lineagelake.operators import incidence as inc
 from lineagelake.operators.censor import run_censor
+from lineagelake.operators.checkpoints import cut
 from lineagelake.operators.phenotypes import run_phenotype
 from lineagelake.operators.relatives import count_pairs, extract_pairs
 from lineagelake.operators.sampling import run_dropout, run_sample
@@ -21,7 +22,7 @@ def run_scenario(spark: SparkSession, scenario: dict | None = None, rep: int = 0
     seed = p["seed"] + rep
     sim = Parameters(
         n=p["N"], generations=p["G_ped"], burn_in=p["G_burn"], seed=seed, A=(p["A1"], p["A2"]), C=(p["C1"], p["C2"]), E=(p["E1"], p["E2"]), rA=p["rA"], rC=p["rC"], rE=p["rE"],
-        mating_lambda=p["mating_lambda"], p_mztwin=p["p_mztwin"], assort=(p["assort1"], p["assort2"]),
+        mating_lambda=p["mating_lambda"], p_mztwin=p["p_mztwin"], assort=(p["assort1"], p["assort2"]), assort_matrix=p["assort_matrix"],
     )
     full = run_simulation(spark, sim)
     ped = run_dropout(full, p["pedigree_dropout_rate"], seed)
@@ -32,7 +33,7 @@ def run_scenario(spark: SparkSession, scenario: dict | None = None, rep: int = 0
 
 def statistics(people: DataFrame, pedigree: DataFrame, windows: dict | None, censor_age: float, max_degree: int = 2) -> dict[str, DataFrame]:
     """Every statistic as a table of its own; the three on censoring only where there are windows."""
-    pairs = extract_pairs(pedigree, max_degree, sample=people)
+    pairs = cut(extract_pairs(pedigree, max_degree, sample=people))  # some fifteen tables are made from them
     phis = cor.phi(people, pairs)
     counts = cor.two_by_two(cor.pair_values(people, pairs, "affected"), ["rel", "trait"])
     curve = inc.cumulative_incidence(people, censor_age)
@@ -43,7 +44,7 @@ def statistics(people: DataFrame, pedigree: DataFrame, windows: dict | None, cen
         "person_years": inc.person_years(people, windows or {}, censor_age), "family_size": fam.family_size_summary(people), "offspring": fam.offspring_per_person(people, True), "mates": fam.mates_by_sex(people),
         "parent_status": fam.parent_status(people, pedigree), "pair_counts": count_pairs(pairs), "pair_counts_pedigree": count_pairs(extract_pairs(pedigree, max_degree)),
         "liability_correlations": cor.liability_correlations(people, pairs), "phi": phis, "tetrachoric": cor.with_tetrachoric(counts), "tetrachoric_by_sex": cor.with_tetrachoric(cor.pairs_by_sex(people, pairs)),
-        "tetrachoric_by_generation": cor.with_tetrachoric(cor.pairs_by_generation(people, pairs)), "cross_trait": cor.with_tetrachoric(cor.cross_trait_counts(people, pairs)),
+        "tetrachoric_by_generation": cor.tetrachoric_by_generation(people, pairs), "cross_trait_by_generation": cor.same_person_by_generation(people), "cross_trait": cor.with_tetrachoric(cor.cross_trait_counts(people, pairs)),
         "parent_offspring": cor.parent_offspring(people), "parent_offspring_by_sex": cor.parent_offspring(people, ("sex",)), "parent_offspring_affected": cor.parent_offspring(people, (), "affected"),
         "observed_h2": cor.observed_h2(phis), "mate_correlations": cor.mate_correlations(people),
     }

@@ -99,15 +99,30 @@ def checks_document(checks: DataFrame) -> str:
     return json.dumps(out, sort_keys=True)
 
 
-def migrate_prevalence(doc, old: str = "prevalence", traits: tuple = ("trait1", "trait2")):
-    """Moves a trait's prevalence into its params, anywhere in a document; other parts stay as they are."""
+#: Models whose params hold a prevalence, and all known ones: fixed values. Blocks without a model are frailty.
+WITH_PREVALENCE, KNOWN_MODELS = ("adult", "cure_frailty"), ("frailty", "cure_frailty", "adult", "first_passage")
+
+
+def migrate_prevalence(doc):
+    """A document whose phenotype sections have a trait's prevalence in its params, or not at all where the model has none.
+
+    Traits of unknown models and traits whose params are no mapping stay as they are, and so does everything else. A
+    migrated document stays the same.
+    """
     if isinstance(doc, list):
-        return [migrate_prevalence(x, old, traits) for x in doc]
+        return [migrate_prevalence(x) for x in doc]
     if not isinstance(doc, dict):
         return doc
-    out = {k: migrate_prevalence(v, old, traits) for k, v in doc.items()}
-    for t in traits:
-        block = out.get(t)
-        if isinstance(block, dict) and old in block and "model" in block:
-            block.setdefault("params", {})[old] = block.pop(old)
+    out = {k: migrate_prevalence(v) for k, v in doc.items()}
+    section = out.get("phenotype")
+    for trait in ("trait1", "trait2"):
+        block = section.get(trait) if isinstance(section, dict) else None
+        if not isinstance(block, dict) or "prevalence" not in block or block.get("model", "frailty") not in KNOWN_MODELS:
+            continue
+        rest = {k: v for k, v in block.items() if k != "prevalence"}
+        if block.get("model", "frailty") in WITH_PREVALENCE:
+            if not isinstance(rest.get("params", {}), dict):
+                continue
+            rest["params"] = {**rest.get("params", {}), "prevalence": block["prevalence"]}
+        section[trait] = rest
     return out

@@ -214,7 +214,7 @@ def test_config_and_documents(spark, tmp_path):
         f.write('{"twins": {"rate": {"observed": 0.5}}}')
     r = io.gather(spark, f"{tmp_path}/results/*/*/*/validation.json", ["twins.rate.observed"]).first()
     assert (r.folder, r.scenario, r.rep, r.twins_rate_observed) == ("f", "s", 1, 0.5)
-    assert io.migrate_prevalence({"trait1": {"model": "adult", "prevalence": 0.1}})["trait1"]["params"] == {"prevalence": 0.1}
+    assert io.migrate_prevalence({"phenotype": {"trait1": {"model": "adult", "prevalence": 0.1}}})["phenotype"]["trait1"]["params"] == {"prevalence": 0.1}
 
 
 def test_compare(spark):

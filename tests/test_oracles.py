@@ -14,7 +14,8 @@ NAMES = [
     "prevalence_grouping_sets", "mortality_lifetable", "survival_curve", "cif_by_sex", "onset_quartiles", "censor_apply", "censor_confusion", "censor_cascade", "censor_windows", "person_years", "incidence_rate", "joint_affection",
     "family_size_summary", "offspring_per_person", "mates_by_sex", "parent_status", "grandparent_links", "pairs_cousin", "pair_counts", "pair_counts_subsample", "relatives_features", "liability_corr_by_pair", "phi_by_pair",
     "twobytwo_by_pair_sex", "po_regression_by_generation", "mate_correlation_matrix", "pheno_threshold_per_generation", "frailty_weibull", "adult_cox", "sample_weighted", "dropout_relink", "gv_rescale", "inbreeding_by_generation",
-    "ped_structural_checks", "rep_envelope", "events_daily", "rank_scores", "hazard_terms_gompertz",
+    "ped_structural_checks", "rep_envelope", "events_daily", "rank_scores", "hazard_terms_gompertz", "normal_functions", "dempster_lerner_table", "adult_ltm", "first_passage", "frailty_lognormal", "hazard_terms_gamma", "quantile_normal_scores", "gene_drop_founders",
+    "sample_allele_counts", "hill_overlapping", "long_term_contributions", "pair_counts_degree5", "tetrachoric_by_generation", "tetrachoric_same_person_by_generation", "first_sib_pairs", "falconer_by_generation", "naive_h2_estimators", "ped_twin_checks",
 ]
 
 
