@@ -247,7 +247,7 @@ def test_inbreeding_of_the_whole_pedigree(spark):
     want = {}
     for r in people:
         want.setdefault(r.generation, []).append(2 * k[r.id, r.id] - 1)
-    got = {r.generation: r for r in entry.queries()["inbreeding_whole_pedigree"](spark, SMALL).collect()}
+    got = {r.generation: r for r in entry.queries()["inbreeding_by_generation"](spark, SMALL).collect()}
     assert set(got) == set(want) == set(range(6))
     for g, f in want.items():
         assert got[g].mean_f == pytest.approx(np.mean(f), abs=2e-9) and got[g].n_inbred == sum(x > 0 for x in f)
@@ -257,7 +257,7 @@ def test_gene_drop_covers_people_and_sites(spark):
     import __spark_entry__ as entry
     from lineagelake.sources import fixture
 
-    sites = {(r.CHR, r.site_id) for r in entry.queries()["site_catalog"](spark, SMALL).collect()}
+    sites = {(r.n_regionkey + 1, r.n_nationkey) for r in spark.read.parquet(f"{SMALL}/nation.parquet").collect()}
     got = entry.queries()["gene_drop_founders"](spark, SMALL).collect()
     assert {(r.CHR, r.site_id) for r in got} == sites and len(got) == len(sites)
     assert {r.n for r in got} == {2 * fixture.pedigree(spark, SMALL).count()} and all(0 <= r.n_alleles <= r.n for r in got)
