@@ -41,14 +41,27 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
         atexit.register(_remove_all)
     _written.append((spark, path))
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = (spark, path)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of written() that no result still reads."""
+    for df in tables:
+        _remove(*df.written_at)
+        _written.remove(df.written_at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _remove_all() -> None:
     for spark, path in _written:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # the session has ended; the cluster's own cleaning takes over
             return
     _written.clear()

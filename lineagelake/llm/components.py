@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineagelake.llm.common import written
+from lineagelake.llm.common import forget, written
 
 MAX_ROUNDS = 60
 
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: u and its smaller neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        now = written(small)
+        old, now = now, written(small)
+        forget(old)
         before, state = state, _state(now)
         if state == before:
             break

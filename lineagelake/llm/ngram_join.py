@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineagelake.llm.common import unused, written
+from lineagelake.llm.common import forget, unused, written
 from lineagelake.llm.components import components
 from lineagelake.llm.shingles import WordHashes, mix, release, shingle_set
 
@@ -177,7 +177,9 @@ def _filters(profile: DataFrame, bucket_bits: int) -> Filters:
             out[r.chunk * (CHUNK_BITS // 8) : (r.chunk + 1) * (CHUNK_BITS // 8)] = np.frombuffer(r.bits, np.uint8)
         return out
 
-    return Filters(bits_of(least, REPEATED_BITS), bits_of(often, FREQUENT_BITS), least == 2, bucket_bits)
+    out = Filters(bits_of(least, REPEATED_BITS), bits_of(often, FREQUENT_BITS), least == 2, bucket_bits)
+    forget(counted)
+    return out
 
 
 def least_overlap(n: int | np.ndarray, threshold: int) -> int | np.ndarray:
@@ -308,7 +310,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     bucket_bits = min(30, max(0, (chars // BUCKET_CHARS).bit_length()))
     profile = written(base.mapInArrow(lambda b: _profile(b, k, bucket_bits), PROFILE))
     filters = spark.sparkContext.broadcast(_filters(profile, bucket_bits))
-    known = profile.filter("bucket is null").select("doc_id", "n", "digest")
+    known = written(profile.filter("bucket is null").select("doc_id", "n", "digest"))
+    forget(profile)  # what only one step reads goes when it is done
     classes = known.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
 
     postings = base.select("text").mapInArrow(lambda b: _postings(b, k, threshold, filters.value), "token long, digest long")
@@ -317,6 +320,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
     centers = written(postings.groupBy("token").agg(F.min("digest").alias("center"), F.max("digest").alias("last")).filter("center < last").select("token", "center"))
     ties = written(postings.join(centers, "token").filter("digest != center").select("center", "digest").distinct())
 
+    forget(postings, centers)
     members = ties.unionByName(ties.select("center", F.col("center").alias("digest")).distinct())
     blocks = written(ties.groupBy("center").agg(F.expr(f"int(ceil((count(1) + 1) / {BLOCK}))").alias("nb")))
     placed = written(members.join(blocks, "center").withColumn("block", F.expr("int(pmod(xxhash64(digest), nb))")))
@@ -346,6 +350,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int =
         left = rest.join(left_blocks, "center").select("center", "digest", F.expr("int(pmod(xxhash64(digest, 1), nr))").alias("bi"), F.explode(F.expr("sequence(0, nb - 1)")).alias("bj"), F.lit(LEFT).alias("side"))
         right = inside.join(left_blocks, "center").select("center", "digest", F.explode(F.expr("sequence(0, nr - 1)")).alias("bi"), F.col("block").alias("bj"), F.lit(RIGHT).alias("side"))
         comp = components(edges.unionByName(compared(left.unionByName(right))).unionByName(several))
+        forget(inside, left_blocks)
+    forget(sets, placed, blocks, wanted, ties)
     labels = classes.join(comp, classes["rep"] == comp["id"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
     out = known.join(labels, ["digest", "n"], "left")
     return out.groupBy("doc_id").agg(F.max(F.col("n").cast("long")).alias("n_shingles"), F.min(F.coalesce("component_id", "doc_id")).alias("component_id"))
