@@ -42,24 +42,23 @@ def repeated_windows(docs: DataFrame, run: int = RUN_LINES, long: int = LONG_CHA
     """
     lines = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.expr(f"split(`{text}`, '\n', -1)").alias("l"))
     lines = lines.select("doc_id", "row", F.expr("transform(l, x -> xxhash64(x))").alias("h"), F.expr("transform(l, x -> length(x))").alias("c"))
-    # each window: its first line, its number of lines, and the place of its least hash, the last of equals
+    # each window: its first line, its number of lines, the place of its least hash (the last of equals), that hash, its digest
     kinds = []
     for n in range(1, run + 1):
-        own = f"slice(h, s + 1, {n})"
         starts = f"if(size(h) >= {n}, sequence(0, size(h) - {n}), array())"
         if n < run:
             starts = f"filter({starts}, s -> aggregate(slice(c, s + 1, {n}), 0, (a, x) -> a + x) >= {long})"
-        kinds.append(f"transform({starts}, s -> named_struct('s', s, 'n', {n}, 'm', s + {n} - cast(array_position(reverse({own}), array_min({own})) as int)))")
-    hashed = lines.select("doc_id", "row", "h", F.expr(f"concat({', '.join(kinds)})").alias("w")).filter("size(w) > 0")
-    hashed = written(hashed)
-    marks = hashed.select(F.explode(F.expr("transform(array_distinct(w.m), m -> h[m])")).alias("f"))
-    twice = written(marks.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f"))
-    # each selected place with the windows it stands for
-    digest = "named_struct('s', x.s, 'n', x.n, 'd1', xxhash64(slice(h, x.s + 1, x.n)), 'd2', hash(slice(h, x.s + 1, x.n), x.n))"
-    around = f"transform(filter(w, x -> x.m = m), x -> {digest})"
-    places = hashed.select("doc_id", "row", F.explode(F.expr(f"transform(array_distinct(w.m), m -> named_struct('f', h[m], 'w', {around}))")).alias("p"))
-    joined = places.select("doc_id", "row", "p.f", "p.w").join(twice, "f", "left_semi")
-    windows = written(joined.select("doc_id", "row", F.inline("w")))
+        own = f"slice(h, s + 1, {n})"
+        kinds.append(
+            f"transform({starts}, s -> named_struct('s', s, 'n', {n}, 'm', s + {n} - cast(array_position(reverse({own}), array_min({own})) as int),"
+            f" 'f', array_min({own}), 'd1', xxhash64({own}), 'd2', hash({own}, {n})))"
+        )
+    # exploded at once, and unfiltered: a filter on the array would be pushed into the lambdas, which then split the text anew
+    windows = written(lines.select("doc_id", "row", F.inline(F.expr(f"concat({', '.join(kinds)})"))))
+    mark = F.struct("doc_id", "row", "m")
+    twice = written(windows.groupBy("f").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).filter("a != b").select("f"))
+    # the windows that each repeated fingerprint stands for
+    windows = written(windows.join(twice, "f", "left_semi").drop("m"))
     place = F.struct("doc_id", "row", "s")
     first = written(windows.groupBy("d1", "d2").agg(F.count("*").alias("k"), F.min(place).alias("first")).filter("k > 1").select("d1", "d2", "first"))
     later = windows.join(first, ["d1", "d2"]).filter(place != F.col("first"))

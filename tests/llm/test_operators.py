@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -229,6 +230,16 @@ def test_lines_of_odd_tables(spark):
     assert line_dedup.drop_repeated_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_text_of_many_lines_takes_linear_time(spark):
+    rng = random.Random(6)
+    lines = [f"{rng.random()} {i}" for i in range(100_000)]
+    lines[70_000:70_040] = lines[10:50]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["new", *lines[:40], "newer"]))]
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (100_000, 40), 2: (42, 40)} and time.time() - began < 60  # a quadratic plan takes hours
+
+
 # languages
 
 
