@@ -82,6 +82,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, size="size").select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """The damage of the registered query: (conv_id, turn, role, text, gone); null ids, turns, roles and texts are read as one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20
+    rows = rows.select("conv_id", "turn", kind.alias("kind"), space("role").alias("role"), space("text").alias("text"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (F.col("kind") == 0).alias("gone"), "kind")
+    return rows.withColumn("i", F.explode(F.expr("sequence(1, if(kind = 3, 2, 1))"))).drop("i", "kind")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineagelake.llm.conversations import repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")), gone="gone", turns=False)[0]
+
+
 OP1_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -120,6 +136,68 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
+#: CRC-32 of the hexadecimal bytes h, by a table that the reflected polynomial gives.
+CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"""
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"""
+
+OP11_SQL = (
+    r"""
+WITH RECURSIVE """
+    + CRC_TABLE
+    + r""",
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h
+  FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, """
+    + CRC
+    + r""" % 20 AS kind FROM keyed, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, range(2) c(copy) WHERE kind != 0 AND (copy = 0 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substr(role, 1, 1) AS x
+  FROM damaged),
+counted AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM placed),
+turns AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS pair
+  FROM counted),
+moves(state, x, after) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+filled(before, state, cost, letters, added) AS (
+  SELECT s, s, 0, '', '' FROM range(4) r(s)
+  UNION ALL
+  SELECT before, CASE WHEN state = 2 THEN 3 ELSE 2 END, cost + 2, letters || 'I', added || chr(10) || CASE WHEN state = 2 THEN 'assistant:' ELSE 'user:' END
+  FROM filled WHERE cost < 6),
+edits AS (
+  SELECT before, state, cost + 3 AS cost, letters || 'D' AS letters, added, 'D' AS edit, '' AS x, '' AS named FROM filled
+  UNION ALL SELECT f.before, m.after, f.cost, f.letters || 'K', f.added, 'K', m.x, '' FROM filled f JOIN moves m ON f.state = m.state
+  UNION ALL SELECT f.before, m.after, f.cost + 2, f.letters || 'R', f.added, 'R', '', CASE m.x WHEN 'u' THEN 'user' ELSE 'assistant' END
+            FROM filled f JOIN moves m ON f.state = m.state WHERE m.x != 's'),
+layers(conv_id, i, state, best) AS (
+  SELECT conv_id, 0::BIGINT, 0::BIGINT, {'cost': 0::BIGINT, 'audit': '', 'made': ''} FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT l.conv_id, t.i, e.state,
+         min({'cost': l.best.cost + e.cost + CASE WHEN e.edit != 'D' AND t.fault = 'truncated' THEN 1 ELSE 0 END, 'audit': l.best.audit || e.letters,
+              'made': l.best.made || e.added || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || t.role || ':' || t.text ELSE chr(10) || e.named || ':' || t.text END})
+  FROM layers l JOIN turns t ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = l.i + 1
+  JOIN edits e ON e.before = l.state AND (e.edit = 'D' OR t.fault NOT IN ('blank', 'duplicate')) AND (e.edit != 'K' OR e.x = t.x)
+  GROUP BY l.conv_id, t.i, e.state),
+lengths AS (
+  SELECT c.conv_id, count(t.i) AS n, coalesce(max(t.turn) - min(t.turn) + 1 - count(DISTINCT t.turn), 0) AS gaps, count(*) FILTER (t.fault = 'blank') AS blank,
+         count(*) FILTER (t.fault = 'duplicate') AS duplicate, count(*) FILTER (t.fault = 'truncated') AS truncated, count(*) FILTER (t.pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN turns t ON c.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY c.conv_id),
+ends AS (
+  SELECT l.conv_id, min({'cost': l.best.cost + f.cost, 'audit': l.best.audit || f.letters, 'made': l.best.made || f.added}) AS best
+  FROM layers l JOIN lengths n ON l.conv_id IS NOT DISTINCT FROM n.conv_id AND l.i = n.n JOIN filled f ON f.before = l.state AND f.state IN (0, 3) GROUP BY l.conv_id)
+SELECT n.conv_id, n.gaps, n.blank, n.duplicate, n.truncated, n.illegal, e.best.cost AS cost, e.best.audit AS audit, sha256(substr(e.best.made, 2)) AS repaired_sha256
+FROM lengths n JOIN ends e ON n.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+)
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
@@ -131,9 +209,10 @@ QUERIES = {
     "op8_token_codes": op8_token_codes,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
-ORACLES = {"op1_url_filter": OP1_SQL, "op2_line_dedup": OP2_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_line_dedup": OP2_SQL, "op11_conversation_repair": OP11_SQL}
 
 
 def queries() -> dict:
