@@ -98,6 +98,27 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")), gone="gone", turns=False)[0]
 
 
+#: Letters and least length of the words of the registered query; each so many (by hash) loses a letter.
+WORD_LETTERS, WORD_LEAST, NOISE = "A-Za-z\u00c0-\u00ff", 7, 31
+
+
+def noisy_words(docs: DataFrame) -> DataFrame:
+    """(word, n): the registered query's words with two or more occurrences. A null doc_id reads as an empty string."""
+    from lineagelake.llm.spelling import runs_of
+
+    run = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(runs_of(F.col("text"), WORD_LETTERS, WORD_LEAST)).alias("run"))
+    run = run.select("run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h"), F.length("run").alias("l"))
+    cut = F.expr("concat(substr(run, 1, cast(h % l as int)), substr(run, cast(h % l as int) + 2))")
+    words = run.select(F.when(F.col("h") % NOISE == 0, cut).otherwise(F.col("run")).alias("word")).filter(F.length("word") >= WORD_LEAST)
+    return words.groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineagelake.llm.spelling import group_variants
+
+    return group_variants(noisy_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 OP1_SQL = r"""
 WITH parts AS (
   SELECT page_id,
@@ -198,6 +219,35 @@ FROM lengths n JOIN ends e ON n.conv_id IS NOT DISTINCT FROM e.conv_id
 """
 )
 
+OP13_SQL = (
+    r"""
+WITH RECURSIVE """
+    + CRC_TABLE
+    + r""",
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{7,}')) AS run
+  FROM documents),
+grouped AS (SELECT id, run, hex(encode(id || ':' || run)) AS h, count(*) AS n FROM runs GROUP BY id, run),
+hashed AS (SELECT run, n, length(run) AS l, """
+    + CRC
+    + r""" AS crc FROM grouped, crc_table),
+made AS (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % l) || substr(run, crc % l + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM cuts x JOIN cuts y ON x.i = y.i AND x.rest = y.rest AND x.word != y.word
+  UNION SELECT x.word, y.word, y.n FROM cuts x JOIN words y ON x.rest = y.word
+  UNION SELECT y.word, x.word, x.n FROM cuts x JOIN words y ON x.rest = y.word),
+best AS (SELECT word, count(*) AS n_near, min({'less': -near_n, 'near': near}) AS best FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN -b.best.less >= 10 * w.n THEN b.best.near END AS form, CASE WHEN -b.best.less >= 10 * w.n THEN -b.best.less END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+chains(word, held) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM chains c JOIN forms f ON c.held = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.held AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN chains c ON f.word = c.word JOIN forms e ON c.held = e.word AND e.form IS NULL
+"""
+)
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
@@ -210,9 +260,10 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLES = {"op1_url_filter": OP1_SQL, "op2_line_dedup": OP2_SQL, "op11_conversation_repair": OP11_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_line_dedup": OP2_SQL, "op11_conversation_repair": OP11_SQL, "op13_spelling_variants": OP13_SQL}
 
 
 def queries() -> dict:
