@@ -98,6 +98,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")), gone="gone", turns=False)[0]
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lineagelake.llm.neighbours import nearest
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
 #: Letters and least length of the words of the registered query; each so many (by hash) loses a letter.
 WORD_LETTERS, WORD_LEAST, NOISE = "A-Za-z\u00c0-\u00ff", 7, 31
 
@@ -260,6 +267,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_source_mixing": op10_source_mixing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
