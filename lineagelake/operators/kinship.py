@@ -45,58 +45,114 @@ def kinship(ped: DataFrame, generations: int | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def couple_kinship(ped: DataFrame) -> DataFrame:
-    """(i, j, k) of all couples, i < j, without the kinship of other pairs.
+def _canonical(ped: DataFrame) -> DataFrame:
+    """(id, mother, father, generation, self): co-twins have one genome, that of the lower id; its parents are mapped alike.
 
-    From the last generation up, each needed pair names the pairs of its younger members' parents; these few pairs are
-    then valued from the founders down. Work follows couples times ancestor pairs, not all related pairs of people.
+    Founders are taken to be unrelated, twins among them too.
     """
-    ped = ped.select("id", "generation", "mother", "father", "twin")
-    top = ped.agg(F.max("generation")).first()[0] or 0
-    parent = parent_edges(ped).select("child", "parent")
-    level = ped.select("id", "generation")
-    known = ped.filter("mother >= 0 and father >= 0 and mother != father")
-
-    def leveled(pairs: DataFrame) -> DataFrame:
-        """Pairs in order, with the later generation of the two; co-twins share the kinship of one of them."""
-        both = pairs.join(level.select(F.col("id").alias("i"), F.col("generation").alias("gi")), "i").join(level.select(F.col("id").alias("j"), F.col("generation").alias("gj")), "j")
-        return both.select("i", "j", "gi", "gj", F.greatest("gi", "gj").alias("g"))
-
-    couples = leveled(known.select(F.least("mother", "father").alias("i"), F.greatest("mother", "father").alias("j")).distinct())
-    waiting, steps = [couples], {}
-    twin = ped.filter("twin >= 0").select(F.col("id").alias("i"), F.col("twin").alias("j"), F.lit(True).alias("mz"))
-    for g in range(top, 0, -1):
-        every = reduce(DataFrame.unionByName, waiting)
-        here = every.filter(F.col("g") == g).distinct().join(twin, ["i", "j"], "left")
-        # of a pair with itself (or a co-twin) the parents' own pair counts, half, beside 1/2
-        own = here.filter("i = j or mz").join(known.select(F.col("id").alias("i"), F.least("mother", "father").alias("a"), F.greatest("mother", "father").alias("b")), "i", "left").select("i", "j", "a", "b", F.lit(0.5).alias("w"))
-        far = here.filter("i != j and mz is null")
-        up = far.select("i", "j", "gi", "gj", F.when(F.col("gi") == g, F.col("i")).alias("x"), F.when(F.col("gj") == g, F.col("j")).alias("y"))
-        up = up.join(parent.select(F.col("child").alias("x"), F.col("parent").alias("px")), "x", "left").join(parent.select(F.col("child").alias("y"), F.col("parent").alias("py")), "y", "left")
-        up = up.filter("(x is null or px is not null) and (y is null or py is not null)").select("i", "j", F.coalesce("px", "i").alias("p"), F.coalesce("py", "j").alias("q"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 0.25).otherwise(0.5).alias("w"))
-        steps[g] = cut(own.unionByName(up.groupBy("i", "j", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("w").alias("w"))))
-        waiting = [every.filter(F.col("g") < g), leveled(steps[g].filter("a is not null").select(F.col("a").alias("i"), F.col("b").alias("j")).distinct())]
-    valued = cut(reduce(DataFrame.unionByName, waiting).filter("g = 0 and i = j").select("i", "j", F.lit(0.5).alias("k")).distinct())
-    done = [valued]
-    for g in range(1, top + 1):
-        below = reduce(DataFrame.unionByName, done).select(F.col("i").alias("a"), F.col("j").alias("b"), "k")
-        base = F.max(F.when((F.col("i") == F.col("j")) | F.col("mz"), 0.5).otherwise(0.0))
-        mine = steps[g].join(below, ["a", "b"], "left").join(twin, ["i", "j"], "left")
-        done.append(cut(mine.groupBy("i", "j").agg((base + F.coalesce(F.sum(F.col("w") * F.col("k")), F.lit(0.0))).alias("k")).filter("k > 0")))
-    return couples.select("i", "j").join(reduce(DataFrame.unionByName, done), ["i", "j"], "left").select("i", "j", F.coalesce("k", F.lit(0.0)).alias("k"))
+    lower = ped.filter("twin > id and (mother >= 0 or father >= 0)").select(F.col("twin").alias("_t"), F.col("id").alias("_low"))
+    ids = ped.select("id").join(lower, F.col("id") == F.col("_t"), "left").select("id", F.coalesce("_low", "id").alias("self"))
+    named = lambda c: ids.select(F.col("id").alias(c), F.col("self").alias(f"_{c}"))
+    out = ped.select("id", "generation", "mother", "father").join(ids, "id").join(named("mother"), "mother", "left").join(named("father"), "father", "left")
+    return out.select("id", "generation", "self", F.col("_mother").alias("mother"), F.col("_father").alias("father"))
+
+
+def ancestor_shares(people: DataFrame, ids: DataFrame, depth: int) -> DataFrame:
+    """(id, ancestor, w): the expected share of each id's genes that comes through each ancestor, itself (1) included.
+
+    people: the table of _canonical. ids: (id). Shares are handed up a generation at a time and added up by ancestor.
+    """
+    edges = people.filter("id = self").select(F.col("id").alias("child"), F.explode(F.array("mother", "father")).alias("parent")).filter("parent is not null")
+    now = ids.select("id", F.col("id").alias("ancestor"), F.lit(1.0).alias("w"))
+    every = [now]
+    for _ in range(depth):
+        now = cut(now.join(edges, F.col("ancestor") == F.col("child")).groupBy("id", F.col("parent").alias("ancestor")).agg((F.sum("w") / 2).alias("w")))
+        every.append(now)
+    return reduce(DataFrame.unionByName, every).groupBy("id", "ancestor").agg(F.sum("w").alias("w"))
+
+
+def _shared(people: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """(i, j, ancestor, p): the product of both shares for each common ancestor of a pair; pairs without one give no row."""
+    shares = cut(ancestor_shares(people, pairs.select(F.explode(F.array("i", "j")).alias("id")).distinct(), depth))
+    one = lambda c, x, y: pairs.join(shares.withColumnRenamed("id", c), c).select("i", "j", "ancestor", x.alias("wi"), y.alias("wj"))
+    both = one("i", F.col("w"), F.lit(0.0)).unionByName(one("j", F.lit(0.0), F.col("w")))
+    sums = both.groupBy("i", "j", "ancestor").agg(F.sum("wi").alias("wi"), F.sum("wj").alias("wj"))
+    return sums.filter("wi > 0 and wj > 0").select("i", "j", "ancestor", (F.col("wi") * F.col("wj")).alias("p"))
+
+
+def mendelian_variances(people: DataFrame, inbred: DataFrame) -> DataFrame:
+    """(id, d): 1 for a founder, else what of a person's genes its parents' don't settle: 1/2 for two parents that aren't inbred.
+
+    people: (id, mother, father) with null for unknown; inbred: (id, f) of those with f > 0.
+    """
+    part = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise((1 + F.coalesce(f"_f{c}", F.lit(0.0))) / 4)
+    f = lambda c: inbred.select(F.col("id").alias(c), F.col("f").alias(f"_f{c}"))
+    return people.join(f("mother"), "mother", "left").join(f("father"), "father", "left").select("id", (1.0 - part("mother") - part("father")).alias("d"))
+
+
+def _depth(ped: DataFrame) -> int:
+    return ped.agg(F.max("generation")).first()[0] or 0
+
+
+def _inbred(people: DataFrame, depth: int) -> DataFrame:
+    """(id, f) of the people with f > 0. Only couples with common ancestors go from generation to generation."""
+    couples = people.filter("mother is not null and father is not null").select(F.col("mother").alias("i"), F.col("father").alias("j")).distinct()
+    shared = cut(_shared(people, couples, depth))
+    above = cut(people.filter("id = self").join(shared.select(F.col("ancestor").alias("id")).distinct(), "id", "left_semi").select("id", "mother", "father"))
+    kids = people.join(shared.select(F.col("i").alias("mother"), F.col("j").alias("father")).distinct(), ["mother", "father"], "left_semi")
+    found = people.sparkSession.createDataFrame([], "id long, f double")
+    for g in range(1, depth + 1):
+        mine = kids.filter(F.col("generation") == g).select("id", F.col("mother").alias("i"), F.col("father").alias("j"))
+        own = shared.join(mine.select("i", "j").distinct(), ["i", "j"], "left_semi")
+        d = mendelian_variances(above, found).withColumnRenamed("id", "ancestor")
+        k = own.join(d, "ancestor").groupBy("i", "j").agg((F.sum(F.col("p") * F.col("d")) / 2).alias("f"))
+        found = found.unionByName(cut(mine.join(k, ["i", "j"]).filter("f > 0").select("id", "f")))
+    return found
 
 
 def inbreeding(ped: DataFrame, k: DataFrame | None = None) -> DataFrame:
-    """(id, generation, f): the kinship of the parents, from a kinship table or else from that of the couples alone."""
+    """(id, generation, f): the kinship of the parents, from a kinship table or else from the ancestors couples have in common."""
     if k is None:
-        own = ped.select("id", "generation", F.least("mother", "father").alias("i"), F.greatest("mother", "father").alias("j"))
-        return own.join(couple_kinship(ped), ["i", "j"], "left").select("id", "generation", F.coalesce("k", F.lit(0.0)).alias("f"))
+        return ped.select("id", "generation").join(_inbred(cut(_canonical(ped)), _depth(ped)), "id", "left").na.fill(0.0, ["f"])
     return ped.select("id", "generation").join(k.filter("i = j").select(F.col("i").alias("id"), (2 * F.col("k") - 1).alias("f")), "id", "left").na.fill(0.0, ["f"])
 
 
-def pair_kinship(pairs: DataFrame, k: DataFrame) -> DataFrame:
-    keyed = pairs.withColumn("i", F.least("id1", "id2")).withColumn("j", F.greatest("id1", "id2"))
-    return keyed.join(k, ["i", "j"], "left").select(*pairs.columns, F.coalesce("k", F.lit(0.0)).alias("kinship"))
+def pair_kinship(ped: DataFrame, pairs: DataFrame, inbred: DataFrame | None = None) -> DataFrame:
+    """pairs (id1, id2, ...) with the column kinship: half the shares by common ancestors, weighted by their Mendelian variance.
+
+    Work follows the listed people and their ancestors, not all related pairs. inbred: the result of inbreeding, if there is one.
+    """
+    people, depth = cut(_canonical(ped)), _depth(ped)
+    inbred = (_inbred(people, depth) if inbred is None else inbred.select("id", "f")).filter("f > 0")
+    one = lambda c, out: people.select(F.col("id").alias(c), F.col("self").alias(out))
+    named = pairs.select("id1", "id2").distinct().join(one("id1", "a"), "id1").join(one("id2", "b"), "id2").select("id1", "id2", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
+    shared = _shared(people, named.select("i", "j").distinct(), depth)
+    d = mendelian_variances(people.select("id", "mother", "father"), inbred).withColumnRenamed("id", "ancestor")
+    k = shared.join(d, "ancestor").groupBy("i", "j").agg((F.sum(F.col("p") * F.col("d")) / 2).alias("kinship"))
+    found = named.join(k, ["i", "j"]).select("id1", "id2", "kinship")
+    return pairs.join(found, ["id1", "id2"], "left").select(*pairs.columns, F.coalesce("kinship", F.lit(0.0)).alias("kinship"))
+
+
+def mean_coancestry(ped: DataFrame, f: DataFrame | None = None) -> DataFrame:
+    """(generation, n, theta, group): mean kinship of a generation's pairs of two people, and of all pairs, each with itself too.
+
+    The sum of a generation's kinships is half the sum of c^2 d over its ancestors, where c adds up what an ancestor gives
+    to all of them and d is its Mendelian variance: weights are handed up, and no pair is ever made.
+    """
+    people, depth = cut(_canonical(ped)), _depth(ped)
+    f = inbreeding(ped) if f is None else f
+    edges = people.filter("id = self").select(F.col("id").alias("child"), F.explode(F.array("mother", "father")).alias("parent")).filter("parent is not null")
+    now = people.groupBy(F.col("generation").alias("g"), F.col("self").alias("id")).agg(F.count("*").cast("double").alias("w"))
+    every = [now]
+    for _ in range(depth):
+        now = cut(now.join(edges, F.col("id") == F.col("child")).groupBy("g", "parent").agg((F.sum("w") / 2).alias("w")).withColumnRenamed("parent", "id"))
+        every.append(now)
+    given = reduce(DataFrame.unionByName, every).groupBy("g", "id").agg(F.sum("w").alias("c"))
+    d = mendelian_variances(people.select("id", "mother", "father"), f.filter("f > 0").select("id", "f"))
+    whole = given.join(d, "id").groupBy(F.col("g").alias("generation")).agg((F.sum(F.col("c") * F.col("c") * F.col("d")) / 2).alias("all"))
+    own = f.groupBy("generation").agg(F.count("*").alias("n"), F.sum((1 + F.col("f")) / 2).alias("self"))
+    n = F.col("n").cast("double")
+    return own.join(whole, "generation").select("generation", "n", F.when(n > 1, (F.col("all") - F.col("self")) / (n * (n - 1))).alias("theta"), (F.col("all") / (n * n)).alias("group"))
 
 
 def sex_counts(ped: DataFrame) -> DataFrame:
@@ -159,28 +215,23 @@ def contributions(ped: DataFrame) -> DataFrame:
 
 
 def effective_sizes(ped: DataFrame) -> DataFrame:
-    """(estimator, ne) of eight estimators."""
-    spark = ped.sparkSession
-    k = kinship(ped)
-    f = inbreeding(ped, k)
+    """(estimator, ne) of eight estimators.
+
+    inbreeding, coancestry and caballero_toro are rates by regression over generations: of mean inbreeding, of the mean
+    kinship of two people, and of group coancestry (all pairs, each person with itself too). No table of pairs is made.
+    """
+    spark, top = ped.sparkSession, _depth(ped)
+    f = cut(inbreeding(ped))
     by_gen = f.groupBy("generation").agg(F.avg("f").alias("f"))
-    gen = ped.select("id", "generation")
-    n = gen.groupBy("generation").agg(F.count("*").cast("double").alias("n"))
-    same = k.filter("i != j").join(gen.withColumnRenamed("id", "i"), "i").join(gen.select(F.col("id").alias("j"), F.col("generation").alias("g2")), "j").filter("generation = g2")
-    theta = n.join(same.groupBy("generation").agg(F.sum("k").alias("s")), "generation", "left").select("generation", (2 * F.coalesce("s", F.lit(0.0)) / (F.col("n") * (F.col("n") - 1))).alias("theta"))
-    sizes = family_size_variance(ped)
+    theta = cut(mean_coancestry(ped, f))
     harmonic = lambda df: df.filter("ne > 0").agg(F.count("*") / F.sum(1 / F.col("ne"))).first()[0]
-    ne_v, ne_sr, ne_h = harmonic(sizes), harmonic(sex_counts(ped)), harmonic(hill_overlapping(ped))
     # individual rates: 1 - (1 - F)^(1 / (t - 1)), over the last generation
-    top = ped.agg(F.max("generation")).first()[0] or 0
     delta = f.filter((F.col("generation") == top) & (F.col("f") < 1)).agg(F.avg(1 - F.pow(1 - F.col("f"), F.lit(1.0 / max(1, top - 1))))).first()[0]
-    pair_delta = same.filter(F.col("generation") == top).agg(F.sum(1 - F.pow(1 - F.col("k"), F.lit(1.0 / max(1, top))))).first()[0]
-    last = n.filter(F.col("generation") == top).first()
-    ct = 2 * (pair_delta or 0.0) / (last.n * (last.n - 1)) if last and last.n > 1 else None
     c2 = contributions(ped).agg(F.sum(F.pow("c", 2))).first()[0]
     found = {
-        "inbreeding": _regressed(by_gen.filter("generation >= 2"), "f"), "coancestry": _regressed(theta.filter("generation >= 1"), "theta"), "variance_family_size": ne_v, "sex_ratio": ne_sr,
-        "individual_delta_f": 1 / (2 * delta) if delta else None, "long_term_contributions": 1 / (2 * c2) if c2 else None, "hill_overlapping": ne_h, "caballero_toro": 1 / (2 * ct) if ct else None,
+        "inbreeding": _regressed(by_gen.filter("generation >= 2"), "f"), "coancestry": _regressed(theta.filter("generation >= 1"), "theta"),
+        "variance_family_size": harmonic(family_size_variance(ped)), "sex_ratio": harmonic(sex_counts(ped)), "individual_delta_f": 1 / (2 * delta) if delta else None,
+        "long_term_contributions": 1 / (2 * c2) if c2 else None, "hill_overlapping": harmonic(hill_overlapping(ped)), "caballero_toro": _regressed(theta, "group"),
     }
     return spark.createDataFrame([(a, None if b is None else float(b)) for a, b in found.items()], "estimator string, ne double")
 

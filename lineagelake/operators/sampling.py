@@ -6,16 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineagelake.functions import rng
+from lineagelake.operators.checkpoints import cut
 from lineagelake.operators.ranking import rank_within
 
 
+#: Counters of a pass; each pass narrows the keys' range by this factor.
+BINS = 4096
+
+
+def nth_smallest(df: DataFrame, column: str, n: int) -> tuple | None:
+    """(value, rank among its equals) of the n-th smallest value, n from 1; None with fewer rows.
+
+    A pass counts equal-width bins of the range, with map-side sums; the bin that holds the n-th is the next range. Only
+    counters come to the driver, and no row is sorted: passes grow with the logarithm of the rows.
+    """
+    x = F.col(column)
+    low, high, count = df.agg(F.min(x), F.max(x), F.count(x)).first()
+    if n < 1 or count < n:
+        return None
+    while low != high:
+        width = (high - low) / BINS
+        own = df.filter((x >= F.lit(low)) & (x <= F.lit(high)))
+        # monotone in x whatever the rounding, so bins don't overlap
+        bins = own.groupBy(F.floor((x - F.lit(low)) / F.lit(float(width))).alias("b")).agg(F.count("*").alias("n"), F.min(x).alias("low"), F.max(x).alias("high"))
+        for row in sorted(bins.collect(), key=lambda r: r.b):
+            if n <= row.n:
+                low, high = row.low, row.high
+                break
+            n -= row.n
+    return low, n
+
+
 def smallest(df: DataFrame, key: Column, n: int) -> DataFrame:
-    """The n rows with the smallest key (ties by id). Only the n-th key comes to the driver; no row is collected."""
+    """The n rows with the smallest key (ties by id), all if there are fewer. Only the n-th key and id come to the driver."""
     keyed = df.withColumn("_key", key)
-    last = keyed.select(F.struct("_key", "id").alias("k")).orderBy("k").offset(n - 1).limit(1).first() if n > 0 else None
+    if n <= 0:
+        return df.filter(F.lit(False))
+    keys = cut(keyed.select("_key", "id"))
+    last = nth_smallest(keys, "_key", n)
     if last is None:
-        return keyed.filter(F.lit(False) if n <= 0 else F.lit(True)).drop("_key")
-    return keyed.filter((F.col("_key") < F.lit(last.k[0])) | ((F.col("_key") == F.lit(last.k[0])) & (F.col("id") <= last.k[1]))).drop("_key")
+        return df
+    value, left = last
+    same = F.col("_key") == F.lit(value)
+    last_id = nth_smallest(keys.filter(same), "id", left)[0]
+    return keyed.filter((F.col("_key") < F.lit(value)) | (same & (F.col("id") <= F.lit(last_id)))).drop("_key")
 
 
 def run_sample(people: DataFrame, n: int, case_ratio: float = 1.0, seed: int = rng.DEFAULT_SEED) -> DataFrame:

@@ -372,6 +372,76 @@ def inbreeding_whole(spark, sf_dir):
     return _round(kinship.inbreeding(fx.pedigree(spark, sf_dir)), "f", places=9)
 
 
+#: Kinship sums by generation: what an ancestor gives to all of a generation, squared, times its Mendelian variance.
+_COANCESTRY = _INBRED + """,
+can AS (SELECT id, CASE WHEN twin >= 0 AND twin < id AND mother >= 0 THEN twin ELSE id END AS self FROM ped),
+given(g, id, w) AS (
+  SELECT generation, self, CAST(1 AS DOUBLE) FROM ped JOIN can USING (id)
+  UNION ALL SELECT g, c.self, w / 2 FROM given JOIN edge ON given.id = edge.child JOIN can c ON edge.p = c.id),
+sums AS (SELECT g, id, sum(w) AS c FROM given GROUP BY g, id),
+d AS (SELECT p.id, CASE WHEN p.mother < 0 THEN 1 ELSE 0.5 - (m.f + q.f) / 4 END AS d FROM ped p LEFT JOIN f m ON p.mother = m.id LEFT JOIN f q ON p.father = q.id),
+whole AS (SELECT g, sum(c * c * d) / 2 AS every FROM sums JOIN d USING (id) GROUP BY g),
+own AS (SELECT generation, count(*) AS n, sum((1 + f) / 2) AS self FROM f GROUP BY generation),
+theta AS (SELECT generation, n, (every - self) / (n * (n - CAST(1 AS DOUBLE))) AS theta, every / (n * CAST(n AS DOUBLE)) AS grp FROM own JOIN whole ON generation = g)
+"""
+_COANCESTRY = _COANCESTRY.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("mean_coancestry", _COANCESTRY + 'SELECT generation, n, round(theta, 9) AS theta, round(grp, 9) AS "group" FROM theta')
+def mean_coancestry(spark, sf_dir):
+    return _round(kinship.mean_coancestry(fx.pedigree(spark, sf_dir)), "theta", "group", places=9)
+
+
+def _loss_sql(value: str, source: str) -> str:
+    return f"(SELECT 1 / (2 * (1 - exp(-regr_slope(-ln(1 - {value}), generation)))) FROM {source})"
+
+
+@query("effective_sizes", _COANCESTRY + f""", byf AS (SELECT generation, avg(f) AS f FROM f WHERE generation >= 2 GROUP BY generation),
+down(id, w) AS (SELECT id, CAST(1 AS DOUBLE) FROM ped WHERE generation = {fx.GENERATIONS - 1} UNION ALL SELECT p, w / 2 FROM down JOIN edge ON down.id = edge.child),
+founders AS (SELECT id, sum(w) / (SELECT count(*) FROM ped WHERE generation = {fx.GENERATIONS - 1}) AS c FROM down JOIN ped USING (id) WHERE mother < 0 GROUP BY id),
+kid AS (SELECT mother AS p, sex FROM ped WHERE mother >= 0 UNION ALL SELECT father, sex FROM ped WHERE father >= 0),
+kids AS (SELECT id, generation, ped.sex, count(p) AS k, count(*) FILTER (kid.sex = ped.sex) AS same, count(*) FILTER (kid.sex != ped.sex) AS other FROM ped LEFT JOIN kid ON id = p WHERE generation < {fx.GENERATIONS - 1} GROUP BY ALL),
+fam AS (SELECT generation, 2 * count(*) / ((var_samp(k) - avg(k)) * pow(2 / avg(k), 2) + 2) AS ne FROM kids GROUP BY generation),
+sexes AS (SELECT generation, 4 * count(*) FILTER (sex = 1 AND k > 0) * count(*) FILTER (sex = 0 AND k > 0) / CAST(count(*) FILTER (k > 0) AS DOUBLE) AS ne FROM kids GROUP BY generation),
+hill AS (
+  SELECT generation, 1 / sum((2 + (var_samp_s - ms) / (ms * ms) + 1 + 2 * cov / (ms * mo) + (var_samp_o - mo) / (mo * mo) + 1) / (16 * n)) AS ne
+  FROM (SELECT generation, sex, count(*) AS n, avg(same) AS ms, avg(other) AS mo, var_samp(same) AS var_samp_s, var_samp(other) AS var_samp_o, covar_samp(same, other) AS cov FROM kids GROUP BY generation, sex) GROUP BY generation),
+ne(estimator, ne) AS (
+  SELECT 'inbreeding', {_loss_sql('f', 'byf')} UNION ALL SELECT 'coancestry', {_loss_sql('theta', 'theta WHERE generation >= 1')} UNION ALL SELECT 'caballero_toro', {_loss_sql('grp', 'theta')}
+  UNION ALL SELECT 'variance_family_size', (SELECT count(*) / sum(1 / ne) FROM fam WHERE ne > 0) UNION ALL SELECT 'sex_ratio', (SELECT count(*) / sum(1 / ne) FROM sexes WHERE ne > 0)
+  UNION ALL SELECT 'hill_overlapping', (SELECT count(*) / sum(1 / ne) FROM hill WHERE ne > 0)
+  UNION ALL SELECT 'individual_delta_f', 1 / (2 * (SELECT avg(1 - pow(1 - f, CAST({1 / (fx.GENERATIONS - 2)} AS DOUBLE))) FROM f WHERE generation = {fx.GENERATIONS - 1}))
+  UNION ALL SELECT 'long_term_contributions', 1 / (2 * (SELECT sum(c * c) FROM founders)))
+SELECT estimator, round(ne, 3) AS ne FROM ne""")
+def effective_sizes(spark, sf_dir):
+    return _round(kinship.effective_sizes(fx.pedigree(spark, sf_dir)), "ne", places=3)
+
+
+#: Everyone of the last two generations with the person 2 and the one 14 ids on, and with both parents.
+_LISTED = """, listed AS (
+  SELECT a.id AS id1, b.id AS id2 FROM ped a JOIN ped b ON b.id IN (a.id + 2, a.id + 14) WHERE a.generation >= 4 AND b.generation = a.generation
+  UNION SELECT id, mother FROM ped WHERE generation >= 4 UNION SELECT id, father FROM ped WHERE generation >= 4)"""
+
+
+def _listed(ped):
+    last = ped.filter("generation >= 4")
+    near = last.select(F.col("id").alias("id1"), "generation", F.explode(F.array(F.col("id") + 2, F.col("id") + 14)).alias("id2"))
+    near = near.join(ped.select(F.col("id").alias("id2"), F.col("generation").alias("g2")), "id2").filter("generation = g2").select("id1", "id2")
+    return near.unionByName(last.select(F.col("id").alias("id1"), F.explode(F.array("mother", "father")).alias("id2"))).distinct()
+
+
+@query("pair_kinship_listed", _COANCESTRY + _LISTED + """,
+ends AS (SELECT DISTINCT c.self AS id FROM (SELECT id1 AS id FROM listed UNION SELECT id2 FROM listed) JOIN can c USING (id)),
+reach(id, a, w) AS (SELECT id, id, CAST(1 AS DOUBLE) FROM ends UNION ALL SELECT reach.id, c.self, w / 2 FROM reach JOIN edge ON reach.a = edge.child JOIN can c ON edge.p = c.id),
+shares AS (SELECT id, a, sum(w) AS w FROM reach GROUP BY id, a)
+SELECT l.id1, l.id2, round(coalesce(sum(x.w * y.w * d.d), 0) / 2, 9) AS kinship
+FROM listed l JOIN can p ON l.id1 = p.id JOIN can q ON l.id2 = q.id LEFT JOIN shares x ON x.id = p.self LEFT JOIN shares y ON y.id = q.self AND y.a = x.a LEFT JOIN d ON d.id = y.a
+GROUP BY l.id1, l.id2""")
+def pair_kinship_listed(spark, sf_dir):
+    ped = fx.pedigree(spark, sf_dir)
+    return _round(kinship.pair_kinship(ped, _listed(ped)), "kinship", places=9)
+
+
 @query("ne_variance", f"""WITH {fx.SQL_PED}, k AS (SELECT p, count(*) AS k FROM (SELECT mother AS p FROM ped UNION ALL SELECT father FROM ped) WHERE p >= 0 GROUP BY p),
 o AS (SELECT generation, coalesce(k, 0) AS k FROM ped LEFT JOIN k ON id = p WHERE generation < 5), s AS (SELECT generation, count(*) AS n, avg(k) AS m, var_samp(k) AS v FROM o GROUP BY generation)
 SELECT generation, n, round(m, 6) AS mean_k, round(v, 6) AS var_k, round(2.0 * n / ((v - m) * pow(2 / m, 2) + 2), 4) AS ne FROM s""")
