@@ -78,7 +78,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lineagelake.llm.common import written
     from lineagelake.llm.mixing import mix, words_in
 
-    docs = written(table(spark, sf_dir, "documents").select("doc_id", "source", words_in(F.col("text")).alias("size")))
+    docs = written(table(spark, sf_dir, "documents").select("doc_id", "source", words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("digest")))
     return mix(docs, size="size").select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 

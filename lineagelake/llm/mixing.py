@@ -15,7 +15,7 @@ max_repeat times its source's tokens and the excess is reshared by weight until
 
 Null texts have size 0; documents of size 0 take as many copies as their rate's floor. Null ids are documents like any
 other. Rows are judged one by one, so repeated rows may get different copies. Empty tables give empty results. Results
-depend on the rows only, never on their partitioning, but for rows equal in id, size and source, which are alike.
+depend on the rows only, never on their partitioning; rows equal in all columns are alike.
 Columns named size, source_size, target, copies or taken are replaced. DataFrame operations only.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from lineagelake.llm.common import WORD, written
 
@@ -88,7 +89,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     """
     base = docs.drop(*({"size", "source_size", "target", "copies", "taken"} - {size}))
     q = F.lit(1.0) if base_rate is None else base_rate.cast("double")
-    same = F.xxhash64(doc_id, source, size or text)
+    # of all columns, so that rows of one id (or none) that differ anywhere are told apart
+    same = F.xxhash64(*[F.to_json(c) if isinstance(base.schema[c].dataType, MapType) else c for c in sorted(base.columns)])
     count = F.col(size).cast("long") if size else words_in(F.col(text))
     numbered = F.row_number().over(Window.partitionBy("_h").orderBy("_h"))  # tells repeated rows apart
     slim = base.select(same.alias("_h"), count.alias("size"), F.col(source).cast("string").alias("_s"), q.alias("_q"))
@@ -113,7 +115,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     dealt = rated.groupBy("_s", "_b").agg(F.sort_array(F.collect_list(F.struct("size", "_h", "_k", "r")), asc=False).alias("docs"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     dealt = dealt.withColumn("copies", F.expr(fold)).select("source_size", "target", F.explode(F.arrays_zip("docs", "copies")).alias("z"))
     dealt = dealt.select("z.docs._h", "z.docs._k", "z.docs.size", "source_size", "target", "z.copies", (F.col("z.copies") * F.col("z.docs.size")).alias("taken"))
-    whole = base.drop("size").withColumn("_h", F.xxhash64(doc_id, source, size or text)) if not size else base.withColumn("_h", same).drop(size)
+    whole = base.withColumn("_h", same).drop(*([size] if size else []))
     return whole.withColumn("_k", numbered).join(dealt, ["_h", "_k"]).drop("_h", "_k")
 
 

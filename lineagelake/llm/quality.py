@@ -2,7 +2,7 @@
 
 1. Document evidence: a logistic model over the features of a text (words, runs of symbols, and shares of symbols, upper
    case, repeats and lengths in steps) for each label, learned from a bounded sample: the MAX_TRAIN_DOCS labelled rows
-   with the smallest hash. It has the KEPT_FEATURES features that tell the labels apart best. Its log-odds less those
+   with the smallest hash; a repeated id is learned from once, by the text of the smallest hash. It has the KEPT_FEATURES features that tell the labels apart best. Its log-odds less those
    of the sample's rate are the document's evidence.
 2. Sites and paths (a part of a site) gather, over all documents, labels where there are any, and else the classifier's
    probability with weight SOFT_WEIGHT, by grouped aggregation with map-side sums.
@@ -93,7 +93,10 @@ def _learn(rows: np.ndarray, cols: np.ndarray, n_cols: int, y: np.ndarray) -> tu
 def fit(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], doc_id: str = "doc_id", text: str = "text") -> dict[str, Evidence]:
     """labels: doc_id and a 0/1 column for each name. The bounded sample's kept features are learned from on the driver."""
     picked = labels.select(F.col(doc_id).alias("_d"), *[F.col(c).cast("int").alias(c) for c in names]).filter(F.col("_d").isNotNull()).orderBy(F.xxhash64("_d"), *names).limit(MAX_TRAIN_DOCS)
-    sample = docs.join(F.broadcast(picked), docs[doc_id] == F.col("_d")).select(F.col(text).cast("string").alias("t"), *names)
+    # one text for each labelled id, so that a repeated id doesn't grow the sample
+    ids = F.broadcast(picked.select("_d").distinct())
+    texts = docs.join(ids, docs[doc_id] == ids["_d"]).groupBy("_d").agg(F.min(F.struct(F.xxhash64(text), F.col(text).cast("string").alias("t"))).alias("least"))
+    sample = texts.join(F.broadcast(picked), "_d").select("least.t", *names)
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:

@@ -270,7 +270,8 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int = 2, doc_id: s
 
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = base.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one id, or without any, are dealt by their texts
+    ordered = base.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     return written(ordered.mapInArrow(lambda b: _segments(b, tokenizer_path, end_id, part_of), SEGMENT))
 
 

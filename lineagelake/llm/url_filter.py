@@ -56,6 +56,7 @@ class DigestIndex:
     blob: bytes
     allow: bytes
     path_lengths: tuple[int, ...]
+    longest_host: int
 
     @classmethod
     def build(cls, rules: list[tuple[str, bool]]) -> DigestIndex:
@@ -71,7 +72,8 @@ class DigestIndex:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
         allow = np.array(list(merged.values()), dtype=bool)[order] if len(order) else np.array([], dtype=bool)
         lengths = sorted({len(x) - len(x.split("/", 1)[0]) for x in merged})
-        return cls(digests[order].tobytes(), offsets.tobytes(), b"".join(texts), allow.tobytes(), tuple(lengths))
+        longest = max((len(x.split("/", 1)[0]) for x in merged), default=0)
+        return cls(digests[order].tobytes(), offsets.tobytes(), b"".join(texts), allow.tobytes(), tuple(lengths), longest)
 
     @property
     def size(self) -> int:
@@ -85,7 +87,7 @@ class MappedIndex:
     """A DigestIndex in a file of the task's own temporary folder, mapped into memory."""
 
     def __init__(self, index: DigestIndex):
-        self.n, self.path_lengths = len(index.keys) // 8, index.path_lengths
+        self.n, self.path_lengths, self.longest_host = len(index.keys) // 8, index.path_lengths, index.longest_host
         with tempfile.NamedTemporaryFile(prefix="digests-", delete=False) as out:
             out.write(index.keys + index.offsets + index.allow + index.blob)
         self.map = None
@@ -119,11 +121,10 @@ class MappedIndex:
         return self.map[at + self.offsets[row] : at + self.offsets[row + 1]]
 
 
-def candidates(host: str, path: str, path_lengths: tuple[int, ...]) -> list[str]:
-    """Host suffixes at label borders times the path prefixes whose length some rule has."""
-    if not host:
-        return []
-    hosts = [host] + [host[i + 1 :] for i, c in enumerate(host) if c == "."]
+def candidates(host: str, path: str, path_lengths: tuple[int, ...], longest_host: int) -> list[str]:
+    """Host suffixes at label borders, no longer than a rule's, times the path prefixes whose length some rule has."""
+    first = max(0, len(host) - longest_host)  # what starts before is longer than any rule's host
+    hosts = ([host] if host and not first else []) + [host[i + 1 :] for i in range(max(0, first - 1), len(host)) if host[i] == "."]
     paths = [path[:n] for n in path_lengths if n <= len(path)]
     return [h + p for h in hosts if h for p in paths]
 
@@ -139,7 +140,7 @@ def judge(pairs: list[tuple[str, str]], index: MappedIndex) -> list[tuple[str |
     distinct = list(dict.fromkeys(pairs))
     probes, owner = [], []
     for k, (host, path) in enumerate(distinct):
-        for c in candidates(host, path, index.path_lengths):
+        for c in candidates(host, path, index.path_lengths, index.longest_host):
             probes.append(c.encode())
             owner.append(k)
     best: dict[int, tuple[tuple[int, int], str, bool]] = {}
@@ -189,7 +190,10 @@ def _filter_sharded(base: DataFrame, rules: DataFrame, default: str) -> DataFram
     """The same result where the rules are too many for one executor: probes meet their shard of the array."""
     rules = rules.filter("rule is not null and rule != '' and rule not like '/%'").groupBy("rule").agg(F.min(F.coalesce("allow", F.lit(False))).alias("allow"))
     lengths = [r[0] for r in rules.select((F.length("rule") - F.length(F.split("rule", "/", 2)[0])).alias("n")).distinct().orderBy("n").collect()]
-    hosts = "filter(transform(sequence(0, length(host) - length(replace(host, '.', ''))), i -> substring_index(host, '.', -(i + 1))), h -> h != '')"
+    longest = rules.agg(F.max(F.length(F.split("rule", "/", 2)[0]))).first()[0] or 0
+    # of the host's end: a longer suffix than a rule's host fits none
+    end = f"right(host, {longest + 1})"
+    hosts = f"filter(transform(sequence(0, length({end}) - length(replace({end}, '.', ''))), i -> substring_index({end}, '.', -(i + 1))), h -> h != '' and length(h) <= {longest})"
     paths = f"transform(filter(array({','.join(f'{n}' for n in lengths) or '0'}), n -> n <= length(path)), n -> substring(path, 1, n))"
     pairs = base.filter("host != ''").select("host", "path").distinct()
     probes = pairs.select("host", "path", F.explode(F.expr(f"array_distinct(flatten(transform({hosts}, h -> transform({paths}, p -> concat(h, p)))))")).alias("rule"))

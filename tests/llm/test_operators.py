@@ -230,6 +230,41 @@ def test_lines_of_odd_tables(spark):
     assert line_dedup.drop_repeated_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_hosts_of_many_labels_take_linear_memory(spark):
+    import tracemalloc
+
+    host = "a." * 20_000 + "example.com"
+    tracemalloc.start()
+    found = url_filter.candidates(host, "/x/y", (1, 3), len("www.example.com"))
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20 and {"example.com/", "example.com/x/", "com/", "a.example.com/"} <= set(found) and all(len(c.split("/")[0]) <= 15 for c in found)
+    tracemalloc.stop()
+    df = spark.createDataFrame([(1, f"http://{host}/x/y"), (2, "http://www.example.com/x"), (3, "http://badexample.com/x"), (4, "http://example.com./x")], "page_id long, url string")
+    rules = [("example.com/x", False), ("www.example.com/", True)]
+    for limit in (url_filter.MAX_BROADCAST, 0):
+        got = {r.page_id: r.rule for r in url_filter.filter_urls(df, rules, max_broadcast=limit).collect()}
+        assert got == {1: "example.com/x", 2: "www.example.com/", 3: None, 4: None}
+
+
+def test_rows_of_one_id_are_dealt_by_their_texts(spark):
+    rows = [(None, f"text {i}") for i in range(2000)] + [(7, f"more {i}") for i in range(2000)]
+    import public_tokenizers
+
+    codes = token_codes.write_codes(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"))
+    index = token_codes.read_index(codes).collect()
+    assert len(index) == 4000 and sorted(r.start for r in index)[0] == 0
+    ends = sorted((r.start, r.start + r.n_tokens) for r in index)
+    assert all(a[1] == b[0] for a, b in zip(ends, ends[1:])) and max(r.start for r in index if r.doc_id is None) < min(r.start for r in index if r.doc_id == 7)
+    assert codes.select("part").distinct().count() >= 4
+
+
+def test_null_ids_of_one_source_and_size_mix_apart(spark):
+    df = spark.createDataFrame([(None, f"w{i} x", "a") for i in range(3000)] + [(i, "y z", "b") for i in range(9000)], "doc_id long, text string, source string")
+    out = mixing.mix(df)
+    assert out.count() == 12000
+    sums = {r.source: (r.t, r.g) for r in out.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()}
+    assert all(abs(t - g) <= 0.01 * g + 4 for t, g in sums.values())
+
+
 def test_a_text_of_many_lines_takes_linear_time(spark):
     rng = random.Random(6)
     lines = [f"{rng.random()} {i}" for i in range(100_000)]
