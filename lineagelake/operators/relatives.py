@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineagelake.operators.ranking import place_in_family
+
 #: code -> (up, down, common ancestors, least max_degree): fixed values; up/down in meioses.
 CODES = {
     "MZ": (0, 0, 0, 1), "MO": (1, 0, 1, 1), "FO": (1, 0, 1, 1), "FS": (1, 1, 2, 1), "MHS": (1, 1, 1, 1), "PHS": (1, 1, 1, 1),
@@ -44,30 +46,70 @@ def ancestors(edges: DataFrame, depth: int) -> dict[int, DataFrame]:
     return out
 
 
-def sibling_pairs(ped: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(full, maternal half, paternal half) as (id1, id2), id1 < id2; self equi-joins on the parents."""
-    a = ped.select(F.col("id").alias("id1"), F.col("mother").alias("m1"), F.col("father").alias("f1"), F.col("twin").alias("w1"))
-    b = ped.select(F.col("id").alias("id2"), F.col("mother").alias("m2"), F.col("father").alias("f2"), F.col("twin").alias("w2"))
-    order = F.col("id1") < F.col("id2")
+#: Children, or descendants at a distance, from which a person is heavy; children of a heavy parent that meet in a block.
+HEAVY, BLOCK = 512, 256
+
+
+def heavy_parents(ped: DataFrame) -> DataFrame:
+    """(parent) of more than HEAVY children."""
+    return ped.select(F.explode(F.array("mother", "father")).alias("parent")).filter("parent >= 0").groupBy("parent").agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select("parent")
+
+
+def _in_blocks(kids: DataFrame) -> DataFrame:
+    """Pairs of children of one parent, where these are many: children in blocks by id, each two blocks an own join key."""
+    placed = place_in_family(kids, "parent").withColumn("_b", F.expr(f"int((_k - 1) div {BLOCK})")).withColumn("_last", F.expr(f"int((_m - 1) div {BLOCK})"))
+    one = placed.select("parent", F.struct("id", "other", "twin").alias("p1"), F.col("_b").alias("b1"), F.explode(F.sequence("_b", "_last")).alias("b2"))
+    two = placed.select("parent", F.struct("id", "other", "twin").alias("p2"), F.col("_b").alias("b2"), F.explode(F.sequence(F.lit(0), "_b")).alias("b1"))
+    return one.join(two, ["parent", "b1", "b2"]).filter("p1.id < p2.id").select("p1", "p2")
+
+
+def same_parent_pairs(ped: DataFrame, parent: str, heavy: DataFrame | None) -> DataFrame:
+    """(p1, p2), structs (id, other, twin) with p1.id < p2.id, of the children of one mother (or father); other: the other parent."""
+    kids = ped.filter(F.col(parent) >= 0).select("id", F.col(parent).alias("parent"), F.col("father" if parent == "mother" else "mother").alias("other"), "twin")
+    light = kids if heavy is None else kids.join(heavy, "parent", "left_anti")
+    one = lambda df, c: df.select("parent", F.struct("id", "other", "twin").alias(c))
+    pairs = one(light, "p1").join(one(light, "p2"), "parent").filter("p1.id < p2.id").select("p1", "p2")
+    return pairs if heavy is None else pairs.unionByName(_in_blocks(kids.join(heavy, "parent", "left_semi")))
+
+
+def sibling_pairs(ped: DataFrame, heavy: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(full, maternal half, paternal half) as (id1, id2), id1 < id2; self equi-joins on the parents.
+
+    heavy: parents whose children are dealt in blocks, as heavy_parents gives them.
+    """
     pair = ["id1", "id2"]
-    full = a.filter("m1 >= 0 and f1 >= 0").join(b, (F.col("m1") == F.col("m2")) & (F.col("f1") == F.col("f2")) & order).filter("not (w1 = id2 and w2 = id1)").select(*pair)
-    mhs = a.filter("m1 >= 0").join(b, (F.col("m1") == F.col("m2")) & order & ((F.col("f1") != F.col("f2")) | (F.col("f1") < 0))).filter("not (w1 = id2 and w2 = id1)").select(*pair)
-    phs = a.filter("f1 >= 0").join(b, (F.col("f1") == F.col("f2")) & order & ((F.col("m1") != F.col("m2")) | (F.col("m1") < 0))).filter("not (w1 = id2 and w2 = id1)").select(*pair)
-    return full, mhs, phs
+    no_twins = "not (p1.twin = p2.id and p2.twin = p1.id)"
+    ids = (F.col("p1.id").alias("id1"), F.col("p2.id").alias("id2"))
+    of_mother = same_parent_pairs(ped, "mother", heavy).filter(no_twins)
+    full = of_mother.filter("p1.other = p2.other and p1.other >= 0").select(*ids)
+    mhs = of_mother.filter("p1.other != p2.other or p1.other < 0").select(*ids)
+    phs = same_parent_pairs(ped, "father", heavy).filter(no_twins).filter("p1.other != p2.other or p1.other < 0").select(*ids)
+    return full.select(*pair), mhs.select(*pair), phs.select(*pair)
+
+
+def _dealt_join(left: DataFrame, right: DataFrame, key: str, dealt: bool) -> DataFrame:
+    """An equi-join of left with right (id, key); where dealt, the right rows of a heavy key go to several tasks, with copies of the left ones."""
+    if not dealt:
+        return left.join(right, key)
+    parts = right.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select(key, F.ceil(F.col("n") / HEAVY).cast("int").alias("_parts"))
+    n = F.coalesce("_parts", F.lit(1))
+    one = left.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    two = right.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(*[c for c in right.columns if c != key]), n).cast("int")).drop("_parts")
+    return one.join(two, [key, "_part"]).drop("_part")
 
 
 def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("id1"), F.greatest(a, b).alias("id2")).distinct()
 
 
-def _through(sibs: DataFrame, left: DataFrame | None, right: DataFrame) -> DataFrame:
+def _through(sibs: DataFrame, left: DataFrame | None, right: DataFrame, dealt: bool = False) -> DataFrame:
     """Pairs of (x's descendant or x, y's descendant) over both directions of the sibling pairs (x, y)."""
     both = sibs.select(F.col("id1").alias("x"), F.col("id2").alias("y")).unionByName(sibs.select(F.col("id2").alias("x"), F.col("id1").alias("y")))
     far = right.select(F.col("id").alias("b"), F.col("ancestor").alias("y"))
-    out = both.join(far, "y")
+    out = _dealt_join(both, far, "y", dealt)
     if left is None:
         return _ordered(out, "x", "b")
-    return _ordered(out.join(left.select(F.col("id").alias("a"), F.col("ancestor").alias("x")), "x"), "a", "b")
+    return _ordered(_dealt_join(out, left.select(F.col("id").alias("a"), F.col("ancestor").alias("x")), "x", dealt), "a", "b")
 
 
 def extract_pairs(ped: DataFrame, max_degree: int = 2, sample: DataFrame | None = None, codes: tuple[str, ...] | None = None) -> DataFrame:
@@ -83,7 +125,10 @@ def extract_pairs(ped: DataFrame, max_degree: int = 2, sample: DataFrame | None
         wanted = wanted[: max((i + 1 for i, c in enumerate(wanted) if c in codes), default=0)]
     edges = parent_edges(ped)
     anc = ancestors(edges, {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}[max_degree])
-    fs, mhs, phs = sibling_pairs(ped)
+    heavy = heavy_parents(ped)
+    heavy = None if heavy.isEmpty() else heavy
+    dealt = heavy is not None
+    fs, mhs, phs = sibling_pairs(ped, heavy)
     hs = mhs.unionByName(phs).distinct()
     older = lambda k: anc[k].select(F.col("id").alias("id1"), F.col("ancestor").alias("id2"))
     make = {
@@ -92,10 +137,10 @@ def extract_pairs(ped: DataFrame, max_degree: int = 2, sample: DataFrame | None
         "FO": lambda: edges.filter("role = 'F'").select(F.col("child").alias("id1"), F.col("parent").alias("id2")),
         "FS": lambda: fs, "MHS": lambda: mhs, "PHS": lambda: phs,
         "GP": lambda: older(2), "GGP": lambda: older(3), "GGGP": lambda: older(4), "G3GP": lambda: older(5),
-        "Av": lambda: _through(fs, None, anc[1]), "GAv": lambda: _through(fs, None, anc[2]), "GGAv": lambda: _through(fs, None, anc[3]), "G3Av": lambda: _through(fs, None, anc[4]),
-        "HAv": lambda: _through(hs, None, anc[1]), "HGAv": lambda: _through(hs, None, anc[2]), "HGGAv": lambda: _through(hs, None, anc[3]),
-        "1C": lambda: _through(fs, anc[1], anc[1]), "H1C": lambda: _through(hs, anc[1], anc[1]),
-        "1C1R": lambda: _through(fs, anc[1], anc[2]), "H1C1R": lambda: _through(hs, anc[1], anc[2]), "1C2R": lambda: _through(fs, anc[1], anc[3]), "2C": lambda: _through(fs, anc[2], anc[2]),
+        "Av": lambda: _through(fs, None, anc[1], dealt), "GAv": lambda: _through(fs, None, anc[2], dealt), "GGAv": lambda: _through(fs, None, anc[3], dealt), "G3Av": lambda: _through(fs, None, anc[4], dealt),
+        "HAv": lambda: _through(hs, None, anc[1], dealt), "HGAv": lambda: _through(hs, None, anc[2], dealt), "HGGAv": lambda: _through(hs, None, anc[3], dealt),
+        "1C": lambda: _through(fs, anc[1], anc[1], dealt), "H1C": lambda: _through(hs, anc[1], anc[1], dealt),
+        "1C1R": lambda: _through(fs, anc[1], anc[2], dealt), "H1C1R": lambda: _through(hs, anc[1], anc[2], dealt), "1C2R": lambda: _through(fs, anc[1], anc[3], dealt), "2C": lambda: _through(fs, anc[2], anc[2], dealt),
     }
     ranked = [make[c]().withColumn("rank", F.lit(i)) for i, c in enumerate(CODES) if c in wanted]
     if not ranked:

@@ -186,7 +186,7 @@ REPAIRS = 2
 
 def _placed(slots: DataFrame, n: int) -> DataFrame:
     """(id, place): places by s0, or by s1 within bands of sqrt(n) places of s0."""
-    ranked = rank_score(slots, F.col("s0"), "q")
+    ranked = rank_score(slots, F.col("s0"), "q", distinct_ids=False)
     if "s1" not in slots.columns:
         return ranked.select("id", F.col("q_rank").alias("place"))
     width = max(1, math.isqrt(n))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineagelake.functions import rng
 from lineagelake.operators import correlations as cor
+from lineagelake.operators import families
 from lineagelake.operators import relatives as rel
 from lineagelake.plans.registry import phi_sql, query
 from lineagelake.sources import fixture as fx
@@ -58,6 +59,24 @@ def pair_counts_subsample(spark, sf_dir):
     return rel.count_pairs(rel.extract_pairs(ped, 2, sample=ped.filter(rng.integer("S", F.col("id")) % 3 == 0)))
 
 
+_CLOSE = "rel IN ('MZ', 'MO', 'FO', 'FS', 'MHS', 'PHS')"
+
+
+@query("pair_counts_by_family", PAIRS + f"SELECT rel, count(*) AS n_pairs FROM pairs WHERE {_CLOSE} GROUP BY rel")
+def pair_counts_by_family(spark, sf_dir):
+    return families.family_pair_counts(fx.pedigree(spark, sf_dir))
+
+
+@query("liability_corr_by_family", VALUES + f"SELECT rel, trait, count(*) AS n_pairs, round(CASE WHEN count(*) >= 10 THEN corr(l1, l2) END, 6) AS r FROM pv WHERE {_CLOSE} GROUP BY rel, trait")
+def liability_corr_by_family(spark, sf_dir):
+    return _round(families.family_correlations(fx.liabilities(fx.pedigree(spark, sf_dir))), "r")
+
+
+@query("twobytwo_by_family", VALUES + f"SELECT rel, trait, {_CELLS} FROM pv WHERE {_CLOSE} GROUP BY rel, trait")
+def twobytwo_by_family(spark, sf_dir):
+    return families.family_two_by_two(fx.censored(spark, sf_dir))
+
+
 def _deep_sql(hops: int) -> str:
     out = ", a1 AS (SELECT DISTINCT child AS id, parent AS anc FROM edges)"
     for k in range(2, hops + 1):
