@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import uuid
 from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
 from lineagelake.functions import hazards, rng
 from lineagelake.functions.mathx import NDTRI_A, NDTRI_B, NDTRI_BREAK, NDTRI_C, NDTRI_D, dempster_lerner, ndtri, norm_cdf
-from lineagelake.operators import compare, genes, kinship, phenotypes, relatives, sampling, simulate, validate
-from lineagelake.plans.registry import phi_sql, query
+from lineagelake.operators import compare, genes, genome_sweep, kinship, phenotypes, relatives, sampling, simulate, stores, validate
+from lineagelake.operators.checkpoints import shared_folder
+from lineagelake.plans.registry import SQL, phi_sql, query
 from lineagelake.sources import fixture as fx
 
 LIAB = f"WITH {fx.SQL_LIAB} "
@@ -326,10 +328,79 @@ def _samples_sql(generations: int) -> str:
 @query("sample_allele_counts", f"WITH {fx.SQL_PED}, {_samples_sql(fx.GENERATIONS)} SELECT n0.site_id, count(n5.node) AS \"AC\" FROM n0 LEFT JOIN n5 ON n0.site_id = n5.site_id GROUP BY n0.site_id")
 def sample_allele_counts(spark, sf_dir):
     """Each founder's node has a mutation; two trees, of the mothers and of the fathers, and the last generation as samples."""
+    return genes.sample_counts(*_two_trees(spark, sf_dir))
+
+
+def _two_trees(spark, sf_dir):
+    """The mothers' tree left of 50 and the fathers' right of it; each founder's node has a mutation, the last generation are samples."""
     ped = fx.pedigree(spark, sf_dir)
     edges = relatives.parent_edges(ped).select("parent", "child", F.when(F.col("role") == "M", 0).otherwise(50).alias("left"), F.when(F.col("role") == "M", 50).otherwise(100).alias("right"))
     mutations = ped.filter("generation = 0").select(F.col("id").alias("site_id"), (F.col("id") % 100).alias("position"), F.col("id").alias("node"))
-    return genes.sample_counts(edges, mutations, ped.filter(F.col("generation") == fx.GENERATIONS - 1).select(F.col("id").alias("node")))
+    return edges, mutations, ped.filter(F.col("generation") == fx.GENERATIONS - 1).select(F.col("id").alias("node"))
+
+
+@query("allele_counts_by_sweep", SQL["sample_allele_counts"])
+def allele_counts_by_sweep(spark, sf_dir):
+    return genome_sweep.allele_counts(*_two_trees(spark, sf_dir))
+
+
+@query("gv_over_edges", f"WITH {fx.SQL_PED}, {_samples_sql(fx.GENERATIONS)}, gv AS (SELECT node, sum({fx._z('beta', 'site_id')}) AS v FROM n5 GROUP BY node) SELECT 0 AS trait_id, id AS individual, round(coalesce(v, 0), 6) AS genetic_value FROM ped LEFT JOIN gv ON id = node WHERE generation = {fx.GENERATIONS - 1}")
+def gv_over_edges(spark, sf_dir):
+    edges, mutations, samples = _two_trees(spark, sf_dir)
+    effects = mutations.withColumns({"trait_id": F.lit(0), "effect_size": rng.sum_normal("beta", F.col("site_id"))})
+    return _round(genome_sweep.edge_genetic_values(edges, effects, samples.withColumn("individual", F.col("node"))), "genetic_value")
+
+
+# stored results
+
+
+@query("verify_golden", """WITH golden AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_nationkey AS BIGINT) AS nation, CAST(c_acctbal AS DOUBLE) AS balance, c_mktsegment AS segment FROM customer),
+found AS (
+  SELECT id, CASE WHEN id % 13 = 0 THEN NULL ELSE nation END AS nation, CASE WHEN id % 7 = 0 THEN balance + 1 ELSE balance END AS balance, segment FROM golden WHERE id % 11 != 0
+  UNION ALL SELECT id + 1000000, nation, balance, segment FROM golden WHERE id % 17 = 0)
+SELECT * FROM (
+  SELECT CASE WHEN f.id IS NULL THEN 'missing' WHEN g.id IS NULL THEN 'extra' WHEN f.nation IS DISTINCT FROM g.nation OR f.balance IS DISTINCT FROM g.balance THEN 'changed' END AS status, coalesce(f.id, g.id) AS id,
+         CASE WHEN f.id IS NULL OR g.id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN f.balance IS DISTINCT FROM g.balance THEN 'balance' END, CASE WHEN f.nation IS DISTINCT FROM g.nation THEN 'nation' END) END AS columns
+  FROM found f FULL JOIN golden g ON f.id = g.id) WHERE status IS NOT NULL""")
+def verify_golden(spark, sf_dir):
+    """The customer table against one with rows changed, missing and added."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    golden = c.select(F.col("c_custkey").cast("long").alias("id"), F.col("c_nationkey").cast("long").alias("nation"), F.col("c_acctbal").cast("double").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    found = golden.filter("id % 11 != 0").withColumns({"nation": F.when(F.col("id") % 13 != 0, F.col("nation")), "balance": F.when(F.col("id") % 7 == 0, F.col("balance") + 1).otherwise(F.col("balance"))})
+    found = found.unionByName(golden.filter("id % 17 = 0").withColumn("id", F.col("id") + 1000000))
+    return stores.verify(found, golden, ["id"]).select("status", "id", F.array_join("columns", ",").alias("columns"))
+
+
+def _fresh_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("gv_from_store", _GV + "SELECT individual, 0 AS trait_id, round(genetic_value, 6) AS genetic_value, 1 AS times_made FROM gv")
+def gv_from_store(spark, sf_dir):
+    """Genetic values that are made once, though asked for twice."""
+    store = stores.StageStore(spark, _fresh_folder(spark, "stages"))
+    inputs = {"genotypes": _genotypes(spark, sf_dir)}
+    for _ in range(2):
+        values = store.stage("values", lambda: _values(spark, sf_dir), inputs, {"effects": "beta"})
+    return _round(values, "genetic_value").withColumn("times_made", F.lit(len(store.made)))
+
+
+def _site_store(spark, sf_dir):
+    sites = _catalog(spark, sf_dir)[1].select("CHR", F.col("site_id").alias("POS"), "AC")
+    return stores.SiteStore.write(sites, _fresh_folder(spark, "sites"))
+
+
+_NUMBERED = _GENO + ', s AS (SELECT CHR AS "CHR", site_id AS "POS", AC AS "AC", row_number() OVER (ORDER BY CHR, site_id) - 1 AS number FROM cat)'
+
+
+@query("site_store_numbers", _NUMBERED + " SELECT * FROM s")
+def site_store_numbers(spark, sf_dir):
+    return _site_store(spark, sf_dir).all()
+
+
+@query("site_store_range", _NUMBERED + ' SELECT * FROM s WHERE "CHR" = 7 AND "POS" >= 100 AND "POS" < 1500')
+def site_store_range(spark, sf_dir):
+    return _site_store(spark, sf_dir).between(7, 100, 1500)
 
 
 @query("population_nodes", "SELECT CAST(c_custkey AS BIGINT) AS node FROM customer WHERE c_nationkey = 7")
