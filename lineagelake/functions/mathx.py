@@ -40,6 +40,12 @@ def ndtri(p: Column) -> Column:
     return F.when((p > 0) & (p < NDTRI_BREAK), tail_low).when((p >= NDTRI_BREAK) & (p <= 1 - NDTRI_BREAK), central).when((p > 1 - NDTRI_BREAK) & (p < 1), tail_high)
 
 
+def liability_scale(k: Column) -> Column:
+    """k (1 - k) / z^2, from the observed to the liability scale at prevalence k; null unless 0 < k < 1."""
+    z = F.exp(-F.pow(ndtri(k), F.lit(2)) / 2) / F.lit((2 * math.pi) ** 0.5)
+    return F.when((k > 0) & (k < 1), k * (1 - k) / (z * z))
+
+
 def erfc(x: Column) -> Column:
     """Complementary error function by Clenshaw's recurrence on a Chebyshev series."""
     z = F.abs(x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineagelake.functions.mathx import ndtri, p_value, safe_corr
+from lineagelake.functions.mathx import liability_scale, p_value, safe_corr
 from lineagelake.functions.tetrachoric import tetrachoric
 
 MIN_PAIRS = 10
@@ -110,8 +110,7 @@ def observed_and_liability_h2(people: DataFrame, pairs: DataFrame) -> DataFrame:
     found = observed_h2(phi(people, pairs)).select("trait", F.col("falconer").alias("observed"))
     rows = [F.struct(F.lit(n).alias("trait"), F.col(f"affected{n}").alias("a")) for n in (1, 2)]
     k = people.select(F.inline(F.array(*rows))).groupBy("trait").agg(F.avg(F.col("a").cast("double")).alias("prevalence"))
-    z = F.exp(-F.pow(ndtri(F.col("prevalence")), F.lit(2)) / 2) / F.lit((2 * 3.141592653589793) ** 0.5)
-    factor = F.when((F.col("prevalence") > 0) & (F.col("prevalence") < 1), F.col("prevalence") * (1 - F.col("prevalence")) / (z * z))
+    factor = liability_scale(F.col("prevalence"))
     return k.join(found, "trait", "left").select("trait", "prevalence", "observed", (F.col("observed") * factor).alias("liability"))
 
 

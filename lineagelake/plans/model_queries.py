@@ -9,10 +9,10 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from lineagelake.functions import hazards, rng
-from lineagelake.functions.mathx import NDTRI_A, NDTRI_B, NDTRI_BREAK, NDTRI_C, NDTRI_D, dempster_lerner, ndtri, norm_cdf
+from lineagelake.functions.mathx import liability_scale, ndtri, norm_cdf
 from lineagelake.operators import compare, genes, genome_sweep, kinship, phenotypes, relatives, sampling, simulate, stores, validate
 from lineagelake.operators.checkpoints import shared_folder
-from lineagelake.plans.registry import SQL, phi_sql, query
+from lineagelake.plans.registry import SQL, ndtri_sql, phi_sql, query
 from lineagelake.sources import fixture as fx
 
 LIAB = f"WITH {fx.SQL_LIAB} "
@@ -66,20 +66,6 @@ _BASE = {
 }
 
 
-def _poly(x: str, coefficients: tuple) -> str:
-    out = D(coefficients[0])
-    for c in coefficients[1:]:
-        out = f"({out} * ({x}) + {D(c)})"
-    return out
-
-
-def _ndtri_sql(p: str) -> str:
-    """The same rational approximation in SQL."""
-    q, low, high = f"({p} - 0.5)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
-    central = f"{q} * {_poly(f'{q} * {q}', NDTRI_A)} / {_poly(f'{q} * {q}', NDTRI_B)}"
-    return f"CASE WHEN {p} < {D(NDTRI_BREAK)} THEN {_poly(low, NDTRI_C)} / {_poly(low, NDTRI_D)} WHEN {p} <= {D(1 - NDTRI_BREAK)} THEN {central} ELSE -{_poly(high, NDTRI_C)} / {_poly(high, NDTRI_D)} END"
-
-
 def _h_sql(name: str, h: str) -> str:
     p = {k: D(v) for k, v in _BASE[name].items()}
     clamp = lambda x: f"least(1e6, greatest(1e-10, {x}))"
@@ -97,13 +83,22 @@ _E = f"-ln({fx._u('onset1.e', 'id')})"
 _STD = "(liability1 - avg(liability1) OVER ()) / stddev_pop(liability1) OVER ()"
 for _name in _BASE:
     if _name == "lognormal":
-        _sql = LIAB + f", x AS (SELECT id, exp(-({_E}) / exp({D(0.8)} * ({_STD}) + {D(0.2)} * sex)) AS s FROM liab), c AS (SELECT id, greatest(1e-300, least(s, {D(1 - 1e-16)})) AS p, s FROM x) SELECT id, round(CASE WHEN s <= 0 THEN 1e6 ELSE least(1e6, greatest(1e-10, exp({D(4.5)} - {D(0.6)} * ({_ndtri_sql('p')})))) END, 3) AS t1 FROM c"
+        _sql = LIAB + f", x AS (SELECT id, exp(-({_E}) / exp({D(0.8)} * ({_STD}) + {D(0.2)} * sex)) AS s FROM liab), c AS (SELECT id, greatest(1e-300, least(s, {D(1 - 1e-16)})) AS p, s FROM x) SELECT id, round(CASE WHEN s <= 0 THEN 1e6 ELSE least(1e6, greatest(1e-10, exp({D(4.5)} - {D(0.6)} * ({ndtri_sql('p')})))) END, 3) AS t1 FROM c"
     else:
         _sql = LIAB + f", x AS (SELECT id, {_E} / exp({D(0.8)} * ({_STD}) + {D(0.2)} * sex) AS h FROM liab) SELECT id, round({_h_sql(_name, 'h')}, 3) AS t1 FROM x"
     query(f"frailty_{_name}", _sql)(lambda spark, sf_dir, n=_name: _model(spark, sf_dir, phenotypes.Frailty(beta=0.8, beta_sex=0.2, hazard=n, params=_BASE[n])))
 
 
-@query("frailty_gamma")
+#: A whole shape: the tail is a Poisson sum, inverted by halving.
+_GAMMA = LIAB.replace("WITH ", "WITH RECURSIVE ", 1) + f""", x AS (SELECT id, {_E} / exp({D(0.8)} * ({_STD})) AS h FROM liab),
+b AS (
+  SELECT id, h, CAST(-30 AS DOUBLE) AS lo, CAST(8 AS DOUBLE) AS hi, 0 AS n FROM x
+  UNION ALL SELECT id, h, CASE WHEN less THEN mid ELSE lo END, CASE WHEN less THEN hi ELSE mid END, n + 1
+  FROM (SELECT *, exp(mid) - ln(1 + exp(mid) + exp(2 * mid) / 2 + exp(3 * mid) / 6) < h AS less FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE n < 60)))
+SELECT id, round(least(1e6, greatest(1e-10, {D(20.0)} * exp(lo))), 3) AS t1 FROM b WHERE n = 60"""
+
+
+@query("frailty_gamma", _GAMMA)
 def frailty_gamma(spark, sf_dir):
     return _model(spark, sf_dir, phenotypes.Frailty(beta=0.8, hazard="gamma", params={"shape": 4.0, "scale": 20.0}))
 
@@ -147,6 +142,8 @@ for _name, _sql in (
     _p = {"params": _BASE["weibull"]} if _name == "mixture_cure_frailty" else {}
     query(f"model_{_name}", _TAIL + f"SELECT id, round({_sql}, 3) AS t1 FROM x")(lambda spark, sf_dir, n=_name, p=_p: _model(spark, sf_dir, phenotypes.make_model(n, prevalence=0.15, **p)))
 
+#: Ages of 1 to 120, one for each part.
+_AGES = "WITH g AS (SELECT CAST(p_partkey AS BIGINT) AS id, CAST(p_size + p_partkey % 71 AS DOUBLE) AS t FROM part)"
 _TERMS_SQL = {
     "weibull": ("ln({rho} / {scale}) + ({rho} - 1) * ln(t / {scale})", "pow(t / {scale}, {rho})"), "exponential": ("ln({rate})", "{rate} * t"),
     "gompertz": ("ln({rate}) + {gamma} * t", "{rate} / {gamma} * (exp({gamma} * t) - 1)"), "loglogistic": ("ln({shape}) - ln(t) + u - ln(1 + exp(u))", "ln(1 + exp(u))"),
@@ -154,21 +151,21 @@ _TERMS_SQL = {
 for _name, _params in {**_BASE, "gamma": {"shape": 4.0, "scale": 20.0}, "first_passage": {"drift": -0.08, "shape": 25.0}}.items():
 
     def _terms(spark, sf_dir, n=_name, p=_params):
-        ages = spark.range(1, 121).select(F.col("id").cast("double").alias("t"))
+        ages = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") + F.col("p_partkey") % 71).cast("double").alias("t"))
         log_h, cum = hazards.terms(n, F.col("t"), **p)
-        return ages.select("t", F.round(log_h, 6).alias("log_hazard"), F.round(cum, 6).alias("cumulative"))
+        return ages.select("id", "t", F.round(log_h, 6).alias("log_hazard"), F.round(cum, 6).alias("cumulative"))
 
-    _sql, _log = None, "WITH g AS (SELECT CAST(range AS DOUBLE) AS t FROM range(1, 121))"
+    _sql, _log = None, _AGES
     if _name == "lognormal":
-        _sql = f"{_log}, x AS (SELECT t, (ln(t) - {D(4.5)}) / {D(0.6)} AS z FROM g), y AS (SELECT t, z, ln(1 - {phi_sql('z')}) AS s FROM x) SELECT t, round(-z * z / 2 - ln({D(0.6)} * sqrt(2 * pi())) - ln(t) - s, 6) AS log_hazard, round(-s, 6) AS cumulative FROM y"
+        _sql = f"{_log}, x AS (SELECT id, t, (ln(t) - {D(4.5)}) / {D(0.6)} AS z FROM g), y AS (SELECT id, t, z, ln(1 - {phi_sql('z')}) AS s FROM x) SELECT id, t, round(-z * z / 2 - ln({D(0.6)} * sqrt(2 * pi())) - ln(t) - s, 6) AS log_hazard, round(-s, 6) AS cumulative FROM y"
     if _name == "gamma":  # a whole shape: the tail is a Poisson sum
-        _sql = f"{_log}, x AS (SELECT t, t / {D(20.0)} AS v FROM g), y AS (SELECT t, v, ln(1 + v + v * v / 2 + v * v * v / 6) - v AS s FROM x) SELECT t, round(3 * ln(v) - v - ln(6) - s - ln({D(20.0)}), 6) AS log_hazard, round(-s, 6) AS cumulative FROM y"
+        _sql = f"{_log}, x AS (SELECT id, t, t / {D(20.0)} AS v FROM g), y AS (SELECT id, t, v, ln(1 + v + v * v / 2 + v * v * v / 6) - v AS s FROM x) SELECT id, t, round(3 * ln(v) - v - ln(6) - s - ln({D(20.0)}), 6) AS log_hazard, round(-s, 6) AS cumulative FROM y"
     if _name == "first_passage":
-        _sql = f"{_log}, x AS (SELECT t, ({D(5.0)} + {D(0.08)} * t) / sqrt(t) AS a, (-{D(5.0)} + {D(0.08)} * t) / sqrt(t) AS b FROM g), y AS (SELECT t, a, ln(greatest(1e-300, {phi_sql('a')} - exp({D(2 * 5.0 * -0.08)}) * {phi_sql('b')})) AS s FROM x) SELECT t, round(ln({D(5.0)} / sqrt(2 * pi())) - 1.5 * ln(t) - a * a / 2 - s, 6) AS log_hazard, round(-s, 6) AS cumulative FROM y"
+        _sql = f"{_log}, x AS (SELECT id, t, ({D(5.0)} + {D(0.08)} * t) / sqrt(t) AS a, (-{D(5.0)} + {D(0.08)} * t) / sqrt(t) AS b FROM g), y AS (SELECT id, t, a, ln(greatest(1e-300, {phi_sql('a')} - exp({D(2 * 5.0 * -0.08)}) * {phi_sql('b')})) AS s FROM x) SELECT id, t, round(ln({D(5.0)} / sqrt(2 * pi())) - 1.5 * ln(t) - a * a / 2 - s, 6) AS log_hazard, round(-s, 6) AS cumulative FROM y"
     if _name in _TERMS_SQL:
         _p = {k: D(v) for k, v in _params.items()}
         _u = f", {_p['shape']} * ln(t / {_p['scale']}) AS u" if _name == "loglogistic" else ""
-        _sql = f"WITH g AS (SELECT CAST(range AS DOUBLE) AS t FROM range(1, 121)), x AS (SELECT t{_u} FROM g) SELECT t, round({_TERMS_SQL[_name][0].format(**_p)}, 6) AS log_hazard, round({_TERMS_SQL[_name][1].format(**_p)}, 6) AS cumulative FROM x"
+        _sql = f"{_log}, x AS (SELECT id, t{_u} FROM g) SELECT id, t, round({_TERMS_SQL[_name][0].format(**_p)}, 6) AS log_hazard, round({_TERMS_SQL[_name][1].format(**_p)}, 6) AS cumulative FROM x"
     query(f"hazard_terms_{_name}", _sql)(_terms)
 
 
@@ -185,22 +182,28 @@ def rank_scores(spark, sf_dir):
     return simulate.rank_score(_liab(spark, sf_dir), F.col("liability1"), "score").select("id", F.round("score", 9).alias("score"))
 
 
-@query("quantile_normal_scores", LIAB + f", q AS (SELECT id, row_number() OVER (ORDER BY liability1, id) / (count(*) OVER () + 1) AS p FROM liab) SELECT id, round({_ndtri_sql('p')}, 6) AS score FROM q")
+@query("quantile_normal_scores", LIAB + f", q AS (SELECT id, row_number() OVER (ORDER BY liability1, id) / (count(*) OVER () + 1) AS p FROM liab) SELECT id, round({ndtri_sql('p')}, 6) AS score FROM q")
 def quantile_normal(spark, sf_dir):
     return simulate.quantile_normal(_liab(spark, sf_dir), "liability1").select("id", F.round("score", 6).alias("score"))
 
 
-@query("normal_functions", f"WITH g AS (SELECT CAST(range AS DOUBLE) / 20 AS x FROM range(-100, 101)) SELECT x, round({phi_sql('x')}, 9) AS cdf, round(x, 5) AS back FROM g")
+@query("normal_functions", f"WITH g AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST(floor(c_acctbal) AS BIGINT) % 4000 / CAST(1000 AS DOUBLE) AS x FROM customer), d AS (SELECT x, {phi_sql('x')} AS p FROM (SELECT DISTINCT x FROM g)) SELECT id, x, round(p, 9) AS cdf, round(x, 5) AS back FROM g JOIN d USING (x)")
 def normal_functions(spark, sf_dir):
-    """The normal distribution function by erfc, and the argument back from it by the inverse, to five places."""
-    x = spark.range(-100, 101).select((F.col("id").cast("double") / 20).alias("x"))
+    """The normal distribution function by erfc of a value of each customer, and the argument back from it by the inverse, to five places."""
+    x = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), (F.floor("c_acctbal").cast("long") % 4000 / F.lit(1000.0)).alias("x"))
     p = norm_cdf(F.col("x"))
-    return x.select("x", F.round(p, 9).alias("cdf"), F.round(ndtri(p), 5).alias("back"))
+    return x.select("id", "x", F.round(p, 9).alias("cdf"), F.round(ndtri(p), 5).alias("back"))
+
+
+_Z2 = f"pow(exp(-pow({ndtri_sql('k')}, 2) / 2) / sqrt(2 * pi()), 2)"
 
 
-@query("dempster_lerner_table", f"WITH RECURSIVE b AS (SELECT range AS i, range / 100 AS k, CAST(-9 AS DOUBLE) AS lo, CAST(9 AS DOUBLE) AS hi, 0 AS n FROM range(1, 51) UNION ALL SELECT i, k, CASE WHEN 1 - {phi_sql('(lo + hi) / 2')} > k THEN (lo + hi) / 2 ELSE lo END, CASE WHEN 1 - {phi_sql('(lo + hi) / 2')} > k THEN hi ELSE (lo + hi) / 2 END, n + 1 FROM b WHERE n < 60) SELECT k AS prevalence, round(k * (1 - k) / pow(exp(-lo * lo / 2) / sqrt(2 * pi()), 2), 7) AS factor FROM b WHERE n = 60")
+@query("dempster_lerner_table", CENS + f", p AS (SELECT generation, trait, avg(CAST(a AS DOUBLE)) AS k FROM (SELECT generation, 1 AS trait, affected1 AS a FROM cens UNION ALL SELECT generation, 2, affected2 FROM cens) GROUP BY ALL) SELECT generation, trait, round(k, 6) AS prevalence, round(CASE WHEN k > 0 AND k < 1 THEN k * (1 - k) / {_Z2} END, 5) AS factor FROM p")
 def dempster_lerner_table(spark, sf_dir):
-    return spark.createDataFrame([(k / 100, round(dempster_lerner(k / 100), 7)) for k in range(1, 51)], "prevalence double, factor double")
+    """From the observed to the liability scale, at each generation's prevalence."""
+    rows = [F.struct(F.lit(n).alias("trait"), F.col(f"affected{n}").alias("a")) for n in (1, 2)]
+    k = fx.censored(spark, sf_dir).select("generation", F.inline(F.array(*rows))).groupBy("generation", "trait").agg(F.avg(F.col("a").cast("double")).alias("prevalence"))
+    return _round(k.withColumn("factor", F.round(liability_scale(F.col("prevalence")), 5)), "prevalence")
 
 
 # sampling
@@ -282,9 +285,14 @@ def gv_rescale(spark, sf_dir):
     return _round(genes.rescale(_values(spark, sf_dir), 0.5), "genetic_value", places=5)
 
 
-@query("gv_with_noise")
+_NOISE_KEY = "(individual || '|0')"
+
+
+@query("gv_with_noise", _GV + f""", r AS (SELECT individual, (genetic_value - (SELECT avg(genetic_value) FROM gv)) * sqrt(CAST(0.5 AS DOUBLE) / (SELECT var_pop(genetic_value) FROM gv)) AS g FROM gv),
+n AS (SELECT individual, g, (SELECT sqrt(var_pop(g)) FROM r) * sqrt(-2 * ln({fx._u('noise.r', _NOISE_KEY)})) * cos(2 * pi() * {fx._u('noise.a', _NOISE_KEY)}) AS e FROM r)
+SELECT individual, 0 AS trait_id, round(g, 5) AS genetic_value, round(e, 5) AS environmental_noise, round(g + e, 5) AS phenotype FROM n""")
 def gv_noise(spark, sf_dir):
-    return _round(genes.add_noise(genes.rescale(_values(spark, sf_dir), 0.5), 0.5), "genetic_value", "environmental_noise", "phenotype")
+    return _round(genes.add_noise(genes.rescale(_values(spark, sf_dir), 0.5), 0.5), "genetic_value", "environmental_noise", "phenotype", places=5)
 
 
 def _drop_sql(generations: int) -> str:
@@ -583,7 +591,8 @@ def variances(spark, sf_dir):
 
 @query("simulate_validate")
 def simulate_validate(spark, sf_dir):
-    p = simulate.Parameters(n=1000, generations=3)
+    """As many people a generation as there are customers."""
+    p = simulate.Parameters(n=spark.read.parquet(f"{sf_dir}/customer.parquet").count() // 2 * 2, generations=3)
     people = simulate.run_simulation(spark, p)
     goal = {f"{c}{n}": getattr(p, c)[n - 1] for n in (1, 2) for c in "ACE"} | {"rA": p.rA, "rC": p.rC, "rE": p.rE}
     return _round(validate.run_validation(people, goal, p.n, p.p_mztwin), "observed")
@@ -591,8 +600,8 @@ def simulate_validate(spark, sf_dir):
 
 @query("simulate_two_trait_mating")
 def simulate_two_trait_mating(spark, sf_dir):
-    """Mates' correlations of a simulation with assortment on both traits, beside what was asked for."""
-    p = simulate.Parameters(n=4000, generations=2, rA=0.3, rC=0.3, assort=(0.4, 0.2))
+    """Mates' correlations of a simulation with assortment on both traits, beside what was asked for; as many people a generation as there are customers."""
+    p = simulate.Parameters(n=spark.read.parquet(f"{sf_dir}/customer.parquet").count() // 2 * 2, generations=2, rA=0.3, rC=0.3, assort=(0.4, 0.2))
     people = simulate.run_simulation(spark, p)
     return _round(validate.assortative(people, *p.assort, float(p.mate_target(p.within())[0, 1])), "observed", "expected")
 

@@ -8,7 +8,7 @@ from lineagelake.functions import rng
 from lineagelake.operators import correlations as cor
 from lineagelake.operators import families
 from lineagelake.operators import relatives as rel
-from lineagelake.plans.registry import phi_sql, query
+from lineagelake.plans.registry import ndtri_sql, phi_sql, query
 from lineagelake.sources import fixture as fx
 
 
@@ -261,7 +261,9 @@ def naive_h2(spark, sf_dir):
     return _round(cor.naive_h2(*_pairs(spark, sf_dir)), "falconer", "sibs", "po", "half_sibs", "cousins", "realized", places=5)
 
 
-@query("observed_vs_liability_h2")
+@query("observed_vs_liability_h2", _PHI + f""", k AS (SELECT trait, avg(CAST(a AS DOUBLE)) AS k FROM (SELECT 1 AS trait, affected1 AS a FROM cens UNION ALL SELECT 2, affected2 FROM cens) GROUP BY trait),
+o AS (SELECT trait, 2 * (max(phi) FILTER (rel = 'MZ') - max(phi) FILTER (rel = 'FS')) AS observed FROM phis GROUP BY trait)
+SELECT trait, round(k, 5) AS prevalence, round(observed, 5) AS observed, round(observed * CASE WHEN k > 0 AND k < 1 THEN k * (1 - k) / pow(exp(-pow({ndtri_sql('k')}, 2) / 2) / sqrt(2 * pi()), 2) END, 5) AS liability FROM k LEFT JOIN o USING (trait)""")
 def observed_vs_liability_h2(spark, sf_dir):
     return _round(cor.observed_and_liability_h2(*_pairs(spark, sf_dir)), "prevalence", "observed", "liability", places=5)
 

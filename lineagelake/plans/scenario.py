@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lineagelake.config import phenotype_model, resolve
@@ -14,17 +16,32 @@ from lineagelake.operators.phenotypes import run_phenotype
 from lineagelake.operators.relatives import count_pairs, extract_pairs
 from lineagelake.operators.sampling import run_dropout, run_sample
 from lineagelake.operators.simulate import Parameters, run_simulation
+from lineagelake.operators.stores import StageStore
 
 
-def run_scenario(spark: SparkSession, scenario: dict | None = None, rep: int = 0) -> dict[str, DataFrame]:
-    """pedigree, phenotype, censored and sample of one replicate."""
-    p = resolve(scenario)
-    seed = p["seed"] + rep
-    sim = Parameters(
+def pedigree_parameters(p: dict, seed: int) -> Parameters:
+    """What alone decides about a scenario's pedigree; scenarios that agree on it share one."""
+    return Parameters(
         n=p["N"], generations=p["G_ped"], burn_in=p["G_burn"], seed=seed, A=(p["A1"], p["A2"]), C=(p["C1"], p["C2"]), E=(p["E1"], p["E2"]), rA=p["rA"], rC=p["rC"], rE=p["rE"],
         mating_lambda=p["mating_lambda"], p_mztwin=p["p_mztwin"], assort=(p["assort1"], p["assort2"]), assort_matrix=p["assort_matrix"],
     )
-    full = run_simulation(spark, sim)
+
+
+def run_scenario(spark: SparkSession, scenario: dict | None = None, rep: int = 0, store: StageStore | None = None, scenarios: dict[str, dict] | None = None) -> dict[str, DataFrame]:
+    """pedigree, phenotype, censored and sample of one replicate.
+
+    With a store, a pedigree that a run with the same parameters has made is read. drop_from names the scenario (of
+    scenarios) whose pedigree this one takes; the other parameters stay its own.
+    """
+    p = resolve(scenario)
+    seed = p["seed"] + rep
+    source = p
+    if p["drop_from"]:
+        if p["drop_from"] not in (scenarios or {}):
+            raise ValueError(f"drop_from names {p['drop_from']!r}, which isn't among the scenarios")
+        source = resolve(scenarios[p["drop_from"]])
+    sim = pedigree_parameters(source, source["seed"] + rep)
+    full = run_simulation(spark, sim) if store is None else store.stage("pedigree", lambda: run_simulation(spark, sim), parameters=dataclasses.asdict(sim))
     ped = run_dropout(full, p["pedigree_dropout_rate"], seed)
     pheno = run_phenotype(ped, phenotype_model(p, 1), phenotype_model(p, 2), g_pheno=p["G_pheno"], seed=seed)
     cens = run_censor(pheno, p["gen_censoring"], p["censor_age"], p["death_scale"], p["death_rho"], seed)

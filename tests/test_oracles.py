@@ -16,6 +16,7 @@ NAMES = [
     "twobytwo_by_pair_sex", "po_regression_by_generation", "mate_correlation_matrix", "pheno_threshold_per_generation", "frailty_weibull", "adult_cox", "sample_weighted", "dropout_relink", "gv_rescale", "inbreeding_by_generation",
     "ped_structural_checks", "rep_envelope", "events_daily", "rank_scores", "hazard_terms_gompertz", "normal_functions", "dempster_lerner_table", "adult_ltm", "first_passage", "frailty_lognormal", "hazard_terms_gamma", "quantile_normal_scores", "gene_drop_founders",
     "sample_allele_counts", "hill_overlapping", "long_term_contributions", "pair_counts_degree5", "tetrachoric_by_generation", "tetrachoric_same_person_by_generation", "first_sib_pairs", "falconer_by_generation", "naive_h2_estimators", "ped_twin_checks",
+    "effective_sizes", "pair_kinship_listed", "mean_coancestry", "liability_corr_by_family", "twobytwo_by_family", "pair_counts_by_family", "allele_counts_by_sweep", "gv_over_edges", "verify_golden", "gv_from_store", "site_store_range", "frailty_gamma", "gv_with_noise", "observed_vs_liability_h2",
 ]
 
 

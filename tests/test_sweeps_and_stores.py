@@ -118,3 +118,18 @@ def test_site_store_is_sorted_numbered_and_read_by_ranges(spark, tmp_path):
     assert store.between(3, 0, 10).count() == 0
     assert store.at(spark.createDataFrame([(1, ordered[0][1], "q")], "CHR int, POS long, name string")).count() == sum(r[:2] == ordered[0][:2] for r in rows)
     assert stores.SiteStore.write(spark.createDataFrame([], "CHR int, POS long, x long"), str(tmp_path / "e")).all().count() == 0
+
+
+def test_scenarios_share_a_pedigree(spark, tmp_path):
+    from lineagelake.plans.scenario import run_scenario
+
+    base = {"N": 60, "G_ped": 2, "G_sim": 2, "G_pheno": 1}
+    store = stores.StageStore(spark, str(tmp_path))
+    one = run_scenario(spark, base, store=store)
+    two = run_scenario(spark, {**base, "G_pheno": 2, "N": 400, "drop_from": "base"}, store=store, scenarios={"base": base})
+    assert len(store.made) == 1 == len(store.read)
+    assert stores.verify(two["full"], one["full"], ["id"]).count() == 0
+    run_scenario(spark, {**base, "N": 80}, store=store)
+    assert len(store.made) == 2
+    with pytest.raises(ValueError, match="drop_from"):
+        run_scenario(spark, {**base, "drop_from": "nowhere"}, store=store)
