@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineagelake.llm.common import unused, written
+from lineagelake.llm.shingles import release
 
 MAX_TRAIN_DOCS = 20_000
 MAX_WORDS = 200_000
@@ -160,6 +161,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = Scorer(sent.value)
         for texts in parts:
             yield pd.DataFrame([scorer(t) for t in texts], columns=["lang_pred", "score"])
+        del scorer
+        release()
 
     kept, told = [c for c in docs.columns if c not in ("lang_pred", "score")], unused("told", docs)
     return docs.withColumn(told, predict(F.col(text))).select(*(docs[c] for c in kept), F.col(f"{told}.lang_pred"), F.col(f"{told}.score"))

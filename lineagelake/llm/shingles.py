@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -53,5 +56,10 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def release() -> None:
-    """Gives Arrow's free memory back at the end of a task; a worker that waits would keep it beside its executor's heap."""
+    """Gives free memory back at the end of a task; a worker that waits would keep it beside its executor's heap."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        return
