@@ -706,6 +706,72 @@ def test_leaks_found_and_search_equals_plain_scores(spark):
         assert hit.tolist() == np.flatnonzero(plain >= threshold).tolist() and np.allclose(score, plain[hit])
 
 
+def leaks_brute(docs, items, threshold=decontaminate.THRESHOLD):
+    """Every passage of every text against every entry, with plain BM25 sums; {(doc, item, entry): (score, question, answer, first word)}."""
+    import math
+    from collections import Counter
+
+    entries = [(i, k, *e) for i, t in items for k, e in enumerate(decontaminate.placed_entries(t))]
+    df = Counter(w for e in entries for w in set(e[2]))
+    mean = sum(len(e[2]) for e in entries) / len(entries)
+    weights = []
+    for _, _, ws, *_ in entries:
+        own = {}
+        for w, tf in Counter(ws).items():
+            idf = math.log1p((len(entries) - df[w] + 0.5) / (df[w] + 0.5))
+            own[w] = idf * tf * (decontaminate.K1 + 1) / (tf + decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(ws) / mean))
+        total = sum(own.values())
+        weights.append({w: x / total for w, x in own.items()})
+    text_of = dict(items)
+    grams = lambda ws: {tuple(ws[j : j + min(3, len(ws))]) for j in range(len(ws) - min(3, len(ws)) + 1)} if ws else set()
+    out = {}
+    for d, text in docs:
+        ws = decontaminate.words(text)
+        for a in range(0, max(1, len(ws) - decontaminate.ENTRY_WORDS), decontaminate.STRIDE) if len(ws) > decontaminate.ENTRY_WORDS else [0]:
+            b = min(a + decontaminate.ENTRY_WORDS + decontaminate.STRIDE, len(ws))
+            there = set(ws[a:b])
+            for (i, k, own, _, at, asked), weight in zip(entries, weights):
+                score = sum(x for w, x in weight.items() if w in there)
+                if score < threshold - 1e-9:
+                    continue
+                whole = [w for part in decontaminate._SENTENCE_END.split(text_of[i]) for w in decontaminate.words(part)]
+                asked = asked or len(whole)
+                lo, hi = max(0, a - at), b + len(whole) - at - len(own)
+                near = ws[lo:hi]
+                q = grams(whole[:asked])
+                found_q = len(set(whole[:asked]) & set(near)) / len(set(whole[:asked])) if asked < 3 else len(q & grams(near)) / len(q)
+                answer = set(whole[asked:])
+                found_a = len(answer & set(near)) / len(answer) if answer else 1.0
+                if found_q >= decontaminate.QUESTION_OVERLAP and found_a >= decontaminate.ANSWER_OVERLAP:
+                    old = out.get((d, i, k))
+                    if old is None or score > old[0] + 1e-12:
+                        out[d, i, k] = (score, found_q, found_a, a)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_leaks_equal_brute_force_over_all_passages(spark, seed):
+    rng = random.Random(seed)
+    common = VOCAB[:40]  # few words, so that many passages come near the threshold
+    say = lambda n: " ".join(rng.choice(common if rng.random() < 0.7 else VOCAB) for _ in range(n))
+    items = [(i, f"{say(rng.choice((6, 20, 50, 90)))}. {say(rng.choice((1, 5, 12)))}.") for i in range(70)] + [(70, "one"), (71, say(30)), (72, say(160))]
+    docs = []
+    for d in range(60):
+        parts = [say(rng.choice((0, 30, 140)))]
+        for _ in range(rng.choice((0, 1, 2))):
+            own = items[rng.randrange(len(items))][1].split()
+            keep = [w for w in own if rng.random() < rng.choice((1.0, 0.9, 0.7))]
+            parts += [" ".join(keep), say(rng.choice((5, 60)))]
+        docs.append((d, " ".join(parts)))
+    docs.append((60, say(6000)))
+    want = leaks_brute(docs, items)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontaminate.MAX_BROADCAST, 20_000):
+        got = {(r.doc_id, r.item_id, r.entry): tuple(r)[3:] for r in decontaminate.find_leaks(df, bench, max_broadcast=limit).collect()}
+        assert set(got) == set(want) and len(want) > 20
+        assert all(got[k][:3] == pytest.approx(v[:3]) for k, v in want.items())
+
+
 def test_items_longer_than_an_entry(spark):
     rng = random.Random(21)
     for n in (1, 63, 64, 65, 66, 128, 129, 300):
