@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 #: Runs of anything but ASCII white space; the same in Java, RE2 and (on bytes) Python's split().
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch while a table is written. Batches of whole texts are large: Spark's 10,000 rows take some 100 MB
+#: beside the heap for each task, and grow with the texts.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -40,7 +45,12 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
-    df.write.partitionBy(*partition_by).parquet(path)
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = (spark, path)
     return out
