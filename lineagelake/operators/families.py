@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineagelake.operators.checkpoints import cut
@@ -32,7 +32,7 @@ def _listed(people: DataFrame) -> DataFrame:
     return best.select(F.element_at(F.array(*map(F.lit, FIRST_DEGREE)), F.col("b.rank") + 1).alias("rel"), "b.id1", "b.id2")
 
 
-def _sibling_code(a: str, b: str) -> F.Column:
+def _sibling_code(a: str, b: str) -> Column:
     """The code that two people would have as siblings; null without a common known parent."""
     same = lambda c: (F.col(f"{a}.{c}") >= 0) & (F.col(f"{a}.{c}") == F.col(f"{b}.{c}"))
     return F.when(same("mother") & same("father"), "FS").when(same("mother"), "MHS").when(same("father"), "PHS")

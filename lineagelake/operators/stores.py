@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineagelake.operators.checkpoints import cut
@@ -16,7 +16,7 @@ from lineagelake.operators.genes import fingerprint
 BUCKETS = 4096
 
 
-def _row_digest(columns: list[str]) -> F.Column:
+def _row_digest(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 

@@ -359,6 +359,23 @@ def gv_over_edges(spark, sf_dir):
     return _round(genome_sweep.edge_genetic_values(edges, effects, samples.withColumn("individual", F.col("node"))), "genetic_value")
 
 
+@query("single_mutation_sites", """WITH m AS (SELECT CAST(l_linenumber AS BIGINT) AS "CHR", CAST(l_orderkey % 9973 AS BIGINT) AS site_id, CAST(l_partkey AS BIGINT) AS node FROM lineitem)
+SELECT "CHR", site_id, max(node) AS node FROM m GROUP BY "CHR", site_id HAVING count(*) = 1""")
+def single_mutation_sites(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    mutations = items.select(F.col("l_linenumber").cast("long").alias("CHR"), (F.col("l_orderkey") % 9973).cast("long").alias("site_id"), F.col("l_partkey").cast("long").alias("node"))
+    return genes.single_mutation_sites(mutations).select("CHR", "site_id", "node")
+
+
+@query("remap_sites", """SELECT CAST(c_nationkey % 22 + 1 AS BIGINT) AS "CHR", CAST(c_custkey AS BIGINT) AS "POS", CAST(s_suppkey + 1000000 AS BIGINT) AS site_id
+FROM customer JOIN supplier ON c_nationkey % 22 = s_nationkey % 22 AND c_custkey = s_suppkey""")
+def remap_sites(spark, sf_dir):
+    """Customers' sites take the ids of suppliers' sites at the same place."""
+    sites = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_nationkey") % 22 + 1).cast("long").alias("CHR"), F.col("c_custkey").cast("long").alias("POS"), F.lit(0).cast("long").alias("site_id"))
+    onto = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_nationkey") % 22 + 1).cast("long").alias("CHR"), F.col("s_suppkey").cast("long").alias("POS"), (F.col("s_suppkey") + 1000000).cast("long").alias("site_id"))
+    return genes.remap_sites(sites, onto).select("CHR", "POS", "site_id")
+
+
 # stored results
 
 
