@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from lineagelake.llm.common import WORD, written
+from lineagelake.llm.common import WORD, forget, written
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -75,7 +75,9 @@ def tilt(groups: DataFrame, cap: float = MAX_REPEAT) -> DataFrame:
         step = F.when(F.abs(gap) <= TOLERANCE * F.greatest(F.lit(1.0), F.col("target")), 0.0).when(F.col("target") <= 0, -50.0)
         step = step.when(F.col("slope") > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("slope")))).when(gap < 0, -0.1).otherwise(0.0)
         moved = written(sums.select("source", step.alias("step"), (F.col("x") + step).alias("x2")))
-        now = now.join(moved, now["source"].eqNullSafe(moved["source"])).select(now["source"], "q", "tokens", "target", F.col("x2").alias("x"))
+        # a few rows; written each time, so that no plan holds the joins of all rounds before
+        old, now = now, written(now.join(moved, now["source"].eqNullSafe(moved["source"])).select(now["source"], "q", "tokens", "target", F.col("x2").alias("x")))
+        forget(old)
         if moved.filter("step != 0 and x2 > -40").isEmpty():
             break
     return now.groupBy("source").agg(F.first("x").alias("x"))
