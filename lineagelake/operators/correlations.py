@@ -17,7 +17,16 @@ def _values(people: DataFrame, *columns: str) -> DataFrame:
 
 
 def pair_values(people: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
-    """Pairs with both members' values, one row for each trait: columns c_1 and c_2, sex_1, sex_2, generation_1."""
+    """Pairs with both members' values, one row for each trait: columns c_1 and c_2, sex_1, sex_2, generation_1.
+
+    Pairs that carry their members (p1, p2 of close_pairs, with the columns of both traits, and sex or generation) aren't joined.
+    """
+    if "p1" in pairs.columns:
+        ends = [(p, c) for p in ("p1", "p2") for c in columns]
+        traits = [F.struct(F.lit(n).alias("trait"), *[F.col(f"{p}.{c}{n}").alias(f"{c}_{p[1]}") for p, c in ends]) for n in (1, 2)]
+        have = pairs.schema["p1"].dataType.names
+        own = [F.col(f"p{k}.{c}").alias(f"{c}_{k}") for c, k in (("sex", 1), ("sex", 2), ("generation", 1)) if c in have]
+        return pairs.select("rel", "id1", "id2", *own, F.inline(F.array(*traits)))
     v = _values(people, *columns)
     a = v.select(F.col("id").alias("id1"), F.col("sex").alias("sex_1"), F.col("generation").alias("generation_1"), F.col("v").alias("v1"))
     b = v.select(F.col("id").alias("id2"), F.col("sex").alias("sex_2"), F.col("v").alias("v2"))
@@ -27,18 +36,24 @@ def pair_values(people: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame
     return out.select(*keys, "z.v1.trait", *[F.col(f"z.v1.{c}").alias(f"{c}_1") for c in columns], *[F.col(f"z.v2.{c}").alias(f"{c}_2") for c in columns])
 
 
+def _pair_correlations(people: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """(rel, trait, n_pairs, r), r null without variance; pairs that carry their members make one row for both traits."""
+    x = lambda p, n: F.col(f"{p}.{column}{n}").cast("double")
+    if "p1" in pairs.columns:
+        both = pairs.groupBy("rel").agg(F.count("*").alias("n_pairs"), *[safe_corr(x("p1", n), x("p2", n)).alias(f"r{n}") for n in (1, 2)])
+        return both.select("rel", F.inline(F.array(*[F.struct(F.lit(n).alias("trait"), "n_pairs", F.col(f"r{n}").alias("r")) for n in (1, 2)])))
+    r = safe_corr(F.col(f"{column}_1").cast("double"), F.col(f"{column}_2").cast("double"))
+    return pair_values(people, pairs, column).groupBy("rel", "trait").agg(F.count("*").alias("n_pairs"), r.alias("r"))
+
+
 def liability_correlations(people: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pearson's r; 0 without variance, null with fewer than MIN_PAIRS pairs."""
-    r = F.coalesce(safe_corr(F.col("liability_1"), F.col("liability_2")), F.lit(0.0))
-    out = pair_values(people, pairs, "liability").groupBy("rel", "trait").agg(F.count("*").alias("n_pairs"), r.alias("r"))
-    return out.withColumn("r", F.when(F.col("n_pairs") >= MIN_PAIRS, F.col("r")))
+    return _pair_correlations(people, pairs, "liability").withColumn("r", F.when(F.col("n_pairs") >= MIN_PAIRS, F.coalesce("r", F.lit(0.0))))
 
 
 def phi(people: DataFrame, pairs: DataFrame) -> DataFrame:
     """Correlation of affection; null without variance or with fewer than MIN_PAIRS pairs."""
-    r = safe_corr(F.col("affected_1").cast("double"), F.col("affected_2").cast("double"))
-    out = pair_values(people, pairs, "affected").groupBy("rel", "trait").agg(F.count("*").alias("n_pairs"), r.alias("phi"))
-    return out.withColumn("phi", F.when(F.col("n_pairs") >= MIN_PAIRS, F.col("phi")))
+    return _pair_correlations(people, pairs, "affected").select("rel", "trait", "n_pairs", F.when(F.col("n_pairs") >= MIN_PAIRS, F.col("r")).alias("phi"))
 
 
 def two_by_two(values: DataFrame, by: list[str], a: str = "affected_1", b: str = "affected_2") -> DataFrame:
@@ -127,8 +142,11 @@ def first_sib_pairs(people: DataFrame, min_generation: int | None = None) -> Dat
 
 def cross_trait_counts(people: DataFrame, pairs: DataFrame) -> DataFrame:
     """Trait 1 of the first member against trait 2 of the second, by code; 'self' is the same person."""
-    a, b = people.select(F.col("id").alias("id1"), F.col("affected1").alias("affected_1")), people.select(F.col("id").alias("id2"), F.col("affected2").alias("affected_2"))
-    cross = pairs.join(a, "id1").join(b, "id2").select("rel", "affected_1", "affected_2")
+    if "p1" in pairs.columns:
+        cross = pairs.select("rel", F.col("p1.affected1").alias("affected_1"), F.col("p2.affected2").alias("affected_2"))
+    else:
+        a, b = people.select(F.col("id").alias("id1"), F.col("affected1").alias("affected_1")), people.select(F.col("id").alias("id2"), F.col("affected2").alias("affected_2"))
+        cross = pairs.join(a, "id1").join(b, "id2").select("rel", "affected_1", "affected_2")
     own = people.select(F.lit("self").alias("rel"), F.col("affected1").alias("affected_1"), F.col("affected2").alias("affected_2"))
     return two_by_two(cross.unionByName(own), ["rel"])
 

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineagelake.operators.checkpoints import cut
+from lineagelake.operators.close_kin import close_pairs
 from lineagelake.operators.ranking import place_in_family
 
 #: code -> (up, down, common ancestors, least max_degree): fixed values; up/down in meioses.
@@ -87,15 +89,15 @@ def sibling_pairs(ped: DataFrame, heavy: DataFrame | None = None) -> tuple[DataF
     return full.select(*pair), mhs.select(*pair), phs.select(*pair)
 
 
-def _dealt_join(left: DataFrame, right: DataFrame, key: str, dealt: bool) -> DataFrame:
-    """An equi-join of left with right (id, key); where dealt, the right rows of a heavy key go to several tasks, with copies of the left ones."""
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], dealt: bool) -> DataFrame:
+    """An equi-join; where dealt, the right rows of a heavy key go to several tasks, with copies of the left ones."""
     if not dealt:
-        return left.join(right, key)
-    parts = right.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select(key, F.ceil(F.col("n") / HEAVY).cast("int").alias("_parts"))
+        return left.join(right, keys)
+    parts = right.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > HEAVY).select(*keys, F.ceil(F.col("n") / HEAVY).cast("int").alias("_parts"))
     n = F.coalesce("_parts", F.lit(1))
-    one = left.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
-    two = right.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(*[c for c in right.columns if c != key]), n).cast("int")).drop("_parts")
-    return one.join(two, [key, "_part"]).drop("_part")
+    one = left.join(parts, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), n - 1))).drop("_parts")
+    two = right.join(parts, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*[c for c in right.columns if c not in keys]), n).cast("int")).drop("_parts")
+    return one.join(two, [*keys, "_part"]).drop("_part")
 
 
 def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -106,10 +108,18 @@ def _through(sibs: DataFrame, left: DataFrame | None, right: DataFrame, dealt: b
     """Pairs of (x's descendant or x, y's descendant) over both directions of the sibling pairs (x, y)."""
     both = sibs.select(F.col("id1").alias("x"), F.col("id2").alias("y")).unionByName(sibs.select(F.col("id2").alias("x"), F.col("id1").alias("y")))
     far = right.select(F.col("id").alias("b"), F.col("ancestor").alias("y"))
-    out = _dealt_join(both, far, "y", dealt)
+    out = dealt_join(both, far, ["y"], dealt)
     if left is None:
         return _ordered(out, "x", "b")
-    return _ordered(_dealt_join(out, left.select(F.col("id").alias("a"), F.col("ancestor").alias("x")), "x", dealt), "a", "b")
+    return _ordered(dealt_join(out, left.select(F.col("id").alias("a"), F.col("ancestor").alias("x")), ["x"], dealt), "a", "b")
+
+
+def _within(pairs: DataFrame, sample: DataFrame | None) -> DataFrame:
+    """The pairs with both ends in the sample."""
+    if sample is None:
+        return pairs
+    ids = sample.select("id").distinct()
+    return pairs.join(ids.withColumnRenamed("id", "id1"), "id1", "left_semi").join(ids.withColumnRenamed("id", "id2"), "id2", "left_semi")
 
 
 def extract_pairs(ped: DataFrame, max_degree: int = 2, sample: DataFrame | None = None, codes: tuple[str, ...] | None = None) -> DataFrame:
@@ -123,6 +133,10 @@ def extract_pairs(ped: DataFrame, max_degree: int = 2, sample: DataFrame | None
     wanted = [c for c, v in CODES.items() if v[3] <= max_degree]
     if codes is not None:
         wanted = wanted[: max((i + 1 for i, c in enumerate(wanted) if c in codes), default=0)]
+    if max_degree <= 2:
+        pairs = close_pairs(ped, codes=tuple(wanted if codes is None else (c for c in wanted if c in codes))) if wanted else None
+        return _within(pairs.select("rel", "id1", "id2") if pairs is not None else ped.select(F.lit("").alias("rel"), F.col("id").alias("id1"), F.col("id").alias("id2")).limit(0), sample)
+    ped = cut(ped.select("id", "mother", "father", "twin"))  # read many times over
     edges = parent_edges(ped)
     anc = ancestors(edges, {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}[max_degree])
     heavy = heavy_parents(ped)
@@ -146,9 +160,7 @@ def extract_pairs(ped: DataFrame, max_degree: int = 2, sample: DataFrame | None
     if not ranked:
         return ped.select(F.lit("").alias("rel"), F.col("id").alias("id1"), F.col("id").alias("id2")).limit(0)
     every = reduce(DataFrame.unionByName, ranked)
-    if sample is not None:
-        ids = sample.select("id").distinct()
-        every = every.join(ids.withColumnRenamed("id", "id1"), "id1", "left_semi").join(ids.withColumnRenamed("id", "id2"), "id2", "left_semi")
+    every = _within(every, sample)
     # the closest code of a pair, whichever way round it was found: one aggregation instead of a chain of anti-joins
     lo, hi = F.least("id1", "id2").alias("lo"), F.greatest("id1", "id2").alias("hi")
     best = every.groupBy(lo, hi).agg(F.min(F.struct("rank", "id1", "id2")).alias("b"))

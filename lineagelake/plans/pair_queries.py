@@ -8,6 +8,7 @@ from lineagelake.functions import rng
 from lineagelake.operators import correlations as cor
 from lineagelake.operators import families
 from lineagelake.operators import relatives as rel
+from lineagelake.operators.close_kin import close_pairs
 from lineagelake.plans.registry import ndtri_sql, phi_sql, query
 from lineagelake.sources import fixture as fx
 
@@ -123,14 +124,15 @@ def relatives_features(spark, sf_dir):
     return rel.relative_counts(people, rel.extract_pairs(people, 2), "affected1", ("MZ", "MO", "FO", "FS", "MHS", "PHS", "GP", "Av", "1C"))
 
 
-def _pairs(spark, sf_dir):
+def _pairs(spark, sf_dir, *columns):
+    """People, and their pairs with the members' values in these columns, of both traits but for sex and generation."""
     people = fx.censored(spark, sf_dir)
-    return people, rel.extract_pairs(people.select("id", "generation", "sex", "mother", "father", "twin"), 2)
+    return people, close_pairs(people, tuple(n for c in columns for n in ([c] if c in people.columns else [f"{c}1", f"{c}2"])))
 
 
 @query("liability_corr_by_pair", VALUES + "SELECT rel, trait, count(*) AS n_pairs, round(CASE WHEN count(*) >= 10 THEN corr(l1, l2) END, 6) AS r FROM pv GROUP BY rel, trait")
 def liability_corr(spark, sf_dir):
-    return _round(cor.liability_correlations(*_pairs(spark, sf_dir)), "r")
+    return _round(cor.liability_correlations(*_pairs(spark, sf_dir, "liability")), "r")
 
 
 _PHI = VALUES + ", phis AS (SELECT rel, trait, count(*) AS n_pairs, CASE WHEN count(*) >= 10 AND var_pop(CAST(a1 AS DOUBLE)) > 0 AND var_pop(CAST(a2 AS DOUBLE)) > 0 THEN corr(CAST(a1 AS DOUBLE), CAST(a2 AS DOUBLE)) END AS phi FROM pv GROUP BY rel, trait) "
@@ -138,28 +140,28 @@ _PHI = VALUES + ", phis AS (SELECT rel, trait, count(*) AS n_pairs, CASE WHEN co
 
 @query("phi_by_pair", _PHI + "SELECT rel, trait, n_pairs, round(phi, 6) AS phi FROM phis")
 def phi_by_pair(spark, sf_dir):
-    return _round(cor.phi(*_pairs(spark, sf_dir)), "phi")
+    return _round(cor.phi(*_pairs(spark, sf_dir, "affected")), "phi")
 
 
 @query("twobytwo_by_pair", VALUES + f"SELECT rel, trait, {_CELLS} FROM pv GROUP BY rel, trait")
 def twobytwo(spark, sf_dir):
-    people, pairs = _pairs(spark, sf_dir)
+    people, pairs = _pairs(spark, sf_dir, "affected")
     return cor.two_by_two(cor.pair_values(people, pairs, "affected"), ["rel", "trait"])
 
 
 @query("twobytwo_by_pair_sex", VALUES + f"SELECT rel, trait, sex_1 AS sex, {_CELLS} FROM pv WHERE sex_1 = sex_2 GROUP BY rel, trait, sex_1")
 def twobytwo_sex(spark, sf_dir):
-    return cor.pairs_by_sex(*_pairs(spark, sf_dir))
+    return cor.pairs_by_sex(*_pairs(spark, sf_dir, "sex", "affected"))
 
 
 @query("twobytwo_by_pair_generation", VALUES + f"SELECT rel, trait, g1 AS generation, {_CELLS} FROM pv WHERE g1 >= 3 GROUP BY rel, trait, g1")
 def twobytwo_generation(spark, sf_dir):
-    return cor.pairs_by_generation(*_pairs(spark, sf_dir))
+    return cor.pairs_by_generation(*_pairs(spark, sf_dir, "generation", "affected"))
 
 
 @query("cross_trait_twobytwo", f"WITH {fx.SQL_CENS}, {_SQL_PAIRS}, x AS (SELECT rel, a.affected1 AS a1, b.affected2 AS a2 FROM pairs p JOIN cens a ON p.id1 = a.id JOIN cens b ON p.id2 = b.id UNION ALL SELECT 'self', affected1, affected2 FROM cens) SELECT rel, {_CELLS} FROM x GROUP BY rel")
 def cross_trait(spark, sf_dir):
-    return cor.cross_trait_counts(*_pairs(spark, sf_dir))
+    return cor.cross_trait_counts(*_pairs(spark, sf_dir, "affected"))
 
 
 _BVN = """({p1} * {p2} + asin({r}) / (2 * pi()) / 1200 * list_sum([CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
@@ -197,13 +199,13 @@ _COUNTS = VALUES + ", counts AS (SELECT {keys}, " + _CELLS + " FROM pv {where} G
 
 @query("tetrachoric_by_pair", _tetrachoric_sql(_COUNTS.format(keys="rel, trait", where="", by="rel, trait"), "rel, trait"))
 def tetrachoric_by_pair(spark, sf_dir):
-    people, pairs = _pairs(spark, sf_dir)
+    people, pairs = _pairs(spark, sf_dir, "affected")
     return _fitted(cor.with_tetrachoric(cor.two_by_two(cor.pair_values(people, pairs, "affected"), ["rel", "trait"])))
 
 
 @query("tetrachoric_by_sex", _tetrachoric_sql(_COUNTS.format(keys="rel, trait, sex_1 AS sex", where="WHERE sex_1 = sex_2", by="rel, trait, sex_1"), "rel, trait, sex"))
 def tetrachoric_by_sex(spark, sf_dir):
-    return _fitted(cor.with_tetrachoric(cor.pairs_by_sex(*_pairs(spark, sf_dir))))
+    return _fitted(cor.with_tetrachoric(cor.pairs_by_sex(*_pairs(spark, sf_dir, "sex", "affected"))))
 
 
 _LIABILITY_R = ", CASE WHEN count(*) >= 10 THEN round(corr(l1, l2), 6) END AS liability_r"
@@ -211,7 +213,7 @@ _LIABILITY_R = ", CASE WHEN count(*) >= 10 THEN round(corr(l1, l2), 6) END AS li
 
 @query("tetrachoric_by_generation", _tetrachoric_sql(_COUNTS.replace(_CELLS, _CELLS + _LIABILITY_R).format(keys="rel, trait, g1 AS generation", where="WHERE g1 >= 3", by="rel, trait, g1"), "rel, trait, generation"))
 def tetrachoric_by_generation(spark, sf_dir):
-    return _round(_fitted(cor.tetrachoric_by_generation(*_pairs(spark, sf_dir))), "liability_r")
+    return _round(_fitted(cor.tetrachoric_by_generation(*_pairs(spark, sf_dir, "generation", "affected", "liability"))), "liability_r")
 
 
 _CROSS = f"WITH {fx.SQL_CENS}, {_SQL_PAIRS}, x AS (SELECT rel, a.affected1 AS a1, b.affected2 AS a2 FROM pairs p JOIN cens a ON p.id1 = a.id JOIN cens b ON p.id2 = b.id UNION ALL SELECT 'self', affected1, affected2 FROM cens), counts AS (SELECT rel, {_CELLS} FROM x GROUP BY rel)"
@@ -219,7 +221,7 @@ _CROSS = f"WITH {fx.SQL_CENS}, {_SQL_PAIRS}, x AS (SELECT rel, a.affected1 AS a1
 
 @query("tetrachoric_cross_trait", _tetrachoric_sql(_CROSS, "rel"))
 def tetrachoric_cross(spark, sf_dir):
-    return _fitted(cor.with_tetrachoric(cor.cross_trait_counts(*_pairs(spark, sf_dir))))
+    return _fitted(cor.with_tetrachoric(cor.cross_trait_counts(*_pairs(spark, sf_dir, "affected"))))
 
 
 _SELF = f"WITH {fx.SQL_CENS}, x AS (SELECT generation, affected1 AS a1, affected2 AS a2 FROM cens WHERE generation >= 3), counts AS (SELECT generation, {_CELLS} FROM x GROUP BY generation)"
@@ -247,7 +249,7 @@ SELECT trait, generation, round(vA / (vA + vC + vE), 6) AS h2, round(r_mz, 6) AS
 
 @query("falconer_by_generation", _COHORT)
 def falconer_by_generation(spark, sf_dir):
-    people, pairs = _pairs(spark, sf_dir)
+    people, pairs = _pairs(spark, sf_dir, "generation", "liability")
     out = _round(_round(cor.falconer_by_generation(people, pairs), "h2", "r_mz", "r_fs"), "falconer", places=5)
     return out.select("trait", "generation", "h2", "r_mz", "r_fs", "n_mz", "n_fs", "falconer")
 
@@ -258,14 +260,14 @@ po AS (SELECT 1 AS trait, regr_slope(k.liability1, (m.liability1 + f.liability1)
 v AS (SELECT 1 AS trait, var_samp(A1) AS a, var_samp(C1) AS c, var_samp(E1) AS e FROM cens UNION ALL SELECT 2, var_samp(A2), var_samp(C2), var_samp(E2) FROM cens)
 SELECT trait, round(2 * (mz - fs), 5) AS falconer, round(2 * fs, 5) AS sibs, round(po, 5) AS po, round(4 * (coalesce(m, p) + coalesce(p, m)) / 2, 5) AS half_sibs, round(8 * w.c, 5) AS cousins, round(v.a / (v.a + v.c + v.e), 5) AS realized FROM w JOIN po USING (trait) JOIN v USING (trait)""")
 def naive_h2(spark, sf_dir):
-    return _round(cor.naive_h2(*_pairs(spark, sf_dir)), "falconer", "sibs", "po", "half_sibs", "cousins", "realized", places=5)
+    return _round(cor.naive_h2(*_pairs(spark, sf_dir, "liability")), "falconer", "sibs", "po", "half_sibs", "cousins", "realized", places=5)
 
 
 @query("observed_vs_liability_h2", _PHI + f""", k AS (SELECT trait, avg(CAST(a AS DOUBLE)) AS k FROM (SELECT 1 AS trait, affected1 AS a FROM cens UNION ALL SELECT 2, affected2 FROM cens) GROUP BY trait),
 o AS (SELECT trait, 2 * (max(phi) FILTER (rel = 'MZ') - max(phi) FILTER (rel = 'FS')) AS observed FROM phis GROUP BY trait)
 SELECT trait, round(k, 5) AS prevalence, round(observed, 5) AS observed, round(observed * CASE WHEN k > 0 AND k < 1 THEN k * (1 - k) / pow(exp(-pow({ndtri_sql('k')}, 2) / 2) / sqrt(2 * pi()), 2) END, 5) AS liability FROM k LEFT JOIN o USING (trait)""")
 def observed_vs_liability_h2(spark, sf_dir):
-    return _round(cor.observed_and_liability_h2(*_pairs(spark, sf_dir)), "prevalence", "observed", "liability", places=5)
+    return _round(cor.observed_and_liability_h2(*_pairs(spark, sf_dir, "affected")), "prevalence", "observed", "liability", places=5)
 
 
 def _po_sql(by: str, column: str) -> str:
@@ -289,12 +291,12 @@ for _name, _by, _col in (("po_regression_by_generation", ("generation",), "liabi
 @query("observed_h2_estimators", _PHI + """, w AS (SELECT trait, max(phi) FILTER (rel = 'MZ') AS mz, max(phi) FILTER (rel = 'FS') AS fs, max(phi) FILTER (rel = 'MHS') AS m, max(phi) FILTER (rel = 'PHS') AS p, max(phi) FILTER (rel = '1C') AS c FROM phis GROUP BY trait)
 SELECT trait, round(2 * (mz - fs), 5) AS falconer, round(2 * fs, 5) AS sibs, round(4 * (coalesce(m, p) + coalesce(p, m)) / 2, 5) AS half_sibs, round(8 * c, 5) AS cousins FROM w""")
 def observed_h2(spark, sf_dir):
-    return _round(cor.observed_h2(cor.phi(*_pairs(spark, sf_dir))), "falconer", "sibs", "half_sibs", "cousins", places=5)
+    return _round(cor.observed_h2(cor.phi(*_pairs(spark, sf_dir, "affected"))), "falconer", "sibs", "half_sibs", "cousins", places=5)
 
 
 @query("pooled_pair_corr", VALUES + ", c AS (SELECT rel, trait, CASE WHEN count(*) >= 10 THEN corr(l1, l2) END AS r FROM pv GROUP BY rel, trait) SELECT trait, CASE WHEN rel IN ('MO', 'FO') THEN 'PO' WHEN rel IN ('MHS', 'PHS') THEN 'HS' ELSE rel END AS kind, round(avg(r), 6) AS r FROM c GROUP BY ALL")
 def pooled_corr(spark, sf_dir):
-    return _round(cor.pooled(cor.liability_correlations(*_pairs(spark, sf_dir))), "r")
+    return _round(cor.pooled(cor.liability_correlations(*_pairs(spark, sf_dir, "liability"))), "r")
 
 
 @query("realized_h2_by_generation", f"WITH {fx.SQL_LIAB}, x AS (SELECT 1 AS trait, generation, A1 AS A, C1 AS C, E1 AS E FROM liab UNION ALL SELECT 2, generation, A2, C2, E2 FROM liab), v AS (SELECT trait, generation, var_samp(A) AS vA, var_samp(C) AS vC, var_samp(E) AS vE FROM x GROUP BY trait, generation) SELECT trait, generation, round(vA, 6) AS \"vA\", round(vC, 6) AS \"vC\", round(vE, 6) AS \"vE\", round(vA / (vA + vC + vE), 6) AS h2, round((vA + vC) / (vA + vC + vE), 6) AS broad_h2 FROM v")
