@@ -87,16 +87,24 @@ def invert(name: str, h: Column, **p: float) -> Column:
 
 
 def _log_upper_gamma(a: float, x: np.ndarray) -> np.ndarray:
-    """log of the regularised upper incomplete gamma function: series below a + 1, continued fraction above."""
+    """log of the regularised upper incomplete gamma function: series below a + 1, continued fraction above.
+
+    Each is worked out where it holds, and goes on until no value changes any more.
+    """
     x = np.maximum(x, 1e-300)
-    front = a * np.log(x) - x - math.lgamma(a)
-    term, total = np.full_like(x, 1 / a), np.full_like(x, 1 / a)
+    out, low = np.empty_like(x), x < a + 1
+    v = x[low]
+    term, total = np.full_like(v, 1 / a), np.full_like(v, 1 / a)
     for n in range(1, 400):
-        term = term * x / (a + n)
-        total = total + term
-    lower = np.exp(np.minimum(front + np.log(np.maximum(total, 1e-300)), 0))
-    b = x + 1 - a
-    c = np.full_like(x, 1e300)
+        term = term * v / (a + n)
+        before, total = total, total + term
+        if (total == before).all():
+            break
+    lower = np.exp(np.minimum(a * np.log(v) - v - math.lgamma(a) + np.log(np.maximum(total, 1e-300)), 0))
+    out[low] = np.log1p(-np.minimum(lower, 1 - 1e-16))
+    v = x[~low]
+    b = v + 1 - a
+    c = np.full_like(v, 1e300)
     d = 1 / np.where(np.abs(b) < 1e-300, 1e-300, b)
     h = d.copy()
     for i in range(1, 300):
@@ -104,9 +112,12 @@ def _log_upper_gamma(a: float, x: np.ndarray) -> np.ndarray:
         b = b + 2
         d = 1 / np.where(np.abs(an * d + b) < 1e-300, 1e-300, an * d + b)
         c = b + an / c
-        h = h * d * np.where(np.abs(c) < 1e-300, 1e-300, c)
-    upper = front + np.log(np.maximum(np.abs(h), 1e-300))
-    return np.where(x < a + 1, np.log1p(-np.minimum(lower, 1 - 1e-16)), upper)
+        step = d * np.where(np.abs(c) < 1e-300, 1e-300, c)
+        h = h * step
+        if (np.abs(step - 1) < 1e-15).all():
+            break
+    out[~low] = a * np.log(v) - v - math.lgamma(a) + np.log(np.maximum(np.abs(h), 1e-300))
+    return out
 
 
 @F.pandas_udf(T.StructType().add("log_h", T.DoubleType()).add("cum", T.DoubleType()))
@@ -116,13 +127,31 @@ def _gamma_terms(shape: pd.Series, x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"log_h": (a - 1) * np.log(v) - v - math.lgamma(a) - log_sf, "cum": -log_sf})
 
 
+def gamma_isf(a: float, h: np.ndarray) -> np.ndarray:
+    """x with upper tail exp(-h): Newton's steps on the logarithm of x within a bracket, halved where a step leaves it.
+
+    Values that don't move any more are left out of further rounds.
+    """
+    goal, out = -np.asarray(h, float), np.full(len(h), math.exp(-60.0))  # for a missing h
+    at = np.flatnonzero(~np.isnan(goal))
+    lo, hi, u = np.full(len(at), -60.0), np.full(len(at), 20.0), np.full(len(at), math.log(a))
+    for _ in range(200):
+        if not len(at):
+            break
+        x = np.exp(u)
+        log_sf = _log_upper_gamma(a, x)
+        above = log_sf > goal[at]
+        lo, hi = np.where(above, u, lo), np.where(above, hi, u)
+        slope = -np.exp(np.minimum(a * u - x - math.lgamma(a) - log_sf, 700))  # of log_sf over u
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            new = u - (log_sf - goal[at]) / slope
+        new = np.where((new > lo) & (new < hi), new, (lo + hi) / 2)
+        still = (np.abs(new - u) > 1e-14 * np.maximum(1, np.abs(u))) & (hi - lo > 1e-15)
+        out[at] = np.exp(new)
+        at, lo, hi, u = at[still], lo[still], hi[still], new[still]
+    return out
+
+
 @F.pandas_udf(T.DoubleType())
 def _gamma_isf(shape: pd.Series, h: pd.Series) -> pd.Series:
-    """x with upper tail exp(-h), by bisection on the logarithm."""
-    a, goal = float(shape.iloc[0]), -h.to_numpy(float)
-    lo, hi = np.full(len(goal), -60.0), np.full(len(goal), 20.0)
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        above = _log_upper_gamma(a, np.exp(mid)) > goal
-        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
-    return pd.Series(np.exp((lo + hi) / 2))
+    return pd.Series(gamma_isf(float(shape.iloc[0]), h.to_numpy(float)))
