@@ -46,3 +46,9 @@ def test_no_pair_is_shuffled(spark):
     assert "Aggregate" not in plan
     assert close_kin.close_pairs(ped.limit(0), ("x1",)).count() == 0
     assert relatives.extract_pairs(ped, 2, sample=ped.filter(F.col("id") < 60)).filter("id1 >= 60 or id2 >= 60").isEmpty()
+
+
+def test_far_pairs_are_counted_without_sorting_them(spark):
+    ped = spark.createDataFrame(tangled(5, 60), PED)
+    plan = relatives.extract_pairs(ped, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
