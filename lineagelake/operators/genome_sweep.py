@@ -1,15 +1,14 @@
-"""Sweeps along the genome over the local trees of an edge table: sample counts below mutations, and genetic values.
+"""Sample counts below mutations, and genetic values, over the local trees of an edge table.
 
-An edge (parent, child, left, right) holds for positions in [left, right); at each position the edges are a forest. The
-genome is cut into blocks of about EVENTS edges and mutations, each an own key; an edge belongs to each block that it
-reaches into. In a block, edges that hold at its beginning come first, then edges leave and enter in order of position
-between the mutations. The carried state is one forest: when an edge enters or leaves, only the path from its parent to
-the root changes. No row is made for a mutation and a descendant, and memory is that of one forest.
+An edge (parent, child, left, right) holds for positions in [left, right); at each position the edges are a forest. What
+moves along the edges are stretches of the genome, a generation of edges at a time, each round a join and a grouping: no
+task holds a forest, and no row is made for a mutation and a descendant.
 
-Counts: each node carries the number of samples below it (itself included). Of a site's mutations those below another of
-the site add nothing. Values: a mutation adds its effect to its node; a node's value is the sum along its path to the root.
-A subtree that moves keeps its value: what its old path gave is added to its top, what its new path has is taken off. At
-a block's end each sample's path is summed, and the blocks are added up.
+Counts go up: a sample is one sample on the whole genome, an edge hands its child's stretches to its parent where it
+holds, and a node's stretches are added up to a step function, so that neighbours with one count become one stretch. Of a
+site's mutations those below another of the site add nothing. Values come down: stretches that are asked for go up, each
+once for a node, however many ask for it; a stretch's value is the effects of the node's own mutations in it and the
+values of the stretches that its parents were asked for.
 
 Sites have one position; edges whose parent or child is null, or that hold nowhere, are left out. Nodes without an edge are
 trees of their own. Empty tables give empty results.
@@ -17,211 +16,89 @@ trees of their own. Empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineagelake.operators.checkpoints import cut
 
-#: Edges and mutations of a block; equal cells of the genome that blocks are made of.
-EVENTS, CELLS = 1_000_000, 4096
-LEAVES, ENTERS, MUTATES = 0, 1, 2
-BATCH_ROWS = 10_000
+_WHOLE = ("double('-Infinity') as l", "double('Infinity') as r")
 
 
-class Forest:
-    """Parents by child, and which nodes are samples."""
+def _edges(edges: DataFrame) -> DataFrame:
+    """(parent, child, a, b) of the edges that hold somewhere; a child with two parents at one position is an error."""
+    out = edges.select("parent", "child", F.col("left").cast("double").alias("a"), F.col("right").cast("double").alias("b")).filter("parent is not null and child is not null and a < b")
+    before = F.lag("b").over(Window.partitionBy("child").orderBy("a"))
+    two = F.raise_error(F.concat(F.lit("node "), F.col("child").cast("string"), F.lit(" has two parents at one position"))).cast("double")
+    return cut(out.withColumn("before", before).select("parent", "child", F.when(F.col("before") > F.col("a"), two).otherwise(F.col("a")).alias("a"), "b"))
 
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-        self.samples: set[int] = set()
 
-    def hold(self, parent: int, child: int) -> None:
-        if child in self.parent:
-            raise ValueError(f"node {child} has two parents at one position")
-        self.parent[child] = parent
+def _above(stretches: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows with (node, l, r), each with the parents that its node has in it and where: adds parent, pl, pr."""
+    both = stretches.join(edges, (F.col("node") == F.col("child")) & (F.col("a") < F.col("r")) & (F.col("l") < F.col("b")))
+    return both.select(*stretches.columns, "parent", F.greatest("l", "a").alias("pl"), F.least("r", "b").alias("pr"))
 
-    def path(self, node: int | None) -> Iterator[int]:
-        while node is not None:
-            yield node
-            node = self.parent.get(node)
 
+def _added_up(stretches: DataFrame) -> DataFrame:
+    """(node, l, r, n): each node's stretches as one step function, without the steps of 0."""
+    ends = stretches.select("node", F.explode(F.array(F.struct(F.col("l").alias("x"), F.col("n").alias("d")), F.struct(F.col("r").alias("x"), (-F.col("n")).alias("d")))).alias("e"))
+    steps = ends.groupBy("node", F.col("e.x").alias("l")).agg(F.sum("e.d").alias("d")).filter("d != 0")
+    along = Window.partitionBy("node").orderBy("l")
+    return steps.select("node", "l", F.lead("l").over(along).alias("r"), F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("n")).filter("n != 0")
 
-class Counts(Forest):
-    """Samples at or below each node."""
 
-    def __init__(self):
-        super().__init__()
-        self.below: dict[int, int] = {}
+def _topmost(sites: DataFrame, edges: DataFrame) -> DataFrame:
+    """sites (site_id, x, node) without the mutations below another one of their site: those of sites with several climb to it."""
+    several = sites.groupBy("site_id").agg(F.count("*").alias("n")).filter("n > 1").select("site_id")
+    now = cut(sites.join(several, "site_id", "left_semi").select("site_id", "x", "node", F.col("node").alias("at")))
+    others = now.select("site_id", F.col("node").alias("at"))
+    covered = []
+    while not now.isEmpty():
+        now = now.join(edges, (F.col("at") == F.col("child")) & (F.col("a") <= F.col("x")) & (F.col("x") < F.col("b"))).select("site_id", "x", "node", F.col("parent").alias("at"))
+        now = cut(now.join(others.withColumn("met", F.lit(True)), ["site_id", "at"], "left"))
+        covered.append(now.filter("met").select("site_id", "node"))
+        now = now.filter("met is null").drop("met")
+    return sites.join(reduce(DataFrame.unionByName, covered), ["site_id", "node"], "left_anti") if covered else sites
 
-    def see(self, node: int, sample: bool) -> None:
-        if node not in self.below:
-            self.below[node] = int(sample)
 
-    def enter(self, parent: int, child: int) -> None:
-        for node in self.path(parent):
-            self.below[node] += self.below[child]
-        self.hold(parent, child)
+def allele_counts(edges: DataFrame, mutations: DataFrame, samples: DataFrame, events: int | None = None) -> DataFrame:
+    """(site_id, AC): samples at or below any of a site's mutations, in the tree at its position; 0 for sites without.
 
-    def leave(self, parent: int, child: int) -> None:
-        del self.parent[child]
-        for node in self.path(parent):
-            self.below[node] -= self.below[child]
-
-    def site(self, nodes: list[int]) -> int:
-        """Samples below any of these nodes."""
-        own = set(nodes)
-        return sum(self.below[n] for n in own if not any(up in own for up in self.path(self.parent.get(n))))
-
-
-class Values(Forest):
-    """Effects added along each node's path to the root."""
-
-    def __init__(self):
-        super().__init__()
-        self.added: dict[int, float] = {}
-
-    def see(self, node: int, sample: bool) -> None:
-        if sample:
-            self.samples.add(node)
-
-    def of(self, node: int) -> float:
-        return sum(self.added.get(n, 0.0) for n in self.path(node))
-
-    def enter(self, parent: int, child: int) -> None:
-        self.added[child] = self.added.get(child, 0.0) - self.of(parent)
-        self.hold(parent, child)
-
-    def leave(self, parent: int, child: int) -> None:
-        del self.parent[child]
-        self.added[child] = self.added.get(child, 0.0) + self.of(parent)
-
-    def mutate(self, node: int, effect: float) -> None:
-        self.added[node] = self.added.get(node, 0.0) + effect
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))
-
-
-def _batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == BATCH_ROWS:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
-    if held:
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
-def _moved(forest: Counts | Values, kind: int, a: int, b: int, sample_a: bool, sample_b: bool) -> None:
-    forest.see(a, sample_a)
-    forest.see(b, sample_b)
-    (forest.enter if kind == ENTERS else forest.leave)(a, b)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("site_id", pa.int64()), ("AC", pa.int64())])
-
-    def walk() -> Iterator[tuple]:
-        for _, block in groupby(_rows(batches), itemgetter(0)):
-            forest = Counts()
-            for (kind, site), events in groupby(block, itemgetter(2, 3)):
-                if kind != MUTATES:
-                    for _, _, _, _, a, b, sa, sb, _ in events:
-                        _moved(forest, kind, a, b, sa, sb)
-                    continue
-                nodes = []
-                for _, _, _, _, node, _, sample, _, _ in events:
-                    forest.see(node, sample)
-                    nodes.append(node)
-                yield site, forest.site(nodes)
-
-    return _batched(walk(), schema)
-
-
-def _valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.int64()), ("trait_id", pa.int64()), ("value", pa.float64())])
-
-    def walk() -> Iterator[tuple]:
-        for (_, trait), block in groupby(_rows(batches), itemgetter(0, 9)):
-            forest = Values()
-            for _, _, kind, _, a, b, sa, sb, effect, _ in block:
-                if kind != MUTATES:
-                    _moved(forest, kind, a, b, sa, sb)
-                else:
-                    forest.see(a, sa)
-                    forest.mutate(a, effect)
-            for node in forest.samples:
-                if value := forest.of(node):
-                    yield node, trait, value
-
-    return _batched(walk(), schema)
-
-
-def _events(edges: DataFrame, mutations: DataFrame, samples: DataFrame, events: int) -> DataFrame:
-    """(block, pos, kind, site, a, b, sa, sb, effect): an edge's entry (pos null where it holds at the block's beginning) and exit, and mutations.
-
-    edges (parent, child, left, right); mutations (site_id, position, node, effect); samples (node).
+    events: of no effect; the genome isn't cut into blocks any more.
     """
-    edges = edges.select("parent", "child", F.col("left").cast("double").alias("l"), F.col("right").cast("double").alias("r")).filter("parent is not null and child is not null and l < r")
-    flags = cut(samples.select("node").distinct())
-    named = lambda c: flags.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}"))
-    flagged = lambda df, *cs: df if not cs else flagged(df.join(named(cs[0]), cs[0], "left").withColumn(f"_{cs[0]}", F.coalesce(f"_{cs[0]}", F.lit(False))), *cs[1:])
-    edges = cut(flagged(edges, "parent", "child"))
-    mutations = cut(flagged(mutations.select("site_id", F.col("position").cast("double").alias("x"), "node", "effect"), "node"))
-    places = edges.select(F.col("l").alias("x")).unionByName(mutations.select("x"))
-    low, high, n = places.agg(F.min("x"), F.max("x"), F.count("*")).first()
-    if not n:
-        low = high = 0.0
-    width = (high - low) / CELLS or 1.0
-    cell = lambda x: F.least(F.greatest(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(0)), F.lit(CELLS - 1)).cast("int")
-    # at most CELLS counts come to the driver; cells in a row make a block
-    counts = {r.c: r.n for r in places.groupBy(cell(F.col("x")).alias("c")).agg(F.count("*").alias("n")).collect()}
-    blocks, now, held = [], 0, 0
-    for c in range(CELLS):
-        if held and held + counts.get(c, 0) > events:
-            now, held = now + 1, 0
-        held += counts.get(c, 0)
-        blocks.append(now)
-    table = F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<int>")  # folded into one literal
-    block_of = lambda x: F.element_at(table, cell(x) + 1)
-    over = edges.withColumn("first", block_of(F.col("l"))).withColumn("last", block_of(F.col("r"))).withColumn("block", F.explode(F.sequence("first", "last")))
-    ends = lambda kind, pos: (pos.alias("pos"), F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("site"), F.col("parent").alias("a"), F.col("child").alias("b"), F.col("_parent").alias("sa"), F.col("_child").alias("sb"), F.lit(None).cast("double").alias("effect"))
-    entries = over.select("block", *ends(ENTERS, F.when(F.col("block") == F.col("first"), F.col("l"))))
-    exits = over.filter("block = last").select("block", *ends(LEAVES, F.col("r")))
-    changes = mutations.select(block_of(F.col("x")).alias("block"), F.col("x").alias("pos"), F.lit(MUTATES).alias("kind"), F.col("site_id").alias("site"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.col("_node").alias("sa"), F.lit(None).cast("boolean").alias("sb"), "effect")
-    return entries.unionByName(exits).unionByName(changes)
-
-
-def allele_counts(edges: DataFrame, mutations: DataFrame, samples: DataFrame, events: int = EVENTS) -> DataFrame:
-    """(site_id, AC): samples at or below any of a site's mutations, in the tree at its position; 0 for sites without."""
-    rows = _events(edges, mutations.select("site_id", "position", "node").distinct().withColumn("effect", F.lit(0.0)), samples, events)
-    return rows.repartition("block").sortWithinPartitions("block", "pos", "kind", "site").mapInArrow(_counted, "site_id long, AC long")
-
-
-def edge_genetic_values(edges: DataFrame, mutations: DataFrame, samples: DataFrame, events: int = EVENTS) -> DataFrame:
+    edges = _edges(edges)
+    sites = cut(mutations.select("site_id", F.col("position").cast("double").alias("x"), "node").distinct())
+    now = samples.select("node").distinct().selectExpr("node", *_WHOLE, "1L as n")
+    below = []
+    while not below or not now.isEmpty():
+        below.append(now)
+        now = cut(_added_up(_above(now, edges).select(F.col("parent").alias("node"), F.col("pl").alias("l"), F.col("pr").alias("r"), "n")))
+    found = _topmost(sites, edges).join(reduce(DataFrame.unionByName, below), "node").filter("l <= x and x < r").groupBy("site_id").agg(F.sum("n").alias("AC"))
+    return sites.select("site_id").distinct().join(found, "site_id", "left").na.fill(0, ["AC"])
+
+
+def edge_genetic_values(edges: DataFrame, mutations: DataFrame, samples: DataFrame, events: int | None = None) -> DataFrame:
     """(trait_id, individual, genetic_value): effects of all mutations above a sample node, summed over an individual's nodes.
 
     mutations (site_id, position, node, trait_id, effect_size), one a site and trait; samples (node, individual); 0 for individuals without any.
+    events: of no effect; the genome isn't cut into blocks any more.
     """
     traits = [r.trait_id for r in mutations.select("trait_id").distinct().orderBy("trait_id").collect()]  # a few
-    parts = []
-    for trait in traits:
-        own = mutations.filter(F.col("trait_id") == F.lit(trait)).select("site_id", "position", "node", F.col("effect_size").cast("double").alias("effect"))
-        rows = _events(edges, own, samples, events).withColumn("trait", F.lit(trait).cast("long"))
-        parts.append(rows.repartition("block").sortWithinPartitions("block", "pos", "kind", "site").mapInArrow(_valued, "node long, trait_id long, value double"))
     every = samples.select("individual").distinct().withColumn("trait_id", F.explode(F.lit(traits) if traits else F.array().cast("array<int>")))
-    if not parts:
+    if not traits:
         return every.select("trait_id", "individual", F.lit(0.0).alias("genetic_value"))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    sums = found.join(samples.select("node", "individual").distinct(), "node").groupBy("trait_id", "individual").agg(F.sum("value").alias("genetic_value"))
+    edges = _edges(edges)
+    own = cut(mutations.select(F.col("position").cast("double").alias("x"), F.col("node").alias("at"), "trait_id", F.col("effect_size").cast("double").alias("effect")))
+    asked, steps = [samples.select("node").distinct().selectExpr("node", *_WHOLE)], []
+    while not (step := cut(_above(asked[-1], edges))).isEmpty():
+        steps.append(step)
+        asked.append(cut(step.select(F.col("parent").alias("node"), F.col("pl").alias("l"), F.col("pr").alias("r")).distinct()))
+    value = None
+    for k in reversed(range(len(asked))):
+        parts = asked[k].join(own, (F.col("node") == F.col("at")) & (F.col("l") <= F.col("x")) & (F.col("x") < F.col("r"))).select("node", "l", "r", "trait_id", F.col("effect").alias("value"))
+        if value is not None:
+            parts = parts.unionByName(steps[k].join(value.withColumnsRenamed({"node": "parent", "l": "pl", "r": "pr"}), ["parent", "pl", "pr"]).select("node", "l", "r", "trait_id", "value"))
+        value = cut(parts.groupBy("node", "l", "r", "trait_id").agg(F.sum("value").alias("value")))
+    sums = value.join(samples.select("node", "individual").distinct(), "node").groupBy("trait_id", "individual").agg(F.sum("value").alias("genetic_value"))
     return every.join(sums, ["trait_id", "individual"], "left").na.fill(0.0, ["genetic_value"])
