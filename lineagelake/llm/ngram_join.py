@@ -8,7 +8,8 @@ with T - 1 lists as the long ones, so that one occurrence in the short ones make
 
 1. One pass over the texts gives each document's set size and set digest, and the shingles as 32-bit residues dealt into
    buckets by their leading bits. A bucket tells which shingles occur more than once, and which are frequent; both go
-   into filters of fixed size. A filter only shapes the order, so its errors never change the result.
+   into filters of bounded size. A filter only shapes the order, so its errors never change the result. Rows whose text an
+   earlier id has give no residues and no postings: else each shingle of a copied text would be a repeated one.
 2. A second pass emits the postings of the short lists. A shingle that the filter rules out occurs once and needs no
    posting, so mostly documents with near copies emit any. (If there are too many repeated shingles for the filter, it
    takes those above a higher count and every short list is posted.) Documents with equal sets count as one class.
@@ -49,6 +50,8 @@ SHINGLE_WORDS = 5
 THRESHOLD = 75
 #: Bits of the filter of repeated shingles, broadcast as 1/8 bytes; bits of that of frequent ones; probes of either.
 REPEATED_BITS, FREQUENT_BITS, PROBES = 28, 24, 3
+#: Bits for each repeated shingle below which the filter has twice the bits, and below which it doesn't take all.
+ROOMY, LEAST_BITS = 8, 4
 #: Occurrences from which a shingle is frequent; a task's chunk counts up to CHUNK_COUNT.
 FREQUENT, CHUNK_COUNT = 64, 15
 #: Characters of text behind a bucket of residues; shingles of a chunk.
@@ -85,12 +88,12 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int, bucket_bits: int) -> Ite
 
     for batch in batches:
         ids, sizes, digests = batch.column("doc_id").to_pylist(), [], []
-        for text in batch.column("text"):
+        for text, again in zip(batch.column("text"), batch.column("again").to_pylist()):
             tokens = shingle_set(words.of(text.as_py()), k)
             digest = _set_digest(tokens)
             sizes.append(len(tokens))
             digests.append(digest)
-            if len(tokens) and digest not in seen:  # copies in one task count once
+            if len(tokens) and not again and digest not in seen:  # equal sets in one task count once
                 if len(seen) < SEEN:
                     seen.add(digest)
                 held.append(tokens)
@@ -115,7 +118,7 @@ class Filters:
     """Which shingles are repeated or frequent; may err towards yes."""
 
     def __init__(self, repeated: np.ndarray, frequent: np.ndarray, complete: bool, bucket_bits: int):
-        self.parts, self.complete, self.bucket_bits = ((repeated, REPEATED_BITS), (frequent, FREQUENT_BITS)), complete, bucket_bits
+        self.parts, self.complete, self.bucket_bits = tuple((bits, (8 * len(bits)).bit_length() - 1) for bits in (repeated, frequent)), complete, bucket_bits
 
     def levels(self, tokens: np.ndarray) -> np.ndarray:
         """0: not known to be repeated, 1: repeated, 2: frequent as well."""
@@ -152,8 +155,8 @@ def _filters(profile: DataFrame, bucket_bits: int) -> Filters:
     for r in counted.select("counts").mapInPandas(histogram, "c int, n long").groupBy("c").sum("n").collect():
         by_count[r[0]] = r[1]
     at_least = np.cumsum(by_count[::-1])[::-1]
-    room = (1 << REPEATED_BITS) // 16
-    least = next((c for c in range(2, 256) if at_least[c] <= room), 256)
+    size = REPEATED_BITS + (at_least[2] * ROOMY > 1 << REPEATED_BITS)
+    least = next((c for c in range(2, 256) if at_least[c] <= (1 << size) // LEAST_BITS), 256)
     often = next((c for c in range(max(least, FREQUENT), 256) if at_least[c] <= (1 << FREQUENT_BITS) // 16), 256)
 
     def bits_of(least: int, size: int) -> np.ndarray:
@@ -177,7 +180,7 @@ def _filters(profile: DataFrame, bucket_bits: int) -> Filters:
             out[r.chunk * (CHUNK_BITS // 8) : (r.chunk + 1) * (CHUNK_BITS // 8)] = np.frombuffer(r.bits, np.uint8)
         return out
 
-    out = Filters(bits_of(least, REPEATED_BITS), bits_of(often, FREQUENT_BITS), least == 2, bucket_bits)
+    out = Filters(bits_of(least, size), bits_of(often, FREQUENT_BITS), least == 2, bucket_bits)
     forget(counted)
     return out
 
@@ -302,19 +305,30 @@ def _verify(pdf: pd.DataFrame, threshold: int) -> pd.DataFrame:
 LEFT, RIGHT, BOTH = 0, 1, 2
 
 
+def _marked(base: DataFrame) -> DataFrame:
+    """base (doc_id, text) with `again`: whether an earlier id has the same text."""
+    keyed = base.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("m"))
+    first = keyed.groupBy("h", "m").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "m", "first")
+    later = written(keyed.join(first, ["h", "m"]).filter("doc_id > first").select(F.xxhash64("doc_id", "h", "m").alias("again")).distinct())
+    near = F.broadcast(later) if later.count() * 24 <= MAX_BROADCAST else later
+    key = F.xxhash64("doc_id", F.xxhash64("text"), F.length("text"))
+    return base.withColumn("key", key).join(near, F.col("key") == F.col("again"), "left").select("doc_id", "text", F.col("again").isNotNull().alias("again"))
+
+
 def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, threshold: int = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document."""
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
     bucket_bits = min(30, max(0, (chars // BUCKET_CHARS).bit_length()))
-    profile = written(base.mapInArrow(lambda b: _profile(b, k, bucket_bits), PROFILE))
+    marked = _marked(base)
+    profile = written(marked.mapInArrow(lambda b: _profile(b, k, bucket_bits), PROFILE))
     filters = spark.sparkContext.broadcast(_filters(profile, bucket_bits))
     known = written(profile.filter("bucket is null").select("doc_id", "n", "digest"))
     forget(profile)  # what only one step reads goes when it is done
     classes = known.filter("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
 
-    postings = base.select("text").mapInArrow(lambda b: _postings(b, k, threshold, filters.value), "token long, digest long")
+    postings = marked.filter("not again").select("text").mapInArrow(lambda b: _postings(b, k, threshold, filters.value), "token long, digest long")
     # most lists have one class and end here; a common list's rows are split over tasks by the join, its minimum is taken map-side
     postings = written(postings)
     centers = written(postings.groupBy("token").agg(F.min("digest").alias("center"), F.max("digest").alias("last")).filter("center < last").select("token", "center"))
